@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import langid, mixing, quality, urls
+from corpusmill.llm import langid, mixing, quality, simhash, substrings, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op3_url_filter": urls.op3,
+    "op4_substrings": substrings.op4,
     "op7_quality": quality.op7,
+    "op8_simhash": simhash.op8,
     "op9_language": langid.op9,
 }
 ORACLES = {
