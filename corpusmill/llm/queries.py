@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import langid, mixing, quality, simhash, substrings, urls
+from corpusmill.llm import bpe, langid, mixing, quality, simhash, substrings, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op3_url_filter": urls.op3,
     "op4_substrings": substrings.op4,
+    "op6_byte_bpe": bpe.op6,
     "op7_quality": quality.op7,
     "op8_simhash": simhash.op8,
     "op9_language": langid.op9,
