@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import bpe, langid, mixing, quality, simhash, substrings, urls
+from corpusmill.llm import bpe, langid, mixing, neighbours, quality, simhash, substrings, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_quality": quality.op7,
     "op8_simhash": simhash.op8,
     "op9_language": langid.op9,
+    "op10_neighbours": neighbours.op10,
 }
 ORACLES = {
     "op1_mixing": mixing.SQL,
