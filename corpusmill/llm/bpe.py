@@ -179,10 +179,10 @@ def decode(docs: DataFrame, ids_col: str = "ids", out: str = "decoded", ranks: s
     return docs.withColumn(out, run(F.col(ids_col)))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, text-free columns and the digests of the contract, from columns ids and decoded."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the columns named and the digests of the contract, from columns ids and decoded."""
     numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", *more, F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

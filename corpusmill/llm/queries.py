@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import bpe, html, langid, mixing, neighbours, quality, simhash, substrings, urls
+from corpusmill.llm import bpe, html, langid, mixing, neighbours, quality, simhash, substrings, tokenfiles, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op2_main_text": html.op2,
     "op3_url_filter": urls.op3,
     "op4_substrings": substrings.op4,
+    "op5_token_files": tokenfiles.op5,
     "op6_byte_bpe": bpe.op6,
     "op7_quality": quality.op7,
     "op8_simhash": simhash.op8,
