@@ -13,7 +13,7 @@ a column of the result's name is replaced. Texts are encoded whole; memory for a
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.pieces import SPLIT, pieces
+from corpusmill.llm.pieces import SPLIT, Memo
 
 RANKS = "byte_bpe_50k.tiktoken"
-KEPT_PIECES, KEPT_PAIRS = 200_000, 1_000_000
+KEPT_PAIRS = 500_000
 
 
 class Codec:
@@ -41,7 +41,7 @@ class Codec:
             self.automaton.add_word(t[::-1].decode("latin-1"), len(t))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, np.ndarray] = {}
+        self.known = Memo()
 
     def merged(self, data: bytes) -> list[bytes]:
         """Merging by rank, plainly; for the bytes of two tokens."""
@@ -96,20 +96,13 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text."""
-        known, parts = self.known, pieces(text)
-        out = []
-        for p in parts:
-            found = known.get(p)
-            if found is None:
-                if len(known) >= KEPT_PIECES:
-                    known.clear()
-                found = np.array([i for m in SPLIT.findall(p) for i in self.encode_match(m.encode("utf-8", "surrogatepass"))], dtype=np.int32)
-                known[p] = found
-            out.append(found)
-        return np.concatenate(out) if out else np.zeros(0, np.int32)
+        return np.frombuffer(self.known.encode(text, self._pieces), dtype=np.int32)
+
+    def _pieces(self, parts: list[str]) -> list[bytes]:
+        return [np.array([i for m in SPLIT.findall(p) for i in self.encode_match(m.encode("utf-8", "surrogatepass"))], dtype=np.int32).tobytes() for p in parts]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        return b"".join(map(self.tokens.__getitem__, np.asarray(ids).tolist()))
 
 
 @lru_cache(4)
@@ -119,27 +112,12 @@ def codec(name: str) -> Codec:
         return Codec({base64.b64decode(t): int(i) for t, i in map(bytes.split, filter(bytes.strip, lines))})
 
 
-def add_column(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, of: Callable[[pa.RecordBatch], Iterator[pa.Array]]) -> DataFrame:
-    """df with a column made batch by batch; of() yields arrays that cover the batch's rows in order."""
-    df = df.drop(name)
-    names = df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for values in of(batch):
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(values)).columns, values.cast(arrow)], [*names, name])
-                at += len(values)
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
-
-
 def lists(values: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32), pa.int32()))
 
 
-SLICE_CHARS = 1 << 22
+SLICE_CHARS = 1 << 21
 
 
 def slices(texts: Iterator[str | None]) -> Iterator[list[str]]:
@@ -155,17 +133,23 @@ def slices(texts: Iterator[str | None]) -> Iterator[list[str]]:
         yield held
 
 
-def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", ranks: str = RANKS) -> DataFrame:
-    """docs with an array of ids."""
-    docs = docs.drop(out) if out != text_col else docs
-    at = docs.columns.index(text_col)
+def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", ranks: str = RANKS, decoded: str | None = None) -> DataFrame:
+    """docs with an array of ids and, if named, a column of the bytes that these ids decode to."""
+    docs = docs.drop(*{out, decoded or out} - {text_col})
+    at, names = docs.columns.index(text_col), docs.columns
+    more = [T.StructField(out, T.ArrayType(T.IntegerType()))] + [T.StructField(decoded, T.BinaryType())] * bool(decoded)
 
-    def of(batch: pa.RecordBatch) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks)
-        for texts in slices(x.as_py() for x in batch.column(at)):
-            yield lists([c.encode(t) for t in texts])
+        for batch in batches:
+            row = 0
+            for texts in slices(x.as_py() for x in batch.column(at)):
+                ids = [c.encode(t) for t in texts]
+                made = [lists(ids)] + ([pa.array([c.decode(x) for x in ids], pa.binary())] if decoded else [])
+                yield pa.RecordBatch.from_arrays([*batch.slice(row, len(texts)).columns, *made], [*names, *(f.name for f in more)])
+                row += len(texts)
 
-    return add_column(docs, out, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), of)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", out: str = "decoded", ranks: str = RANKS) -> DataFrame:
@@ -187,4 +171,4 @@ def digests(encoded: DataFrame, *more: str) -> DataFrame:
 
 def op6(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digests(decode(encode(docs).drop("text")))
+    return digests(encode(docs, decoded="decoded").drop("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import regex
 from public_tokenizers import PATTERN
 
@@ -21,3 +23,28 @@ def pieces(text: str) -> list[str]:
         return SPLIT.findall(text)
     first, *rest = text.split(" ")
     return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+
+
+class Memo:
+    """Encoded pieces in two generations: when the young one is full it becomes the old one, so what recurs stays and memory is bounded."""
+
+    def __init__(self, limit: int = 150_000):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.limit = limit
+
+    def encode(self, text: str, make: Callable[[list[str]], list[bytes]]) -> bytes:
+        """The encoded pieces of a text, joined; make() encodes the ones that are not known."""
+        if not text:
+            return b""
+        parts = pieces(text)
+        found = list(map(self.young.get, parts))
+        if None in found:
+            missing = dict.fromkeys(p for p, f in zip(parts, found, strict=True) if f is None)
+            new = [p for p in missing if p not in self.old]
+            fresh = {p: self.old[p] for p in missing if p in self.old} | dict(zip(new, make(new), strict=True))
+            if len(self.young) + len(fresh) > self.limit:
+                self.old, self.young = self.young, {}
+            self.young |= fresh
+            found = [f if f is not None else fresh[p] for p, f in zip(parts, found, strict=True)]
+        return b"".join(found)

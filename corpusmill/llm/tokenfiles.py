@@ -24,11 +24,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.lineage import shared_folder
-from corpusmill.llm.bpe import slices
 from corpusmill.llm.coder import pack, unpack
-from corpusmill.llm.pieces import pieces
+from corpusmill.llm.pieces import Memo
 
-TOKENIZER, END, KEPT_PIECES, IMAGE_IDS = "byte_bpe_50k.json", 2, 200_000, 1 << 22
+TOKENIZER, END, IMAGE_IDS = "byte_bpe_50k.json", 2, 1 << 22
 
 
 @lru_cache(2)
@@ -38,21 +37,14 @@ def _tokenizer(name: str):
 
     found = Tokenizer.from_file(name if "/" in name else path(name))
     found.encode_special_tokens = True
-    return found, {}
+    return found, Memo()
 
 
-def encode_texts(texts: list[str], tokenizer: str = TOKENIZER) -> list[np.ndarray]:
-    """Ids of each text; pieces seen before are not encoded again."""
+def encode_text(text: str, tokenizer: str = TOKENIZER) -> np.ndarray:
+    """Ids of a text; pieces seen before are not encoded again."""
     encoder, known = _tokenizer(tokenizer)
-    parts = [pieces(t) for t in texts]
-    new = list({p for mine in parts for p in mine if p not in known})
-    if len(known) + len(new) > KEPT_PIECES:
-        known.clear()
-        new = list({p for mine in parts for p in mine})
-    for p, e in zip(new, encoder.encode_batch(new, add_special_tokens=False), strict=True):
-        known[p] = np.array(e.ids, dtype=np.uint32)
-    none = np.zeros(0, np.uint32)
-    return [np.concatenate([known[p] for p in mine]) if mine else none for mine in parts]
+    make = lambda parts: [np.array(e.ids, dtype=np.uint32).tobytes() for e in encoder.encode_batch(parts, add_special_tokens=False)]
+    return np.frombuffer(known.encode(text, make), dtype=np.uint32)
 
 
 IMAGES = "part int, place int, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, image binary"
@@ -70,16 +62,13 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
             return pa.RecordBatch.from_arrays(values, ["part", "place", "n_ids", "doc_ids", "lengths", "image"])
 
         for batch in batches:
-            ids, at = batch.column(0).to_pylist(), 0
-            for texts in slices(x.as_py() for x in batch.column(1)):
-                for found in encode_texts(texts, tokenizer):
-                    held.append(np.append(found, np.uint32(end)))
-                    doc_ids.append(ids[at])
-                    size += len(held[-1])
-                    at += 1
-                    if size >= image_ids:
-                        yield image()
-                        place, doc_ids, held, size = place + 1, [], [], 0
+            for doc_id, text in zip(*batch.columns, strict=True):
+                held.append(np.append(encode_text(text.as_py() or "", tokenizer), np.uint32(end)))
+                doc_ids.append(doc_id.as_py())
+                size += len(held[-1])
+                if size >= image_ids:
+                    yield image()
+                    place, doc_ids, held, size = place + 1, [], [], 0
         if held:
             yield image()
 
