@@ -128,9 +128,10 @@ def prefix_join(files: DataFrame, links: DataFrame, file_col: str = "path", link
 
     Links are compared with the files' prefixes of the links' own lengths only, so the join is on equal strings.
     """
-    sizes = links.select(F.length(link_col).alias("n")).distinct().agg(F.collect_set("n").alias("sizes"))
-    cutoff = F.filter(sizes.scalar(), lambda n: n <= F.length(file_col))
-    parts = files.withColumn("_key", F.explode(F.transform(cutoff, lambda n: F.lower(F.substring(F.col(file_col), F.lit(1), n)))))
+    sizes = links.agg(F.collect_set(F.length(link_col)).alias("sizes"))
+    sized = files.withColumn("_sizes", sizes.scalar())
+    cutoff = F.filter("_sizes", lambda n: n <= F.length(file_col))
+    parts = sized.withColumn("_key", F.explode(F.transform(cutoff, lambda n: F.lower(F.substring(F.col(file_col), F.lit(1), n))))).drop("_sizes")
     return parts.join(links.withColumn("_key", F.lower(link_col)), "_key").drop("_key")
 
 

@@ -45,10 +45,12 @@ def bm25(docs: DataFrame, phrases: list[list[str]], fields: list[str]) -> DataFr
     phrases = [p for p in phrases if p]
     if not phrases:
         return docs.limit(0).withColumn("score", F.lit(0.0))
-    names = [f"_t{i}" for i in range(len(fields))]
-    counted = docs.select(F.struct("*").alias("row"), *[tokens(F.col(f)).alias(n) for f, n in zip(fields, names, strict=True)])
-    tf = [F.expr(" + ".join(_occurrences(n, p) for n in names)).alias(f"_f{i}") for i, p in enumerate(phrases)]
-    counted = counted.select("row", sum((F.size(n) for n in names[1:]), F.size(names[0])).alias("_len"), *tf)
+    # the tokens are bound to a lambda's variable: a filter that is pushed below a plain column of them would tokenise once for each token
+    bound = F.array(F.struct(*[tokens(F.col(f)).alias(f"t{i}") for i, f in enumerate(fields)]))
+    names = [f"d.t{i}" for i in range(len(fields))]
+    counts = ", ".join(f"{' + '.join(_occurrences(n, p) for n in names)} as _f{i}" for i, p in enumerate(phrases))
+    length = " + ".join(f"size({n})" for n in names)
+    counted = docs.select(F.struct("*").alias("row"), bound.alias("_bound")).select("row", F.expr(f"transform(_bound, d -> struct({length} as _len, {counts}))[0]").alias("_c")).select("row", "_c.*")
     totals = counted.agg(F.struct(F.count("*").alias("n"), F.avg("_len").alias("len"), F.array(*[F.count_if(F.col(f"_f{i}") > 0) for i in range(len(phrases))]).alias("df")).alias("t"))
     found = counted.filter(" or ".join(f"_f{i} > 0" for i in range(len(phrases)))).withColumn("t", totals.select("t").scalar())
     score = F.lit(0.0)

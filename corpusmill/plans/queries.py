@@ -42,7 +42,7 @@ SELECT page_id, path, ends_with(lower(path), '.pem') AS sensitive,
 FROM p""")
 def s2_s3_s7(spark, sf):
     p = table(spark, sf, "pages").selectExpr("page_id", "concat('site/', CASE page_id % 6 WHEN 0 THEN 'vendor/' WHEN 1 THEN 'src/' WHEN 2 THEN 'locales/fr/' ELSE '' END, page_id, CASE page_id % 7 WHEN 0 THEN '.min.js' WHEN 1 THEN '.py' WHEN 2 THEN '.PEM' WHEN 3 THEN '.json' WHEN 4 THEN '.md' WHEN 5 THEN '.rs' ELSE '.xyz' END) AS path")
-    return p.select("page_id", "path", scan.is_sensitive(F.col("path")).alias("sensitive"), scan.index_decision(F.col("path"), ["!vendor/1*"])["decision"].alias("decision"), scan.detect_language(F.col("path")).alias("language"))
+    return p.select("page_id", "path", scan.is_sensitive(F.col("path")).alias("sensitive"), scan.index_decision(F.col("path"), ["!site/vendor/1*"])["decision"].alias("decision"), scan.detect_language(F.col("path")).alias("language"))
 
 
 @query("s4_s5_s6_content_filters", r"""
@@ -489,7 +489,7 @@ def o7(spark, sf):
 
 @query("o8_context_packing", f"""
 WITH RECURSIVE {NOTES_SQL}, c AS (SELECT uuid, kind, greatest(1, length(body) // 4) AS tokens, row_number() OVER (ORDER BY CASE kind WHEN 'decision' THEN 1 WHEN 'requirement' THEN 2 WHEN 'handoff' THEN 3 WHEN 'question' THEN 4 ELSE 5 END, created_at DESC, uuid) AS n FROM notes WHERE conv_id < 40),
-p AS (SELECT 0::BIGINT AS n, 3000::BIGINT AS remaining, NULL AS uuid UNION ALL SELECT c.n, CASE WHEN c.tokens <= p.remaining THEN p.remaining - c.tokens ELSE p.remaining END, CASE WHEN c.tokens <= p.remaining THEN c.uuid END FROM p JOIN c ON c.n = p.n + 1)
+p AS (SELECT 0::BIGINT AS n, 3000::BIGINT AS remaining, NULL::VARCHAR AS uuid UNION ALL SELECT c.n, CASE WHEN c.tokens <= p.remaining THEN p.remaining - c.tokens ELSE p.remaining END, CASE WHEN c.tokens <= p.remaining THEN c.uuid END FROM p JOIN c ON c.n = p.n + 1)
 SELECT uuid, remaining FROM p WHERE uuid IS NOT NULL""")
 def o8(spark, sf):
     rows = notes(spark, sf).filter("conv_id < 40").select("uuid", packing.section_priority(F.col("kind")).alias("p"), (-F.col("created_at")).alias("t"), X.estimate_tokens(F.col("body")).cast("long").alias("tokens"))
@@ -549,9 +549,9 @@ def a7(spark, sf):
     return c.select("chunk_id", X.structural_summary(F.coalesce("name", F.lit("x")), F.col("content"), F.array(F.lit("loadTable"), F.lit("save_table")), F.lit('log("cannot open file") + "ab c"')).alias("summary"))
 
 
-@query("a11_mentions", r"""
+@query("a11_mentions", rf"""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\pL\pN_]+')) AS w, generate_subscripts(regexp_extract_all(text, '[\pL\pN_]+'), 1) AS k FROM documents),
-g AS (SELECT doc_id, w, min(k) AS k FROM w WHERE length(w) BETWEEN 3 AND 50 AND NOT regexp_full_match(w, '\pN+') AND w NOT IN ('the_', 'for', 'with', 'from', 'not', 'and', 'this', 'add', 'data', 'is', 'in', 'or') GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM g)
+g AS (SELECT doc_id, w, min(k) AS k FROM w WHERE length(w) BETWEEN 3 AND 50 AND NOT regexp_full_match(w, '\pN+') AND w NOT IN ({", ".join(repr(x) for x in X.MENTION_STOPWORDS)}) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM g)
 SELECT doc_id, md5(string_agg(w, ' ' ORDER BY n)) AS mentions FROM r WHERE n <= 40 GROUP BY 1""")
 def a11(spark, sf):
     m = X.mention_tokens(F.col("text"))
@@ -697,11 +697,11 @@ def t3(spark, sf):
     return feeds.rate_limited(e, "user_id", "t", 2, 86400).select("event_id", "allowed")
 
 
-@query("t4_relay", """WITH e AS (SELECT user_id AS session, event_id AS at, CASE event_type WHEN 'purchase' THEN 'ack' WHEN 'error' THEN 'poll' ELSE 'push' END AS kind, event_id % 7 AS item FROM events), a AS (SELECT *, max(CASE WHEN kind = 'ack' THEN at END) OVER (PARTITION BY session, item) AS ack FROM e),
-o AS (SELECT session, item, min(at) AS at FROM a WHERE kind = 'push' AND (ack IS NULL OR at > ack) GROUP BY 1, 2) SELECT session, item, at FROM o QUALIFY row_number() OVER (PARTITION BY session ORDER BY at, item) <= 5""")
+@query("t4_relay", """WITH e AS (SELECT user_id AS session, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'ack' WHEN 'error' THEN 'poll' ELSE 'push' END AS kind, event_id % 7 AS item FROM events), a AS (SELECT *, max(CASE WHEN kind = 'ack' THEN seq END) OVER (PARTITION BY session, item) AS ack FROM e),
+o AS (SELECT session, item, min(seq) AS seq FROM a WHERE kind = 'push' AND (ack IS NULL OR seq > ack) GROUP BY 1, 2) SELECT session, item, seq FROM o QUALIFY row_number() OVER (PARTITION BY session ORDER BY seq, item) <= 5""")
 def t4(spark, sf):
     e = table(spark, sf, "events").selectExpr("user_id AS session", "event_id AS at", "CASE event_type WHEN 'purchase' THEN 'ack' WHEN 'error' THEN 'poll' ELSE 'push' END AS kind", "event_id % 7 AS item")
-    return feeds.relay(e, 5).select("session", "item", "at")
+    return feeds.relay(e, 5).select("session", "item", F.col("at").alias("seq"))
 
 
 @query("x_event_windows", "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
