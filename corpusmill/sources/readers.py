@@ -71,7 +71,7 @@ def read_note_log(spark: SparkSession, path: str) -> DataFrame:
 def read_commits(text: DataFrame, col: str = "value") -> DataFrame:
     """(sha, subject, body) of NUL-separated commits, each the hash, the subject and the body on lines."""
     each = text.select(F.explode(F.split(F.col(col), "\0")).alias("c")).withColumn("c", F.trim(F.regexp_replace("c", r"^\s+", ""))).filter("c != ''")
-    return each.select(F.split("c", "\n")[0].alias("sha"), F.coalesce(F.get(F.split("c", "\n"), F.lit(1)), F.lit("")).alias("subject"), F.trim(F.array_join(F.slice(F.split("c", "\n"), 3, 1 << 20), "\n")).alias("body"))
+    return each.select(F.split("c", "\n")[0].alias("sha"), F.coalesce(F.get(F.split("c", "\n"), F.lit(1)), F.lit("")).alias("subject"), F.regexp_replace(F.array_join(F.slice(F.split("c", "\n"), 3, 1 << 20), "\n"), r"^\s+|\s+$", "").alias("body"))
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
@@ -113,8 +113,7 @@ def check_dump(text: str) -> None:
 
 def read_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(entities, relationships) of a dump of one file; refused as a whole if anything does not fit."""
-    text = "\n".join(r["value"] for r in spark.read.option("wholetext", "true").text(path).collect())
-    check_dump(text)
+    check_dump(b"".join(bytes(r["content"]) for r in spark.read.format("binaryFile").load(path).select("content").collect()).decode())
     rows = spark.read.text(path)
     entity = "record string, type string, ref string, entity_id string, created_at long, kind string, title string, body string, status string, tags array<string>"
     link = "record string, type string, from_ref string, to_ref string, created_at long"
