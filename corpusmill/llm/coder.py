@@ -233,7 +233,10 @@ def unpack(image: bytes) -> np.ndarray:
     for size, _ in entries:
         data.append(image[at : at + size])
         at += size
-    dense = np.concatenate([_decode_lanes(data[i : i + width], steps, kinds) for i in range(0, n_blocks, width)]).ravel()[:n]
+    try:
+        dense = np.concatenate([_decode_lanes(data[i : i + width], steps, kinds) for i in range(0, n_blocks, width)]).ravel()[:n]
+    except IndexError as e:
+        raise ValueError("the image is damaged") from e
     ids = alphabet[np.minimum(dense, kinds - 1)]
     for i, (_, crc) in enumerate(entries):
         if zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) != crc:
