@@ -73,7 +73,7 @@ def _forest(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             if near.any():
                 tally = (diff[near].astype("<u8").view(np.uint8).reshape(-1, 8) == 0).sum(1)
                 found = rest[near][tally >= MIN_BYTES]
-                yield np.full(len(found), at), found
+                yield np.full(len(found), at, dtype=np.uint64), found
                 front.extend(found.tolist())
                 rest = rest[~near]
 
