@@ -79,11 +79,10 @@ def plan_copies(rows: DataFrame, id_col: str, source_col: str, size_col: str, we
     milli = milli.withColumn("u", F.expr(f"(conv(substring(md5(concat('{int(seed)}:', key)), 1, 8), 16, 10)::decimal(10,0) * s) div 4294967296").cast("decimal(18,0)"))
     running = Window.partitionBy("key").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
     classes = classes.select("key", "class", F.ceil(F.col("n") / bucket_rows).alias("buckets"), F.coalesce(F.sum("n").over(running), F.lit(0)).alias("class_start"))
-    dealt = packed.join(classes.select("key", "class", "buckets"), ["key", "class"]).withColumn("bucket", F.pmod(hash32(F.coalesce(F.col("id").cast("string"), F.lit("null"))), F.col("buckets"))).drop("buckets")
+    dealt = packed.join(classes.select("key", "class", "buckets"), ["key", "class"]).withColumn("bucket", F.pmod(hash32(F.coalesce(F.col("id").cast("string"), F.lit("null"))), F.col("buckets"))).drop("buckets").repartition("key", "class", "bucket")
     rank = F.row_number().over(Window.partitionBy("key", "class", "bucket").orderBy("size", "id"))
     in_class = Window.partitionBy("key", "class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counted = packed.select("key", "class", "id").join(classes.select("key", "class", "buckets"), ["key", "class"])
-    counted = counted.groupBy("key", "class", F.pmod(hash32(F.coalesce(F.col("id").cast("string"), F.lit("null"))), F.col("buckets")).alias("bucket")).count()
+    counted = dealt.groupBy("key", "class", "bucket").count()
     starts = counted.withColumn("bucket_start", F.coalesce(F.sum("count").over(in_class), F.lit(0)))
     starts = starts.join(classes.select("key", "class", "class_start"), ["key", "class"]).join(milli, "key").select("key", "class", "bucket", (F.col("class_start") + F.col("bucket_start")).alias("start"), "source_size", "target", "t", "s", "u")
     ranked = dealt.withColumn("rank", rank).join(starts, ["key", "class", "bucket"]).withColumn("rank", (F.col("start") + F.col("rank")).cast("decimal(18,0)"))
