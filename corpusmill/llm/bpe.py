@@ -13,6 +13,7 @@ a column of the result's name is replaced. Texts are encoded whole; memory for a
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,20 +29,23 @@ from pyspark.sql import types as T
 from corpusmill.llm.pieces import SPLIT, Memo
 
 RANKS = "byte_bpe_50k.tiktoken"
-KEPT_PAIRS = 500_000
+KEPT_MATCHES, KEPT_PAIRS = 250_000, 500_000
 
 
 class Codec:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
+        self.sizes = {i: len(t) for t, i in ranks.items()}
         self.shorter = {i: next((ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in ranks), None) for t, i in ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for t in ranks:
-            self.automaton.add_word(t[::-1].decode("latin-1"), len(t))
+            self.automaton.add_word(t[::-1].decode("latin-1"), ranks[t])
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.known = Memo()
+        self.matches: dict[str, bytes] = {}
+        self.old_matches: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """Merging by rank, plainly; for the bytes of two tokens."""
@@ -62,36 +66,35 @@ class Codec:
             found = self.pairs[left, right] = self.merged(a + b) == [a, b]
         return found
 
-    def longest(self, piece: bytes) -> np.ndarray:
-        """Length of the longest token from each place."""
-        n = len(piece)
-        out = np.zeros(n + 1, dtype=np.int32)
-        for end, length in self.automaton.iter(piece[::-1].decode("latin-1")):
-            at = n - 1 - end
-            if length > out[at]:
-                out[at] = length
-        return out
+    def longest(self, piece: bytes) -> list[int]:
+        """Id of the longest token from each place."""
+        # of the tokens that start at a place the automaton gives the longest first
+        found = {}
+        for end, token in self.automaton.iter(piece[::-1].decode("latin-1")):
+            if end not in found:
+                found[end] = token
+        return [found[end] for end in range(len(piece) - 1, -1, -1)]
 
     def encode_match(self, piece: bytes) -> list[int]:
         """Ids of one match of the split pattern."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        reach, n = self.longest(piece).tolist(), len(piece)
+        reach, n, sizes, pairs = self.longest(piece), len(piece), self.sizes, self.pairs
         open_places, ids, at = bytearray(b"\1") * (n + 1), [], 0
-        token = self.ranks[piece[: reach[0]]]
+        token = reach[0]
         while at < n:
-            end = at + len(self.tokens[token])
-            if open_places[end] and (not ids or self.fits(ids[-1], token)):
+            end = at + sizes[token]
+            if open_places[end] and (not ids or (pairs[ids[-1], token] if (ids[-1], token) in pairs else self.fits(ids[-1], token))):
                 ids.append(token)
                 at = end
                 if at < n:
-                    token = self.ranks[piece[at : at + reach[at]]]
+                    token = reach[at]
             elif (shorter := self.shorter[token]) is not None:
                 token = shorter
             else:
                 open_places[at] = 0
                 token = ids.pop()
-                at -= len(self.tokens[token])
+                at -= sizes[token]
         return ids
 
     def encode(self, text: str) -> np.ndarray:
@@ -99,7 +102,17 @@ class Codec:
         return np.frombuffer(self.known.encode(text, self._pieces), dtype=np.int32)
 
     def _pieces(self, parts: list[str]) -> list[bytes]:
-        return [np.array([i for m in SPLIT.findall(p) for i in self.encode_match(m.encode("utf-8", "surrogatepass"))], dtype=np.int32).tobytes() for p in parts]
+        return [b"".join([self.matches.get(m) or self._match(m) for m in SPLIT.findall(p)]) for p in parts]
+
+    def _match(self, match: str) -> bytes:
+        """Encoded match of the split pattern, from the old generation or anew."""
+        found = self.old_matches.get(match)
+        if found is None:
+            found = array("i", self.encode_match(match.encode("utf-8", "surrogatepass"))).tobytes()
+        if len(self.matches) >= KEPT_MATCHES:
+            self.old_matches, self.matches = self.matches, {}
+        self.matches[match] = found
+        return found
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.asarray(ids).tolist()))
@@ -137,7 +150,7 @@ def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", ranks: str
     """docs with an array of ids and, if named, a column of the bytes that these ids decode to."""
     docs = docs.drop(*{out, decoded or out} - {text_col})
     at, names = docs.columns.index(text_col), docs.columns
-    more = [T.StructField(out, T.ArrayType(T.IntegerType()))] + [T.StructField(decoded, T.BinaryType())] * bool(decoded)
+    more = [T.StructField(out, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks)

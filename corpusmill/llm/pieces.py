@@ -28,7 +28,7 @@ def pieces(text: str) -> list[str]:
 class Memo:
     """Encoded pieces in two generations: when the young one is full it becomes the old one, so what recurs stays and memory is bounded."""
 
-    def __init__(self, limit: int = 150_000):
+    def __init__(self, limit: int = 250_000):
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.limit = limit
