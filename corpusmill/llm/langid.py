@@ -134,7 +134,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             out.append((names[best], float(np.clip(cos[best], 0, 1))))
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return docs.withColumn("language", predict(F.col(text_col)))
+    # else a filter on the result would have the function run once more for each use
+    return docs.withColumn("language", predict.asNondeterministic()(F.col(text_col)))
 
 
 def held_out(id_col: str = "doc_id"):
