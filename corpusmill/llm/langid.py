@@ -66,7 +66,7 @@ def codes_of(text: str) -> np.ndarray:
     keep = np.ones(len(codes), dtype=bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
     codes = codes[keep]
-    return np.concatenate([np.zeros(1, np.uint8), codes[codes.argmax() if len(codes) and not codes[0] else 0 :], np.zeros(int(len(codes) > 0 and codes[-1] != 0), np.uint8)])
+    return np.concatenate([np.zeros(1, np.uint8), codes[int(len(codes) > 0 and codes[0] == 0) :], np.zeros(int(len(codes) > 0 and codes[-1] != 0), np.uint8)])
 
 
 def text_vector(text: str | None) -> np.ndarray | None:

@@ -1,0 +1,15 @@
+"""Cases of the first round's review, each against brute force."""
+
+import numpy as np
+import pytest
+
+from corpusmill.llm import langid
+
+
+@pytest.mark.parametrize("lead", ['"', "12 ", "\n", "¿", "# ", "(["])
+def test_language_reads_past_a_leading_non_letter(lead):
+    for text in ("the house is on the hill with a zebra", "qué es lo que los niños hacen según ellos", "a"):
+        assert langid.codes_of(lead + text).tolist() == langid.codes_of(text).tolist()
+        assert (langid.text_vector(lead + text) == langid.text_vector(text)).all()
+        assert np.count_nonzero(langid.codes_of(lead + text)) == sum(x.isalpha() for x in text)
+    assert langid.text_vector(lead) is None
