@@ -157,12 +157,19 @@ def near_duplicates(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """docs without the near-copies: of each component the document with the smallest id stays, of several rows with that id one."""
-    prints = cut(with_fingerprint(docs, text_col, words).select(F.col(id_col).alias("id"), "fingerprint"))
-    stays = near_duplicates(prints, "id").filter("id <=> component_id").select("id").distinct()
-    packed = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row"))
-    kept = packed.join(stays, packed["id"].eqNullSafe(stays["id"]), "left_semi")
-    return kept.groupBy("id").agg(F.first("row").alias("row")).select("row.*")
+    """docs without the near-copies: of each component one row stays, that with the smallest id (null ids last), then text hash, then other columns as JSON.
+
+    Components without an id keep a row each; rows of different components stay though they share an id.
+    """
+    key = F.sha2(F.col(text_col).cast("binary"), 256)
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), key.alias("key"))
+    prints = cut(with_fingerprint(docs.select(order.alias("least"), F.col(text_col).alias("text")), "text", words).groupBy("fingerprint").agg(F.min("least").alias("least")))
+    found = connected_components(near_fingerprints(prints))
+    roots = prints.join(found, prints["fingerprint"] == found["node"], "left").select(F.coalesce("component", "fingerprint").alias("root"), "least")
+    stays = roots.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.key")
+    packed = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.to_json(F.struct(*[c for c in docs.columns if c != text_col])).alias("rest"), F.struct("*").alias("row"))
+    kept = packed.join(stays, packed["id"].eqNullSafe(stays["id"]) & packed["key"].eqNullSafe(stays["key"]), "left_semi")
+    return kept.groupBy("id", "key").agg(F.min_by("row", "rest").alias("row")).select("row.*")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

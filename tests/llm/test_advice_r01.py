@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from corpusmill.llm import langid
+from corpusmill.llm import langid, simhash
 
 
 @pytest.mark.parametrize("lead", ['"', "12 ", "\n", "¿", "# ", "(["])
@@ -13,3 +13,20 @@ def test_language_reads_past_a_leading_non_letter(lead):
         assert (langid.text_vector(lead + text) == langid.text_vector(text)).all()
         assert np.count_nonzero(langid.codes_of(lead + text)) == sum(x.isalpha() for x in text)
     assert langid.text_vector(lead) is None
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Null and shared ids: what stays is the least row of each component by brute force, not one row of each id."""
+    texts = [" ".join(f"{c}{i}" for i in range(80)) for c in "abcdef"]
+    near = texts[0] + " a79"
+    rows = [(None, texts[1], "x"), (None, texts[2], "x"), (None, texts[2], "w"), (7, texts[3], "x"), (7, texts[4], "x"), (5, texts[0], "y"), (7, near, "x"), (None, texts[0], "x"), (9, texts[5], "z"), (9, texts[5], "b"), (9, None, "x"), (10, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    prints = [simhash.fingerprint(r[1]) for r in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= simhash.MAX_BITS:
+                root = [root[j] if x == root[i] else x for x in root]
+    assert root[6] == root[5] == root[7] and len(set(root)) == 7
+    want = [min((r for r, x in zip(rows, root, strict=True) if x == k), key=lambda r: (r[0] is None, r[0] or 0, r[2])) for k in set(root)]
+    assert sorted(map(str, (tuple(r) for r in simhash.keep_one(docs).collect()))) == sorted(map(str, want))
