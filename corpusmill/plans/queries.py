@@ -483,16 +483,16 @@ def o6(spark, sf):
 WITH RECURSIVE {CHUNKS_SQL}, c AS (SELECT chunk_id, token_count AS tokens, row_number() OVER (ORDER BY chunk_id) AS n FROM chunks WHERE chunk_id < 200),
 p AS (SELECT 0::BIGINT AS n, 4000::BIGINT AS remaining, NULL::BIGINT AS chunk_id UNION ALL SELECT c.n, CASE WHEN p.remaining >= 10 AND c.tokens <= p.remaining THEN p.remaining - c.tokens ELSE p.remaining END, CASE WHEN p.remaining >= 10 AND c.tokens <= p.remaining THEN c.chunk_id END FROM p JOIN c ON c.n = p.n + 1)
 SELECT chunk_id, remaining FROM p WHERE chunk_id IS NOT NULL""")
-def o7(spark, sf):
-    return packing.pack(chunks(spark, sf).filter("chunk_id < 200").select("chunk_id", F.col("token_count").alias("tokens")), 4000, ["chunk_id"]).select("chunk_id", "remaining")
+def o7(spark, sf, listed="chunk_id < 200"):
+    return packing.pack(chunks(spark, sf).filter(listed).select("chunk_id", F.col("token_count").alias("tokens")), 4000, ["chunk_id"]).select("chunk_id", "remaining")
 
 
 @query("o8_context_packing", f"""
 WITH RECURSIVE {NOTES_SQL}, c AS (SELECT uuid, kind, greatest(1, length(body) // 4) AS tokens, row_number() OVER (ORDER BY CASE kind WHEN 'decision' THEN 1 WHEN 'requirement' THEN 2 WHEN 'handoff' THEN 3 WHEN 'question' THEN 4 ELSE 5 END, created_at DESC, uuid) AS n FROM notes WHERE conv_id < 40),
 p AS (SELECT 0::BIGINT AS n, 3000::BIGINT AS remaining, NULL::VARCHAR AS uuid UNION ALL SELECT c.n, CASE WHEN c.tokens <= p.remaining THEN p.remaining - c.tokens ELSE p.remaining END, CASE WHEN c.tokens <= p.remaining THEN c.uuid END FROM p JOIN c ON c.n = p.n + 1)
 SELECT uuid, remaining FROM p WHERE uuid IS NOT NULL""")
-def o8(spark, sf):
-    rows = notes(spark, sf).filter("conv_id < 40").select("uuid", packing.section_priority(F.col("kind")).alias("p"), (-F.col("created_at")).alias("t"), X.estimate_tokens(F.col("body")).cast("long").alias("tokens"))
+def o8(spark, sf, listed="conv_id < 40"):
+    rows = notes(spark, sf).filter(listed).select("uuid", packing.section_priority(F.col("kind")).alias("p"), (-F.col("created_at")).alias("t"), X.estimate_tokens(F.col("body")).cast("long").alias("tokens"))
     return packing.pack(rows, 3000, ["p", "t", "uuid"], stop_below=0).select("uuid", "remaining")
 
 
@@ -733,3 +733,15 @@ def q8(spark, sf):
 @query("q12_q14_convention_reads", f"WITH {CHUNKS_SQL} SELECT coalesce(language, 'unknown') AS language, node_type, count(*) AS n FROM chunks WHERE language = 'en' GROUP BY 1, 2")
 def q12(spark, sf):
     return chunks(spark, sf).filter("language = 'en'").groupBy(F.coalesce("language", F.lit("unknown")).alias("language"), "node_type").agg(F.count("*").alias("n"))
+
+
+# the same over all rows, for queries whose SQL is of a part
+
+@query("o7_packing_whole")
+def o7_whole(spark, sf):
+    return o7(spark, sf, "true")
+
+
+@query("o8_context_packing_whole")
+def o8_whole(spark, sf):
+    return o8(spark, sf, "true")
