@@ -131,8 +131,8 @@ def f9(spark, sf):
 @query("f10_f11_subjects", """
 WITH s AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Fix: ' || substr(text, 1, 20) WHEN 1 THEN 'Bump version ' || doc_id WHEN 2 THEN 'Revert "x"' ELSE substr(text, 1, 30) END AS s FROM documents)
 SELECT doc_id, doc_id % 4 = 1 AS routine, doc_id % 4 IN (0, 2) AS failure FROM s WHERE doc_id % 4 < 3""")
-def f10(spark, sf):
-    s = table(spark, sf, "documents").filter("doc_id % 4 < 3").select("doc_id", F.expr("CASE doc_id % 4 WHEN 0 THEN concat('Fix: ', substr(text, 1, 20)) WHEN 1 THEN concat('Bump version ', doc_id) ELSE 'Revert \"x\"' END").alias("s"))
+def f10(spark, sf, listed="doc_id % 4 < 3"):
+    s = table(spark, sf, "documents").filter(listed).select("doc_id", F.expr("CASE doc_id % 4 WHEN 0 THEN concat('Fix: ', substr(text, 1, 20)) WHEN 1 THEN concat('Bump version ', doc_id) WHEN 2 THEN 'Revert \"x\"' ELSE substr(text, 1, 30) END").alias("s"))
     return s.select("doc_id", X.is_routine_subject(F.col("s")).alias("routine"), X.is_failure_subject(F.col("s")).alias("failure"))
 
 
@@ -260,9 +260,9 @@ def j18(spark, sf):
 @query("j19_conflicts", """
 WITH p AS (SELECT a.vec_id, b.vec_id AS other, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS n FROM p WHERE d <= 1.3) SELECT vec_id, other, round(d, 6) AS distance FROM r WHERE n <= 5""")
-def j19(spark, sf):
+def j19(spark, sf, asking="vec_id % 25 = 0"):
     v = vectors(spark, sf)
-    return V.conflicts(v, v.filter("vec_id % 25 = 0"), "vec_id", 1.3, block="label").select("vec_id", "other", F.round("distance", 6).alias("distance"))
+    return V.conflicts(v, v.filter(asking), "vec_id", 1.3, block="label").select("vec_id", "other", F.round("distance", 6).alias("distance"))
 
 
 # vectors and ranking
@@ -329,8 +329,8 @@ def b4(spark, sf):
 
 
 @query("b_postings", f"WITH {TOKENS_SQL}, p AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS k FROM t) SELECT doc_id, term, count(*) AS tf, min(k)::INTEGER - 1 AS first FROM p WHERE length(term) > 14 GROUP BY 1, 2")
-def postings(spark, sf):
-    return B.postings(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", ["text"]).filter(F.length("term") > 14).select("doc_id", "term", "tf", F.col("positions")[0].alias("first"))
+def postings(spark, sf, shown="length(term) > 14"):
+    return B.postings(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", ["text"]).filter(shown).select("doc_id", "term", "tf", F.col("positions")[0].alias("first"))
 
 
 HYBRID_SQL = f"""{TERM_SQL}, {L2_SQL.replace('s AS', 's2 AS')}, lt AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 60),
@@ -383,8 +383,8 @@ def r9(spark, sf):
 
 @query("r10_a8_a9_units", r"""WITH u AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t]*\n\s*')) AS u FROM documents WHERE doc_id % 4 <> 0), c AS (SELECT doc_id, substr(trim(u, E' \t\n\r'), 1, 2000) AS u FROM u)
 SELECT doc_id, least(count(*), 64) AS n FROM c WHERE length(u) >= 3 GROUP BY 1""")
-def r10(spark, sf):
-    c = chunks(spark, sf).filter("chunk_id % 4 != 0").select(F.col("chunk_id").alias("doc_id"), units(F.col("content"), F.col("node_type")).alias("u"))
+def r10(spark, sf, listed="chunk_id % 4 != 0"):
+    c = chunks(spark, sf).filter(listed).select(F.col("chunk_id").alias("doc_id"), units(F.col("content"), F.col("node_type")).alias("u"))
     return c.filter("size(u) > 0").select("doc_id", F.size("u").cast("long").alias("n"))
 
 
@@ -455,9 +455,9 @@ def g11(spark, sf):
 WITH q AS (SELECT vec_id AS q, label AS ql, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0), r AS (SELECT q, ql, vec_id, label, row_number() OVER (PARTITION BY q ORDER BY list_sum(list_transform(list_zip(embedding, qv), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) DESC, vec_id) AS rank FROM q, embeddings WHERE vec_id <> q),
 g AS (SELECT q, coalesce(max(CASE WHEN rank <= 10 AND label = ql THEN 1.0::DOUBLE / rank END), 0) AS mrr, sum(CASE WHEN rank <= 10 AND label = ql THEN 1 ELSE 0 END) AS found, sum(CASE WHEN rank <= 10 AND label = ql THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN label = ql THEN 1 ELSE 0 END) AS n, sum(CASE WHEN label = ql AND rank * 10 <= 200 THEN 1 ELSE 0 END) AS inside FROM r GROUP BY q)
 SELECT q AS query, round(mrr, 6) AS mrr, round(found * 1.0::DOUBLE / n, 6) AS recall, round(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i)), 6) AS ndcg, round(inside * 1.0::DOUBLE / n, 6) AS recall_in_budget FROM g""")
-def g17(spark, sf):
+def g17(spark, sf, asking="vec_id % 50 = 0"):
     v = vectors(spark, sf)
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("ql"), F.col("embedding").alias("qv"))
+    q = v.filter(asking).select(F.col("vec_id").alias("query"), F.col("label").alias("ql"), F.col("embedding").alias("qv"))
     pairs = q.join(v, F.col("vec_id") != F.col("query")).withColumn("s", V.dot(F.col("embedding"), F.col("qv")))
     ranked = pairs.select("query", "ql", "label", F.col("vec_id").alias("item"), F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "vec_id")).alias("rank"), F.lit(10).alias("tokens"))
     got = stats.retrieval_metrics(ranked, ranked.filter("label = ql").select("query", "item"), 10, 200)
@@ -613,10 +613,10 @@ def p1(spark, sf):
 
 
 @query("p6_q7_replace_edges", f"WITH {EDGES_SQL}, n AS (SELECT source_file, source_name, target_name, kind, 0 AS line FROM edges WHERE source_file = 'f3' AND kind = 'calls'), r AS (SELECT * FROM edges WHERE source_file NOT IN (SELECT source_file FROM n) UNION ALL SELECT * FROM n) SELECT source_file, kind, count(*) AS n FROM r WHERE source_file IN ('f3', 'f4') GROUP BY 1, 2")
-def p6(spark, sf):
+def p6(spark, sf, shown="source_file in ('f3', 'f4')"):
     e = edges(spark, sf)
     new = e.filter("source_file = 'f3' and kind = 'calls'").withColumn("line", F.lit(0))
-    return graph.replace_by_file(e, new).filter("source_file in ('f3', 'f4')").groupBy("source_file", "kind").agg(F.count("*").alias("n"))
+    return graph.replace_by_file(e, new).filter(shown).groupBy("source_file", "kind").agg(F.count("*").alias("n"))
 
 
 @query("m1_insert_or_merge", f"""WITH {NOTES_SQL}, a AS (SELECT * FROM notes WHERE conv_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at, uuid) = 1), b AS (SELECT * FROM notes WHERE conv_id % 2 = 1),
@@ -745,3 +745,33 @@ def o7_whole(spark, sf):
 @query("o8_context_packing_whole")
 def o8_whole(spark, sf):
     return o8(spark, sf, "true")
+
+
+@query("r10_a8_a9_units_whole")
+def r10_whole(spark, sf):
+    return r10(spark, sf, "true")
+
+
+@query("b_postings_whole")
+def postings_whole(spark, sf):
+    return postings(spark, sf, "true")
+
+
+@query("p6_q7_replace_edges_whole")
+def p6_whole(spark, sf):
+    return p6(spark, sf, "true")
+
+
+@query("f10_f11_subjects_whole")
+def f10_whole(spark, sf):
+    return f10(spark, sf, "true")
+
+
+@query("g17_retrieval_metrics_whole")
+def g17_whole(spark, sf):
+    return g17(spark, sf, "vec_id % 20 = 0")
+
+
+@query("j19_conflicts_whole")
+def j19_whole(spark, sf):
+    return j19(spark, sf, "vec_id % 20 = 0")
