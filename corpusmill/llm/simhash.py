@@ -1,10 +1,10 @@
-"""SimHash near-duplicates through an inverted index over byte positions, with count filtering.
+"""SimHash near-duplicates through an inverted index over byte positions.
 
 A fingerprint is 8 bytes. Two that differ in at most 3 bits share at least 5 positional bytes. A posting list of one
 position and value would hold a 256th of all fingerprints, so postings are kept for the 14 sets of four positions
 {a, b, c, d} with a ^ b ^ c ^ d = 0: any five positions contain one of these sets, so a pair that reaches the minimum
-of 5 shared bytes meets in a list of 32 equal bits. In a list the shared positional bytes of a pair are
-tallied, pairs below the minimum fall away and the rest are verified by their differing bits.
+of 5 shared bytes meets in a list of 32 equal bits. In a list pairs are verified by their differing bits, which stands in
+for the tally: a pair within 3 bits always shares 5 bytes, so the tally after it drops none, and dense lists have none.
 
 Equal fingerprints are one entry, lists hold fingerprints only, and a list gives the links of a spanning forest, not all pairs:
 links join the same documents. A list over ``DENSE`` entries is split by a fifth position (one of the other four bytes is equal), and if that isn't enough,
