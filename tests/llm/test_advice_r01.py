@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from corpusmill.llm import langid, simhash
+from corpusmill.llm import langid, simhash, tokenfiles
 
 
 @pytest.mark.parametrize("lead", ['"', "12 ", "\n", "¿", "# ", "(["])
@@ -30,3 +30,8 @@ def test_one_row_of_each_component_stays(spark):
     assert root[6] == root[5] == root[7] and len(set(root)) == 7
     want = [min((r for r, x in zip(rows, root, strict=True) if x == k), key=lambda r: (r[0] is None, r[0] or 0, r[2])) for k in set(root)]
     assert sorted(map(str, (tuple(r) for r in simhash.keep_one(docs).collect()))) == sorted(map(str, want))
+
+
+def test_special_tokens_in_a_text_are_plain_text():
+    """The README's choice; the tokenizer as loaded gives [437, 220, 50256, 1306]."""
+    assert tokenfiles.encode_text("end <|endoftext|> next").tolist() == [437, 1279, 91, 437, 1659, 5239, 91, 29, 1306]
