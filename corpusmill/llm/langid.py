@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTH, OTHER, GRAM, SEED = 512, 29, 3, 9
+#: n-gram vectors kept and used at once, and the n-grams from which counting beats sorting.
+KEPT, CHUNK, MANY = 32_768, 4_096, 30_000
 CODES = 27 + OTHER
 
 
@@ -43,10 +45,28 @@ def letter_vectors() -> np.ndarray:
     return np.stack(out)
 
 
+class GramStore:
+    """Vectors of the n-grams met last, as int8; when KEPT are held the store starts anew, so a worker keeps 16 MB at most."""
+
+    def __init__(self):
+        self.place = np.full(CODES**GRAM, -1, dtype=np.int32)
+        self.vectors, self.used = np.zeros((KEPT, WIDTH), dtype=np.int8), 0
+
+    def rows(self, grams: np.ndarray) -> np.ndarray:
+        """Vectors of KEPT different n-gram codes or fewer."""
+        new = grams[self.place[grams] < 0]
+        if self.used + len(new) > KEPT:
+            self.place[:], self.used, new = -1, 0, grams
+        letters, to = letter_vectors(), self.used + len(new)
+        self.vectors[self.used : to] = letters[2, new // CODES**2] * letters[1, new // CODES % CODES] * letters[0, new % CODES]
+        self.place[new] = np.arange(self.used, to)
+        self.used = to
+        return self.vectors[self.place[grams]]
+
+
 @lru_cache(1)
-def gram_store() -> tuple[np.ndarray, list]:
-    """Row of each n-gram code in the list's array of vectors, -1 if it isn't made yet; the array grows as needed."""
-    return np.full(CODES**GRAM, -1, dtype=np.int32), [np.zeros((0, WIDTH), dtype=np.float32)]
+def gram_store() -> GramStore:
+    return GramStore()
 
 
 @lru_cache(1)
@@ -77,16 +97,16 @@ def text_vector(text: str | None) -> np.ndarray | None:
     if len(codes) < GRAM or not codes.any():
         return None
     grams = (codes[:-2] * CODES + codes[1:-1]) * CODES + codes[2:]
-    counts = np.bincount(grams, minlength=0)
-    found = np.flatnonzero(counts)
-    rows, store = gram_store()
-    new = found[rows[found] < 0]
-    if len(new):
-        letters = letter_vectors()
-        made = letters[2, new // CODES**2] * letters[1, new // CODES % CODES] * letters[0, new % CODES]
-        rows[new] = np.arange(len(store[0]), len(store[0]) + len(new))
-        store[0] = np.concatenate([store[0], made.astype(np.float32)])
-    return counts[found].astype(np.float32) @ store[0][rows[found]]
+    if len(grams) < MANY:
+        found, counts = np.unique(grams, return_counts=True)
+    else:
+        counts = np.bincount(grams)
+        found = np.flatnonzero(counts)
+        counts = counts[found]
+    out, counts = np.zeros(WIDTH, dtype=np.float32), counts.astype(np.float32)
+    for at in range(0, len(found), CHUNK):
+        out += counts[at : at + CHUNK] @ gram_store().rows(found[at : at + CHUNK]).astype(np.float32)
+    return out
 
 
 def _bundles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
