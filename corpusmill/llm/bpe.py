@@ -1,11 +1,14 @@
 """Byte-level BPE encoding and decoding by longest matches and backtracking.
 
-A rank file's tokens, their bytes mapped to Latin-1, are the words of an Aho-Corasick automaton, built on reversed tokens:
-one pass over a reversed piece gives the longest token that starts at each place. The encoder takes longest matches from the left. A token
+A rank file's tokens, their bytes mapped to Latin-1, and all beginnings of tokens are the words of a pyahocorasick trie; a beginning's value is the longest
+token that begins it, so the longest prefix of a piece that the trie knows gives the longest token there. The encoder takes longest matches from the left. A token
 may follow another only if merging their bytes yields just these two again, which is looked up in a memo; a sequence whose neighbours
 are all compatible is the one that merging by rank gives. Where no shorter token fits either, the place is marked and the encoder steps back,
 so every place is tried a bounded number of times and the time is linear in the piece.
 
+Whether two tokens are compatible follows from undoing their last merges, the later one first: none of the pairs that so come to touch may be
+a token that merging by rank would have made earlier.
+
 Defined results: a null text is encoded as an empty one; no ids decode to no bytes; an unknown id raises; equal rows get equal results; other columns are kept,
 a column of the result's name is replaced. Texts are encoded whole; memory for a text grows by about one number a byte.
 """
@@ -26,93 +29,123 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.pieces import SPLIT, Memo
+from corpusmill.llm.pieces import SPLIT, Memo, pieces
 
 RANKS = "byte_bpe_50k.tiktoken"
-KEPT_MATCHES, KEPT_PAIRS = 250_000, 500_000
+#: Compatible pairs kept, and bytes of pieces and matches kept in each of two generations.
+KEPT_PAIRS, KEPT_BYTES = 150_000, 24 << 20
 
 
 class Codec:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.tokens = {i: t for t, i in ranks.items()}
-        self.sizes = {i: len(t) for t, i in ranks.items()}
-        self.shorter = {i: next((ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in ranks), None) for t, i in ranks.items()}
-        self.automaton = ahocorasick.Automaton()
-        for t in ranks:
-            self.automaton.add_word(t[::-1].decode("latin-1"), ranks[t])
-        self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.known = Memo()
-        self.matches: dict[str, bytes] = {}
-        self.old_matches: dict[str, bytes] = {}
-
-    def merged(self, data: bytes) -> list[bytes]:
-        """Merging by rank, plainly; for the bytes of two tokens."""
+        self.tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        for t, i in ranks.items():
+            self.tokens[i] = t
+        self.sizes = [len(t or b"") for t in self.tokens]
+        self.most = max(self.sizes, default=1)
+        self.trie = ahocorasick.Automaton()
+        for t in sorted(ranks, key=len):
+            name = t.decode("latin-1")
+            for n in range(1, len(name)):
+                if name[:n] not in self.trie:
+                    self.trie.add_word(name[:n], self.trie.get(name[: n - 1], -1))
+            self.trie.add_word(name, ranks[t])
+        self.pairs: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.known = Memo(KEPT_BYTES)
+
+    def merged(self, data: bytes, below: int | None = None) -> list[bytes]:
+        """Merging by rank, plainly; for the bytes of a token or two. Ranks from ``below`` on are left out."""
         parts = [data[i : i + 1] for i in range(len(data))]
+        none = len(self.tokens) if below is None else below
         while len(parts) > 1:
-            rank, at = min((self.ranks.get(a + b, len(self.ranks)), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == len(self.ranks):
+            rank, at = min((self.ranks.get(a + b, none), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank >= none:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def halves_of(self, token: int) -> tuple[int, int]:
+        """The two tokens whose merge makes this one; itself twice if it is a byte, (-1, -1) if merging never makes it."""
+        if (found := self.halves.get(token)) is None:
+            data = self.tokens[token]
+            parts = [self.ranks.get(p, -1) for p in self.merged(data, token)]
+            found = self.halves[token] = (token, token) if len(data) == 1 else tuple(parts) if len(parts) == 2 else (-1, -1)
+        return found
+
     def fits(self, left: int, right: int) -> bool:
         """Whether the two tokens may stand side by side."""
-        if (found := self.pairs.get((left, right))) is None:
+        key = left << 32 | right
+        if (found := self.pairs.get(key)) is None:
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            a, b = self.tokens[left], self.tokens[right]
-            found = self.pairs[left, right] = self.merged(a + b) == [a, b]
+            found = self.pairs[key] = self._fits(left, right)
         return found
 
-    def longest(self, piece: bytes) -> list[int]:
-        """Id of the longest token from each place."""
-        # of the tokens that start at a place the automaton gives the longest first
-        found = {}
-        for end, token in self.automaton.iter(piece[::-1].decode("latin-1")):
-            if end not in found:
-                found[end] = token
-        return [found[end] for end in range(len(piece) - 1, -1, -1)]
+    def _fits(self, left: int, right: int) -> bool:
+        tokens, ranks, first, second = self.tokens, self.ranks, left, right
+        earliest = len(tokens)
+        while True:
+            made = ranks.get(tokens[left] + tokens[right])
+            if made is not None and made < earliest:
+                return False
+            # a merge on the left side wins over an equal one further right
+            if left > right or self.sizes[right] == 1:
+                if self.sizes[left] == 1:
+                    return True
+                earliest, left = left, self.halves_of(left)[1]
+            else:
+                earliest, right = right + 1, self.halves_of(right)[0]
+            if left < 0 or right < 0:
+                return self.merged(tokens[first] + tokens[second]) == [tokens[first], tokens[second]]
 
     def encode_match(self, piece: bytes) -> list[int]:
         """Ids of one match of the split pattern."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        reach, n, sizes, pairs = self.longest(piece), len(piece), self.sizes, self.pairs
-        open_places, ids, at = bytearray(b"\1") * (n + 1), [], 0
-        token = reach[0]
+        text, n, sizes, pairs, most = piece.decode("latin-1"), len(piece), self.sizes, self.pairs, self.most
+        reach, value = self.trie.longest_prefix, self.trie.get
+        open_places, ids, at, last = None, [], 0, -1
+        rest = text[:most]
+        token = value(rest[: reach(rest)])
         while at < n:
             end = at + sizes[token]
-            if open_places[end] and (not ids or (pairs[ids[-1], token] if (ids[-1], token) in pairs else self.fits(ids[-1], token))):
+            if (open_places is None or open_places[end]) and (last < 0 or (fit if (fit := pairs.get(last << 32 | token)) is not None else self.fits(last, token))):
                 ids.append(token)
-                at = end
+                at, last = end, token
                 if at < n:
-                    token = reach[at]
-            elif (shorter := self.shorter[token]) is not None:
+                    rest = text[at : at + most]
+                    token = value(rest[: reach(rest)])
+            elif sizes[token] > 1 and (shorter := value(text[at : end - 1])) >= 0:
                 token = shorter
             else:
+                if open_places is None:
+                    open_places = bytearray(b"\1") * (n + 1)
                 open_places[at] = 0
                 token = ids.pop()
                 at -= sizes[token]
+                last = ids[-1] if ids else -1
         return ids
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text."""
-        return np.frombuffer(self.known.encode(text, self._pieces), dtype=np.int32)
+        return np.frombuffer(self.known.encode(pieces(text), self._pieces) if text else b"", dtype=np.int32)
 
     def _pieces(self, parts: list[str]) -> list[bytes]:
-        return [b"".join([self.matches.get(m) or self._match(m) for m in SPLIT.findall(p)]) for p in parts]
+        out = []
+        for p in parts:
+            matches = SPLIT.findall(p)
+            out.append(self._match(p) if len(matches) == 1 else b"".join([found if (found := self.known.get(m)) is not None else self._kept(m) for m in matches]))
+        return out
+
+    def _kept(self, match: str) -> bytes:
+        found = self._match(match)
+        self.known.keep(match, found)
+        return found
 
     def _match(self, match: str) -> bytes:
-        """Encoded match of the split pattern, from the old generation or anew."""
-        found = self.old_matches.get(match)
-        if found is None:
-            found = array("i", self.encode_match(match.encode("utf-8", "surrogatepass"))).tobytes()
-        if len(self.matches) >= KEPT_MATCHES:
-            self.old_matches, self.matches = self.matches, {}
-        self.matches[match] = found
-        return found
+        return array("i", self.encode_match(match.encode("utf-8", "surrogatepass"))).tobytes()
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.asarray(ids).tolist()))

@@ -26,25 +26,40 @@ def pieces(text: str) -> list[str]:
 
 
 class Memo:
-    """Encoded pieces in two generations: when the young one is full it becomes the old one, so what recurs stays and memory is bounded."""
+    """Encoded pieces in two generations: when the young one is full it becomes the old one, so what recurs stays and memory is bounded.
 
-    def __init__(self, limit: int = 250_000):
+    ``limit`` bounds the bytes of a generation, ``ENTRY`` standing for an entry's objects and its place in the table. What is longer than
+    ``LONGEST`` characters is encoded anew each time.
+    """
+
+    ENTRY, LONGEST = 160, 256
+
+    def __init__(self, limit: int = 16 << 20):
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.limit = limit
+        self.limit, self.size = limit, 0
 
-    def encode(self, text: str, make: Callable[[list[str]], list[bytes]]) -> bytes:
-        """The encoded pieces of a text, joined; make() encodes the ones that are not known."""
-        if not text:
-            return b""
-        parts = pieces(text)
+    def encode(self, parts: list[str], make: Callable[[list[str]], list[bytes]]) -> bytes:
+        """The encoded pieces, joined; make() encodes the ones that are not known."""
         found = list(map(self.young.get, parts))
         if None in found:
-            missing = dict.fromkeys(p for p, f in zip(parts, found, strict=True) if f is None)
-            new = [p for p in missing if p not in self.old]
-            fresh = {p: self.old[p] for p in missing if p in self.old} | dict(zip(new, make(new), strict=True))
-            if len(self.young) + len(fresh) > self.limit:
-                self.old, self.young = self.young, {}
-            self.young |= fresh
-            found = [f if f is not None else fresh[p] for p, f in zip(parts, found, strict=True)]
+            missing = dict.fromkeys([p for p, f in zip(parts, found, strict=True) if f is None])
+            if self.old:
+                missing |= {p: f for p in missing if (f := self.old.get(p)) is not None}
+            new = [p for p, f in missing.items() if f is None]
+            missing |= zip(new, make(new), strict=True)
+            found = [missing[p] if f is None else f for p, f in zip(parts, found, strict=True)]
+            for p, f in missing.items():
+                self.keep(p, f)
         return b"".join(found)
+
+    def get(self, piece: str) -> bytes | None:
+        return found if (found := self.young.get(piece)) is not None else self.old.get(piece)
+
+    def keep(self, piece: str, encoded: bytes) -> None:
+        n = len(piece)
+        if n <= self.LONGEST:
+            self.young[piece] = encoded
+            self.size += self.ENTRY + 2 * n + len(encoded)
+            if self.size > self.limit:
+                self.old, self.young, self.size = self.young, {}, 0
