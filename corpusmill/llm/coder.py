@@ -1,13 +1,14 @@
 """Adaptive context-mixing range coder for token ids, in independently reset and checksummed blocks.
 
-An image is a header (magic, tokens, block length, alphabet), a directory (bytes and CRC-32 of each block's ids) and the blocks. All
-blocks of an image are coded in step, one lane each, so that a step is a few array operations for all of them; a lane starts from an empty model
-and reads nothing of the others.
+An image is a header (magic, tokens, block length, alphabet), a directory (bytes and CRC-32 of each block's ids) and the blocks. Blocks
+of an image are coded in step, one lane each, so that a step is a few array operations for all of them; a lane starts from an empty model
+and reads nothing of the others. Within a lane an id goes by its place in the order of first appearance, so the model's tables grow with a block and not with the alphabet.
 
 A token's probability mixes three predictions: order 2 names the id last seen after the two ids before, order 1 the id last seen after the
-one before, and order 0 spreads over the ids seen in the block by their counts, with an escape to all ids of the alphabet. The weights
-of orders 1 and 2 follow how often they have been right in the lane. The order 0 table is renewed at fixed steps, from counts that
-grow with every token. A token takes one step of a carryless 64-bit range coder with 16-bit output, an escaped one two.
+one before, and order 0 spreads over the ids seen in the block by their counts, with an escape weighed by the number of different ids. The weights
+of orders 1 and 2 follow how often they have been right in the lane. The order 0 table is renewed at fixed steps; an escape is
+followed by the place of an id seen since, or by one place more and an id of the alphabet, in halves of 16 bits. A token takes one step of a 48-bit range coder
+with 16-bit digits, an escaped one up to four; carries are added up at the end.
 """
 
 from __future__ import annotations
@@ -17,227 +18,287 @@ import zlib
 
 import numpy as np
 
-MAGIC, BLOCK, SLOTS, HASHED, NONE = b"TKCM", 2048, 4096, 4096, 65535
-RENEW = (16, 64, 256, 1024)
-TOP, BOTTOM, SHIFT = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
-ONE = np.uint64(1)
+MAGIC, BLOCK, LANES, SLOTS, HASHED, NONE = b"TKC2", 2048, 4096, 4096, 4096, 65535
+RENEW = (8, 32, 96, 256, 512, 1024, 1536)
+LEAST, MASK, TOTAL = 1 << 32, (1 << 32) - 1, 1 << 16
+HIT, RATE = 30000, 5
 
 
 class Model:
-    """Order 0 to 2 predictions of all lanes."""
+    """Order 0 to 2 predictions of all lanes over the places of ids; ``kinds`` bounds the different ids of a block."""
 
-    def __init__(self, lanes: int, ids: int):
-        self.lanes, self.ids = lanes, ids
+    def __init__(self, lanes: int, kinds: int, slots: bool):
+        self.lanes, self.kinds, self.slots = lanes, kinds, slots
         self.lane = np.arange(lanes, dtype=np.int64)
-        self.counts = np.zeros((lanes, ids + 1), dtype=np.uint16)
-        self.after_one = np.full(lanes * (ids + 1), NONE, dtype=np.uint16)
+        self.row, self.row_two = self.lane * (kinds + 1), self.lane * HASHED
+        self.counts = np.zeros(lanes * (kinds + 1), dtype=np.int32)
+        self.counted = 0
+        self.after_one = np.full(lanes * (kinds + 1), NONE, dtype=np.uint16)
         self.after_two = np.full(lanes * HASHED, NONE, dtype=np.uint16)
-        self.weight = np.full((2, lanes), 4000, dtype=np.int32)
-        self.one = np.full(lanes, ids, dtype=np.int64)
-        self.two = np.full(lanes, ids, dtype=np.int64)
-        self.renew()
-
-    def renew(self) -> None:
-        """Slots of order 0: one for each id seen, the rest by count; what rounding leaves is the escape's (id ``ids``)."""
-        counts = self.counts[:, :-1]
-        row, col = np.nonzero(counts)
-        seen = counts[row, col].astype(np.int64)
-        kinds, total = np.bincount(row, minlength=self.lanes), np.bincount(row, seen, self.lanes).astype(np.int64)
-        share = 1 + seen * (SLOTS - 1 - kinds)[row] // np.maximum(total, 1)[row]
-        freq = np.zeros((self.lanes, self.ids + 1), dtype=np.uint16)
-        freq[row, col] = share
-        freq[:, -1] = SLOTS - np.bincount(row, share, self.lanes).astype(np.int64)
-        first = np.cumsum(freq, axis=1, dtype=np.uint16) - freq
-        row, col = np.nonzero(freq)
-        self.slot = np.repeat(col.astype(np.uint16), freq[row, col])
+        self.weight_one, self.weight_two = np.full(lanes, 4000, dtype=np.int64), np.full(lanes, 4000, dtype=np.int64)
+        self.one, self.two = np.full(lanes, kinds, dtype=np.int64), np.full(lanes, kinds, dtype=np.int64)
+        self.renew(np.zeros((0, lanes), np.uint16), np.zeros(lanes, np.int64))
+
+    def renew(self, rows: np.ndarray, seen: np.ndarray) -> None:
+        """Slots of order 0 from all steps so far: one for each id seen, the rest by count; the escape is place ``kinds``."""
+        if len(rows) > self.counted:
+            self.counts += np.bincount((rows[self.counted :] + self.row).ravel(), minlength=len(self.counts)).astype(np.int32)
+        self.counted, self.known = len(rows), seen.copy()
+        width = int(seen.max(initial=0))
+        counts = self.counts.reshape(self.lanes, -1)[:, :width]
+        share = (SLOTS - 1 - seen)[:, None] * counts // (len(rows) + seen + 1)[:, None]
+        share += np.arange(width) < seen[:, None]
+        freq = np.zeros((self.lanes, self.kinds + 1), dtype=np.uint16)
+        freq[:, :width] = share
+        freq[:, -1] = SLOTS - share.sum(axis=1)
+        first = np.zeros_like(freq)
+        np.cumsum(share[:, :-1], axis=1, out=share[:, :-1])
+        first[:, 1:width] = share[:, :-1]
+        first[:, -1] = SLOTS - freq[:, -1]
         self.freq, self.first = freq.ravel(), first.ravel()
+        if self.slots:
+            places = np.append(np.arange(width, dtype=np.uint16), np.uint16(self.kinds))
+            self.slot = np.repeat(np.tile(places, self.lanes), freq[:, np.append(np.arange(width), self.kinds)].ravel())
 
     def predict(self):
-        """(id of order 1, of order 2, weight 1, weight 2, weight 0); an order without a prediction has weight 0."""
-        self.at_one = self.lane * (self.ids + 1) + self.one
-        self.at_two = self.lane * HASHED + ((self.two * 40503 + self.one * 30103) & (HASHED - 1))
+        """(place of order 1, of order 2, whether they count, weights 1, 2 and 0)."""
+        self.at_one = self.row + self.one
+        self.at_two = self.row_two + ((self.two * 40503 + self.one * 30103) & (HASHED - 1))
         p1, p2 = self.after_one[self.at_one], self.after_two[self.at_two]
-        w2 = self.weight[1] * (p2 != NONE)
-        w1 = self.weight[0] * ((p1 != NONE) & (p1 != p2))
-        return p1, p2, w1, w2, 65536 - w1 - w2
-
-    def learn(self, x: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> None:
-        known = p2 != NONE
-        self.weight[1] += ((((x == p2) * 30000) - self.weight[1]) * known) >> 5
-        known = (p1 != NONE) & (p1 != p2)
-        self.weight[0] += ((((x == p1) * 30000) - self.weight[0]) * known) >> 5
-        np.maximum(self.weight, 32, out=self.weight)
+        k2 = p2 != NONE
+        k1 = (p1 != NONE) & (p1 != p2)
+        w1, w2 = self.weight_one * k1, self.weight_two * k2
+        return p1, p2, k1, k2, w1, w2, TOTAL - w1 - w2
+
+    def learn(self, x: np.ndarray, hit1: np.ndarray, hit2: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> None:
+        self.weight_two += ((hit2 * HIT - self.weight_two) * k2) >> RATE
+        self.weight_one += ((hit1 * HIT - self.weight_one) * k1) >> RATE
+        np.maximum(self.weight_two, 32, out=self.weight_two)
+        np.maximum(self.weight_one, 32, out=self.weight_one)
         self.after_one[self.at_one] = x
         self.after_two[self.at_two] = x
-        self.counts[self.lane, x] += 1
         self.two, self.one = self.one, x.astype(np.int64)
 
 
 class Encoder:
-    def __init__(self, lanes: int, words: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-        self.out, self.at, self.width = np.zeros(lanes * words, np.uint16), np.arange(lanes) * words, words
-        self.lane = np.arange(lanes)
-
-    def step(self, first: np.ndarray, freq: np.ndarray, lanes=slice(None)) -> None:
-        part = self.range[lanes] >> SHIFT
-        low, span = self.low[lanes] + first.astype(np.uint64) * part, freq.astype(np.uint64) * part
-        ids = self.lane[lanes]
-        while True:
-            same = (low ^ (low + span)) < TOP
-            full = same | (span < BOTTOM)
-            go = np.flatnonzero(full)
-            if not len(go):
-                break
-            cutoff = go[~same[go]]
-            span[cutoff] = (~low[cutoff] + ONE) & (BOTTOM - ONE)
-            at = self.at[ids[go]]
-            self.out[at] = (low[go] >> np.uint64(48)).astype(np.uint16)
-            self.at[ids[go]] = at + 1
-            low[go] <<= SHIFT
-            span[go] <<= SHIFT
-        self.low[lanes], self.range[lanes] = low, span
+    """The interval's low end is kept without its carries, which go into the digits' 17th bits."""
+
+    def __init__(self, lanes: int, digits: int):
+        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
+        self.out, self.width = np.zeros(lanes * digits, np.uint32), digits
+        self.at = np.arange(lanes) * digits
+
+    def _shift(self, go: np.ndarray) -> None:
+        at, low = self.at[go], self.low[go]
+        self.out[at] = low >> 32
+        self.at[go] = at + 1
+        self.low[go] = (low & MASK) << 16
+        self.range[go] <<= 16
+
+    def step(self, first: np.ndarray, freq: np.ndarray) -> None:
+        part = self.range >> 16
+        self.low += first * part
+        self.range = freq * part
+        self._shift(np.flatnonzero(self.range < LEAST))
+
+    def step_in(self, lanes: np.ndarray, first: np.ndarray, freq: np.ndarray) -> None:
+        part = self.range[lanes] >> 16
+        self.low[lanes] += first * part
+        self.range[lanes] = span = freq * part
+        self._shift(lanes[span < LEAST])
 
     def finish(self) -> list[bytes]:
-        for k in (48, 32, 16, 0):
-            self.out[self.at] = (self.low >> np.uint64(k)).astype(np.uint16)
-            self.at += 1
-        return [self.out[i * self.width : e].tobytes() for i, e in enumerate(self.at.tolist())]
+        for _ in range(3):
+            self._shift(np.arange(len(self.low)))
+        digits, lengths = self.out.reshape(len(self.low), -1), self.at - np.arange(len(self.low)) * self.width
+        digits = digits[:, : int(lengths.max())]
+        while (carry := digits >> 16).any():
+            digits = digits & 0xFFFF
+            digits[:, :-1] += carry[:, 1:]
+        digits = digits.astype("<u2")
+        return [d[:n].tobytes() for d, n in zip(digits, lengths.tolist(), strict=True)]
 
 
 class Decoder:
     def __init__(self, data: list[bytes]):
-        words = max(map(len, data)) // 2 + 8
-        self.words = np.zeros((len(data), words), np.uint16)
+        digits = max(map(len, data)) // 2 + 8
+        self.digits = np.zeros((len(data), digits), np.uint16)
         for i, d in enumerate(data):
-            self.words[i, : len(d) // 2] = np.frombuffer(d, np.uint16)
-        self.words, self.at = self.words.ravel(), np.arange(len(data)) * words
-        self.low, self.range, self.code = np.zeros(len(data), np.uint64), np.full(len(data), (1 << 64) - 1, np.uint64), np.zeros(len(data), np.uint64)
-        self.lane = np.arange(len(data))
-        for _ in range(4):
-            self.code = (self.code << SHIFT) | self.words[self.at]
+            self.digits[i, : len(d) // 2] = np.frombuffer(d, "<u2")
+        self.digits, self.at = self.digits.ravel(), np.arange(len(data)) * digits
+        self.range, self.code = np.full(len(data), 1 << 48, np.int64), np.zeros(len(data), np.int64)
+        for _ in range(3):
+            self.code = (self.code << 16) | self.digits[self.at]
             self.at += 1
 
-    def value(self, lanes=slice(None)) -> np.ndarray:
-        return np.minimum((self.code[lanes] - self.low[lanes]) // (self.range[lanes] >> SHIFT), np.uint64(65535)).astype(np.int32)
-
-    def step(self, first: np.ndarray, freq: np.ndarray, lanes=slice(None)) -> None:
-        part = self.range[lanes] >> SHIFT
-        low, span, code = self.low[lanes] + first.astype(np.uint64) * part, freq.astype(np.uint64) * part, self.code[lanes]
-        ids = self.lane[lanes]
-        while True:
-            same = (low ^ (low + span)) < TOP
-            full = same | (span < BOTTOM)
-            go = np.flatnonzero(full)
-            if not len(go):
-                break
-            cutoff = go[~same[go]]
-            span[cutoff] = (~low[cutoff] + ONE) & (BOTTOM - ONE)
-            at = self.at[ids[go]]
-            code[go] = (code[go] << SHIFT) | self.words[at]
-            self.at[ids[go]] = at + 1
-            low[go] <<= SHIFT
-            span[go] <<= SHIFT
-        self.low[lanes], self.range[lanes], self.code[lanes] = low, span, code
-
-
-def _lanes(blocks: int, alphabet: int) -> int:
-    """Blocks coded in step: as many as keep the model within some 20 million cells."""
-    return max(1, min(blocks, 4096, 10_000_000 // (alphabet + HASHED)))
-
-
-def _encode_lanes(rows: np.ndarray, ids: int) -> list[bytes]:
+    def _shift(self, go: np.ndarray) -> None:
+        at = self.at[go]
+        self.code[go] = (self.code[go] << 16) | self.digits[at]
+        self.at[go] = at + 1
+        self.range[go] <<= 16
+
+    def value(self) -> np.ndarray:
+        self.part = self.range >> 16
+        return np.minimum(self.code // self.part, TOTAL - 1)
+
+    def step(self, first: np.ndarray, freq: np.ndarray) -> None:
+        """Follows value() of all lanes."""
+        self.code -= first * self.part
+        self.range = freq * self.part
+        self._shift(np.flatnonzero(self.range < LEAST))
+
+    def even(self, lanes: np.ndarray, among: np.ndarray) -> np.ndarray:
+        """One of so many equally likely numbers in each of the lanes."""
+        part, spread = self.range[lanes] >> 16, TOTAL // among
+        found = np.minimum(self.code[lanes] // part // spread, among - 1)
+        self.code[lanes] -= found * spread * part
+        self.range[lanes] = span = spread * part
+        self._shift(lanes[span < LEAST])
+        return found
+
+
+def places_of(rows: np.ndarray) -> np.ndarray:
+    """Each number's place in the order in which its row's different numbers first appear."""
     lanes, steps = rows.shape
-    model, coder, spread = Model(lanes, ids), Encoder(lanes, 2 * steps + 16), 65536 // ids
-    base = model.lane * (ids + 1)
+    order = np.argsort(rows, axis=1, kind="stable")
+    ordered = np.take_along_axis(rows, order, axis=1)
+    new = np.ones(rows.shape, dtype=bool)
+    new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    first = np.zeros(rows.shape, dtype=bool)
+    np.put_along_axis(first, order, new, axis=1)
+    place = np.cumsum(first, axis=1, dtype=np.int32) - 1
+    group = np.cumsum(new, axis=1).ravel() - 1 + np.repeat(np.arange(lanes) * steps, steps)
+    heads = np.zeros(lanes * steps, dtype=np.int32)
+    heads[group[new.ravel()]] = np.take_along_axis(place, order, axis=1).ravel()[new.ravel()]
+    out = np.empty(rows.shape, dtype=np.uint16)
+    np.put_along_axis(out, order, heads[group].reshape(lanes, steps).astype(np.uint16), axis=1)
+    return out
+
+
+def _halves(alphabet: int) -> tuple[int, int]:
+    """How many high and low halves of 16 bits an id of the alphabet can have."""
+    return -(-alphabet // TOTAL), min(alphabet, TOTAL)
+
+
+def _encode_lanes(rows: np.ndarray, alphabet: int) -> tuple[int, list[bytes]]:
+    (lanes, steps), places = rows.shape, places_of(rows)
+    kinds = int(places.max()) + 1
+    places, (high, low) = np.ascontiguousarray(places.T), _halves(alphabet)
+    model, coder, seen = Model(lanes, kinds, False), Encoder(lanes, 4 * steps + 8), np.zeros(lanes, np.int64)
+    spread_high, spread_low = np.int64(TOTAL // high), np.int64(TOTAL // low)
     for t in range(steps):
         if t in RENEW:
-            model.renew()
-        x = rows[:, t]
-        p1, p2, w1, w2, w0 = model.predict()
-        hit2, hit1 = (x == p2) & (w2 > 0), (x == p1) & (w1 > 0)
-        cell = base + x
-        freq = model.freq[cell].astype(np.int32)
-        lost = np.flatnonzero((freq == 0) & ~hit2 & ~hit1)
+            model.renew(places[:t], seen)
+        x = places[t]
+        p1, p2, k1, k2, w1, w2, w0 = model.predict()
+        hit2 = x == p2
+        hit1 = (x == p1) & k1
+        cell = model.row + x
+        freq = model.freq[cell].astype(np.int64)
+        lost = np.flatnonzero((freq == 0) & ~(hit1 | hit2))
         if len(lost):
-            cell[lost] = base[lost] + ids
-            freq[lost] = model.freq[cell[lost]]
-        first = model.first[cell].astype(np.int32)
-        a, b = (first * w0) >> 12, ((first + freq) * w0) >> 12
-        start = np.where(hit2, 0, np.where(hit1, w2, w1 + w2 + a))
-        coder.step(start, np.where(hit2, w2, np.where(hit1, w1, b - a)))
+            cell[lost] = escapes = model.row[lost] + kinds
+            freq[lost] = model.freq[escapes]
+        first = model.first[cell].astype(np.int64)
+        a = (first * w0) >> 12
+        b = ((first + freq) * w0) >> 12
+        coder.step(np.where(hit2, 0, np.where(hit1, w2, w1 + w2 + a)), np.where(hit2, w2, np.where(hit1, w1, b - a)))
         if len(lost):
-            coder.step(x[lost].astype(np.int32) * spread, np.full(len(lost), spread), lost)
-        model.learn(x, p1, p2)
-    return coder.finish()
+            place, among = x[lost] - model.known[lost], seen[lost] - model.known[lost] + 1
+            spread = TOTAL // among
+            coder.step_in(lost, place * spread, spread)
+            new = lost[place == among - 1]
+            seen[new] += 1
+            ids = rows[new, t].astype(np.int64)
+            if high > 1:
+                coder.step_in(new, (ids >> 16) * spread_high, spread_high)
+            coder.step_in(new, (ids & (TOTAL - 1)) * spread_low, spread_low)
+        model.learn(x, hit1, hit2, k1, k2)
+    return kinds, coder.finish()
 
 
-def _decode_lanes(data: list[bytes], steps: int, ids: int) -> np.ndarray:
-    lanes = len(data)
-    model, coder, spread = Model(lanes, ids), Decoder(data), 65536 // ids
-    base, table, rows = model.lane * (ids + 1), model.lane * SLOTS, np.zeros((lanes, steps), np.uint16)
+def _decode_lanes(data: list[bytes], steps: int, kinds: int, alphabet: int) -> np.ndarray:
+    lanes, (high, low) = len(data), _halves(alphabet)
+    model, coder, seen = Model(lanes, kinds, True), Decoder(data), np.zeros(lanes, np.int64)
+    table, places, names = model.lane * SLOTS, np.zeros((steps, lanes), np.uint16), np.zeros(lanes * (kinds + 1), np.uint32)
     for t in range(steps):
         if t in RENEW:
-            model.renew()
-        p1, p2, w1, w2, w0 = model.predict()
+            model.renew(places[:t], seen)
+        p1, p2, k1, k2, w1, w2, w0 = model.predict()
         v, w12 = coder.value(), w1 + w2
-        hit2, by_count = v < w2, v >= w12
-        hit1 = ~hit2 & ~by_count
-        slot = np.minimum(((np.maximum(v - w12, 0).astype(np.int64) + 1) * SLOTS - 1) // w0, SLOTS - 1)
+        hit2 = v < w2
+        hit1 = (v < w12) & ~hit2
+        slot = np.minimum(((np.maximum(v - w12, 0) + 1) * SLOTS - 1) // w0, SLOTS - 1)
         x = model.slot[table + slot]
-        cell = base + x
-        first, freq = model.first[cell].astype(np.int32), model.freq[cell].astype(np.int32)
-        a, b = (first * w0) >> 12, ((first + freq) * w0) >> 12
+        cell = model.row + x
+        first, freq = model.first[cell].astype(np.int64), model.freq[cell].astype(np.int64)
+        a = (first * w0) >> 12
+        b = ((first + freq) * w0) >> 12
         coder.step(np.where(hit2, 0, np.where(hit1, w2, w12 + a)), np.where(hit2, w2, np.where(hit1, w1, b - a)))
-        lost = np.flatnonzero(by_count & (x == ids))
+        lost = np.flatnonzero((x == kinds) & (v >= w12))
         x = np.where(hit2, p2, np.where(hit1, p1, x))
         if len(lost):
-            found = np.minimum(coder.value(lost) // spread, ids - 1)
-            coder.step(found * spread, np.full(len(lost), spread), lost)
-            x[lost] = found
-        rows[:, t] = x
-        model.learn(x, p1, p2)
-    return rows
+            among = seen[lost] - model.known[lost] + 1
+            place = coder.even(lost, among)
+            x[lost] = place + model.known[lost]
+            new = lost[place == among - 1]
+            ids = coder.even(new, np.int64(high)) << 16 if high > 1 else 0
+            names[model.row[new] + seen[new]] = ids | coder.even(new, np.int64(low))
+            seen[new] += 1
+        places[t] = x
+        model.learn(x, hit1, hit2, k1, k2)
+    return names[(places + model.row).T]
+
+
+def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids in order and each id's place among them; ids of a usual vocabulary are counted and not sorted."""
+    if len(ids) and int(ids.max()) < 4 * TOTAL:
+        found = np.bincount(ids) > 0
+        return np.flatnonzero(found).astype(np.uint32), (np.cumsum(found, dtype=np.int64) - 1)[ids]
+    return np.unique(ids, return_inverse=True)
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """Image of unsigned 32-bit ids, of at most 65,534 different ones."""
+    """Image of unsigned 32-bit ids, in blocks of at most 4,000."""
     ids = np.ascontiguousarray(ids, dtype=np.uint32)
-    alphabet, dense = np.unique(ids, return_inverse=True)
-    if len(alphabet) > 65534:
-        raise ValueError("an image holds at most 65,534 different ids; split it")
+    alphabet, dense = _dense(ids)
     n_blocks = -(-len(ids) // block)
     head = MAGIC + struct.pack("<QIII", len(ids), block, len(alphabet), n_blocks) + alphabet.tobytes()
     if not len(ids):
         return head
     steps = min(block, len(ids))
-    rows = np.zeros(n_blocks * steps, np.uint16)
+    rows = np.zeros(n_blocks * steps, np.uint16 if len(alphabet) <= TOTAL else np.uint32)
     rows[: len(ids)] = dense
-    rows, width = rows.reshape(n_blocks, steps), _lanes(n_blocks, len(alphabet))
-    data = [d for i in range(0, n_blocks, width) for d in _encode_lanes(rows[i : i + width], len(alphabet))]
+    rows, kinds, data = rows.reshape(n_blocks, steps), [], []
+    for i in range(0, n_blocks, LANES):
+        found, coded = _encode_lanes(rows[i : i + LANES], len(alphabet))
+        kinds.append(found)
+        data += coded
     sums = [zlib.crc32(ids[i : i + block].tobytes()) for i in range(0, len(ids), block)]
-    return head + b"".join(struct.pack("<II", len(d), c) for d, c in zip(data, sums, strict=True)) + b"".join(data)
+    return head + struct.pack(f"<{len(kinds)}I", *kinds) + b"".join(struct.pack("<II", len(d), c) for d, c in zip(data, sums, strict=True)) + b"".join(data)
 
 
 def unpack(image: bytes) -> np.ndarray:
     """The ids of an image; raises ValueError if a block's checksum or the header doesn't fit."""
     if image[:4] != MAGIC:
         raise ValueError("not an image of token ids")
-    n, block, kinds, n_blocks = struct.unpack_from("<QIII", image, 4)
-    alphabet = np.frombuffer(image, np.uint32, kinds, 24)
+    n, block, letters, n_blocks = struct.unpack_from("<QIII", image, 4)
+    alphabet = np.frombuffer(image, np.uint32, letters, 24)
     if not n:
         return np.zeros(0, np.uint32)
-    at, steps, width = 24 + 4 * kinds, min(block, n), _lanes(n_blocks, kinds)
+    at, steps, groups = 24 + 4 * letters, min(block, n), -(-n_blocks // LANES)
+    kinds = struct.unpack_from(f"<{groups}I", image, at)
+    at += 4 * groups
     entries = [struct.unpack_from("<II", image, at + 8 * i) for i in range(n_blocks)]
     at, data = at + 8 * n_blocks, []
     for size, _ in entries:
         data.append(image[at : at + size])
         at += size
     try:
-        dense = np.concatenate([_decode_lanes(data[i : i + width], steps, kinds) for i in range(0, n_blocks, width)]).ravel()[:n]
-    except IndexError as e:
+        dense = np.concatenate([_decode_lanes(data[i * LANES : (i + 1) * LANES], steps, k, letters) for i, k in enumerate(kinds)]).ravel()[:n]
+    except (IndexError, ZeroDivisionError) as e:
         raise ValueError("the image is damaged") from e
-    ids = alphabet[np.minimum(dense, kinds - 1)]
+    ids = alphabet[np.minimum(dense, letters - 1)]
     for i, (_, crc) in enumerate(entries):
         if zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) != crc:
             raise ValueError(f"block {i} of the image is damaged")

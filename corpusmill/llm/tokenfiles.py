@@ -1,18 +1,21 @@
 """Token ids as files of range-coded images, in ascending order of the documents' ids.
 
-Texts are dealt by ranges of the id and sorted; each task encodes its texts with the tokenizers library, appends the end id to each document and writes images of
-some four million ids (see ``coder``), each a row with its part, place, document ids and lengths. Spark's writer puts them into the
-shared folder, so a lost task is written anew and none twice. A file is read for itself; only the images' lengths are added up over all files to say where a document starts.
+Texts are dealt by ranges of the id and of the text's hash and sorted; each task encodes its texts with the tokenizers library, appends the end id to each document and writes images of
+some four million ids (see ``coder``), each a row with its part, place, ids before it in the part, document ids and lengths. Spark's writer puts them into the
+shared folder, so a lost task is written anew and none twice. A file is read for itself; only the parts' lengths are added up over all files to say where a document starts.
 
 Defined results: a null text is encoded as an empty one, which is its end id alone; a null id comes first; rows with the same id stand side by side in the order of
-their texts; an empty table gives no rows; other columns are not written. Texts are encoded whole.
+their texts' hashes, so they may be many; an empty table gives no rows; other columns are not written. Texts are encoded whole. A special token's literal in a text gives that token's id, as
+the library has it by itself.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,52 +26,97 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.lineage import shared_folder
+from corpusmill.lineage import cut, shared_folder
 from corpusmill.llm.coder import pack, unpack
-from corpusmill.llm.pieces import Memo
-
-TOKENIZER, END, IMAGE_IDS = "byte_bpe_50k.json", 2, 1 << 22
+from corpusmill.llm.pieces import SPLIT, Memo, pieces
+
+TOKENIZER, END, IMAGE_IDS, KEPT_BYTES = "byte_bpe_50k.json", 2, 1 << 22, 24 << 20
+
+
+class Encoder:
+    """The tokenizers library's encoding of whole texts; matches of the split pattern that were seen before are not encoded again.
+
+    The library's own settings hold, so an added token's literal in a text gives that token's id; such texts go to the library whole.
+    A byte-level tokenizer whose pieces are the matches of public_tokenizers.PATTERN is encoded piece by piece through its model, any other as a whole.
+    """
+
+    def __init__(self, name: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(name if "/" in name else path(name))
+        self.model, self.known = self.library.model, Memo(KEPT_BYTES)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        settings = json.loads(self.library.to_str())
+        split = settings["pre_tokenizer"] or {}
+        self.by_piece = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not settings["normalizer"]
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        shifted = [b for b in range(256) if b not in plain]
+        self.names = {b: chr(256 + i) for i, b in enumerate(shifted)}
+
+    def _pieces(self, parts: list[str]) -> list[bytes]:
+        tokenize, names, known = self.model.tokenize, self.names, self.known
+        out, blank = [], names[32]
+        for p in parts:
+            matches, data = SPLIT.findall(p), []
+            for m in matches:
+                found = known.get(m) if len(matches) > 1 else None
+                if found is None:
+                    named = m.replace(" ", blank) if m.isascii() and m.isprintable() else m.encode("utf-8", "surrogatepass").decode("latin-1").translate(names)
+                    found = array("I", [t.id for t in tokenize(named)]).tobytes()
+                    if len(matches) > 1:
+                        known.keep(m, found)
+                data.append(found)
+            out.append(b"".join(data))
+        return out
+
+    def encode(self, text: str) -> bytes:
+        """Ids as unsigned 32-bit integers."""
+        if not text:
+            return b""
+        if not self.by_piece or any(t in text for t in self.added):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.known.encode(pieces(text), self._pieces)
 
 
 @lru_cache(2)
-def _tokenizer(name: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(name if "/" in name else path(name))
-    found.encode_special_tokens = True
-    return found, Memo()
+def _tokenizer(name: str) -> Encoder:
+    return Encoder(name)
 
 
 def encode_text(text: str, tokenizer: str = TOKENIZER) -> np.ndarray:
-    """Ids of a text; pieces seen before are not encoded again."""
-    encoder, known = _tokenizer(tokenizer)
-    make = lambda parts: [np.array(e.ids, dtype=np.uint32).tobytes() for e in encoder.encode_batch(parts, add_special_tokens=False)]
-    return np.frombuffer(known.encode(text, make), dtype=np.uint32)
+    """Ids of a text."""
+    return np.frombuffer(_tokenizer(tokenizer).encode(text), dtype=np.uint32)
 
 
-IMAGES = "part int, place int, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, image binary"
+IMAGES = "part int, place int, before bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, image binary"
+#: Parts whose starts are broadcast, 12 bytes each; more are joined.
+MAX_PARTS = 1_000_000
 
 
 def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end: int = END, image_ids: int = IMAGE_IDS) -> None:
     """Writes the ids of all texts to folder."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange("id", "hash").sortWithinPartitions("id", "hash", "text").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, place, doc_ids, held, size = TaskContext.get().partitionId(), 0, [], [], 0
+        encode, last = _tokenizer(tokenizer).encode, int(end).to_bytes(4, "little")
+        part, place, before, doc_ids, held, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def image() -> pa.RecordBatch:
-            values = [pa.array([part], pa.int32()), pa.array([place], pa.int32()), pa.array([size], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([list(map(len, held))], pa.list_(pa.int64())), pa.array([pack(np.concatenate(held))], pa.binary())]
-            return pa.RecordBatch.from_arrays(values, ["part", "place", "n_ids", "doc_ids", "lengths", "image"])
+            numbers = [pa.array([part], pa.int32()), pa.array([place], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64())]
+            lists = [pa.array([doc_ids], pa.list_(pa.int64())), pa.array([[len(h) // 4 for h in held]], pa.list_(pa.int64()))]
+            packed = pa.array([pack(np.frombuffer(b"".join(held), np.uint32))], pa.binary())
+            return pa.RecordBatch.from_arrays([*numbers, *lists, packed], ["part", "place", "before", "n_ids", "doc_ids", "lengths", "image"])
 
         for batch in batches:
             for doc_id, text in zip(*batch.columns, strict=True):
-                held.append(np.append(encode_text(text.as_py() or "", tokenizer), np.uint32(end)))
+                held.append(encode(text.as_py() or "") + last)
                 doc_ids.append(doc_id.as_py())
-                size += len(held[-1])
+                size += len(held[-1]) // 4
                 if size >= image_ids:
                     yield image()
-                    place, doc_ids, held, size = place + 1, [], [], 0
+                    place, before, doc_ids, held, size = place + 1, before + size, [], [], 0
         if held:
             yield image()
 
@@ -78,11 +126,10 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
 def read_ids(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32 and, if asked for, ids) of all documents in folder; checks every block."""
     images = spark.read.schema(IMAGES).parquet(folder)
-    sizes = images.select("part", "place", "n_ids")
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("part_start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("image_start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).join(parts, "part").select("part", "place", (F.col("image_start") + F.col("part_start")).alias("start"))
-    rows = images.join(starts, ["part", "place"]).select("start", "doc_ids", "lengths", "image")
+    parts = images.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
+    parts = cut(parts)
+    few = parts.count() <= MAX_PARTS
+    rows = images.join(F.broadcast(parts) if few else parts, "part").select((F.col("part_start") + F.col("before")).alias("start"), "doc_ids", "lengths", "image")
     more = ", ids array<bigint>" if ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
