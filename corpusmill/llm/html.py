@@ -9,14 +9,16 @@ The model is trained on the driver from ``training_pages``: pages written by a r
 known. It is a few kilobytes and goes along with the function.
 
 Defined results: null and empty html give an empty text; broken markup is closed where the next block or the end makes it necessary;
-character references are decoded, unknown ones stay as they are; comments, scripts, styles and the head never count; equal rows get equal results; other
-columns are kept, columns text and n_chars are replaced. Pages are read whole in one pass, without recursion; memory grows with the page.
+character references are decoded, unknown ones stay as they are; markup comments, scripts, styles, templates, titles and form controls never count; fallback text, formulas and
+drawings' text are text like any other; a br is white space, other empty tags are nothing; equal rows get equal results; other
+columns are kept, columns text and n_chars are replaced. Pages are read whole in one pass, without recursion, in time linear in the page; memory grows with the page by some hundred bytes a node.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -28,11 +30,13 @@ from pyspark.sql import types as T
 
 from corpusmill.llm.trees import boost, log_odds
 
-INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+INLINE = set("a abbr acronym audio b bdi bdo big canvas cite code data dfn em font i iframe ins kbd label mark math object q s samp small span strike strong sub sup svg time tt u var video".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = set("script style noscript template head title iframe object svg math canvas audio video select textarea button".split())
+#: Scripts, styles, inert markup and form controls. A select or button that isn't closed ends with a block that begins, or with what it stands in.
+UNREAD = set("script style template title select datalist textarea button".split())
 CLOSES_P = set("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ENDS = {"select": CLOSES_P | {"li", "dt", "dd", "tr", "td", "th", "body"}, "datalist": CLOSES_P, "button": (CLOSES_P | {"li", "dt", "dd", "tr", "td", "th", "body"}) - {"div"}}
+CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = set("table ul ol dl body html article section div main aside nav footer header td th form".split())
 TAGS = "article main section div p h1 h2 h3 h4 h5 h6 ul ol li table tr td th nav header footer aside form figure figcaption blockquote pre dl dt dd body html center fieldset menu address hr details".split()
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -45,45 +49,64 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.tokens = ["#"], [-1], [[]]
         self.open: list[tuple[str, int]] = [("#", 0)]
+        self.nodes, self.inline, self.blocks = [0], [Counter()], Counter()  # open nodes, the inline tags open in each, open block tags
         self.unread: list[str] = []
-        self.links, self.pieces = 0, []  # pieces: (node, text, in a link) or None at a boundary
+        self.links, self.foreign, self.pieces = 0, 0, []  # pieces: (node, text, in a link) or None at a boundary
         self.marked: list[int] = []
 
     def _close(self, depth: int) -> None:
-        for tag, node in self.open[depth:]:
-            self.links -= tag == "a"
+        for tag, node in reversed(self.open[depth:]):
             if node >= 0:
                 self.pieces.append(None)
+                self.nodes.pop()
+                self.inline.pop()
+                self.blocks[tag] -= 1
+            else:
+                self.inline[-1][tag] -= 1
+                self.links -= tag == "a"
+                self.foreign -= tag in ("math", "svg")
         del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
         if self.unread:
-            if tag not in VOID:
-                self.unread.append(tag)
+            if tag not in ENDS.get(self.unread[0], ()):
+                if tag not in VOID:
+                    self.unread.append(tag)
+                return
+            self.unread = []
+        if tag == "head":  # its end may be left out, and what it holds is unread or empty
             return
         if tag in UNREAD:
             self.unread.append(tag)
             return
         if tag in VOID:
-            self.pieces.append(None) if tag == "hr" else self.pieces.append((self._node(), " ", False))
+            if tag == "hr":
+                self.pieces.append(None)
+            elif tag == "br":
+                self.pieces.append((self.nodes[-1], " ", False))
+            return
+        if tag in INLINE or self.foreign:
+            self.links += tag == "a"
+            self.foreign += tag in ("math", "svg")
+            self.inline[-1][tag] += 1
+            self.open.append((tag, -1))
             return
-        if tag in CLOSES_P or tag in CLOSED_BY:
-            ends = CLOSED_BY.get(tag, {"p"} if tag in CLOSES_P else set())
+        ends = CLOSED_BY.get(tag) or ({"p"} if tag in CLOSES_P else ())
+        if any(self.blocks[e] > 0 for e in ends):
             for depth in range(len(self.open) - 1, 0, -1):
                 if self.open[depth][0] in ends:
                     self._close(depth)
                     break
                 if self.open[depth][0] in SCOPES:
                     break
-        if tag in INLINE:
-            self.links += tag == "a"
-            self.open.append((tag, -1))
-            return
         tokens = [t.lower() for k, v in attrs if k in ("class", "id", "role") and v for t in TOKEN.findall(v)]
         if any(k == "data-main" for k, _ in attrs):
             self.marked.append(len(self.tags))
-        self.parents.append(self._node())
+        self.parents.append(self.nodes[-1])
         self.open.append((tag, len(self.tags)))
+        self.nodes.append(len(self.tags))
+        self.inline.append(Counter())
+        self.blocks[tag] += 1
         self.tags.append(tag)
         self.tokens.append(tokens)
         self.pieces.append(None)
@@ -98,21 +121,21 @@ class Page(HTMLParser):
             if tag in self.unread:
                 while self.unread.pop() != tag:
                     pass
+                return
+            if self.unread[0] not in ENDS or self.blocks[tag] <= 0:
+                return
+            self.unread = []
+        inline = self.inline[-1][tag] > 0
+        if not inline and self.blocks[tag] <= 0:
             return
         for depth in range(len(self.open) - 1, 0, -1):
-            name, node = self.open[depth]
-            if name == tag:
+            if self.open[depth][0] == tag:
                 self._close(depth)
                 return
-            if tag in INLINE and node >= 0:
-                return
 
     def handle_data(self, data):
         if not self.unread:
-            self.pieces.append((self._node(), data, self.links > 0))
-
-    def _node(self) -> int:
-        return next(n for _, n in reversed(self.open) if n >= 0)
+            self.pieces.append((self.nodes[-1], data, self.links > 0))
 
 
 def parse(html: str) -> Page:
@@ -180,28 +203,33 @@ class Features:
         self.first_odds = self.first_token + 2 * len(self.token)
         self.width = self.first_odds + 4 * len(ODDS_CUTS)
 
-    def of(self, page: Page) -> np.ndarray:
-        n, k, m, tag0, token0 = len(page.tags), len(TAGS), len(self.token), self.first_tag, self.first_token
-        x = np.zeros((n, self.width), dtype=np.uint8)
-        x[:, :tag0] = (numbers(page)[:, :, None] > np.array(CUTS)).reshape(n, -1)
+    def of(self, page: Page, nodes: int = 6000) -> Iterator[np.ndarray]:
+        """Rows of the page's nodes in order, some ``nodes`` at a time; between them a node is a few numbers."""
+        n, k, m = len(page.tags), len(TAGS), len(self.token)
+        values = numbers(page)
         odds = np.zeros((n, 4))
+        own, above, said, inherited = [0] * n, [0] * n, [0] * n, [0] * n
         for v, tag in enumerate(page.tags):
             p, tokens = page.parents[v], page.tokens[v]
             odds[v, 0] = min((self.odds.get(t, 0.0) for t in tokens), default=0.0)
             odds[v, 2] = self.odds.get("<" + tag, 0.0)
-            if p >= 0:  # what is above or inherited stands in the parent's row already
-                x[v, tag0 + 2 * k : token0] = x[p, tag0 + 2 * k : token0] | x[p, tag0 : tag0 + k]
-                x[v, token0 + m : self.first_odds] = x[p, token0 + m : self.first_odds] | x[p, token0 : token0 + m]
-                odds[v, 1], odds[v, 3] = min(odds[p, 1], odds[v, 0]), min(odds[p, 3], odds[v, 2])
-                if (i := self.tag.get(page.tags[p])) is not None:
-                    x[v, tag0 + k + i] = 1
-            if (i := self.tag.get(tag)) is not None:
-                x[v, tag0 + i] = 1
+            own[v] = 1 << i if (i := self.tag.get(tag)) is not None else 0
             for t in tokens:
                 if (i := self.token.get(t)) is not None:
-                    x[v, token0 + i] = 1
-        x[:, self.first_odds :] = (odds[:, :, None] > np.array(ODDS_CUTS)).reshape(n, -1)
-        return x
+                    said[v] |= 1 << i
+            if p >= 0:  # what is above or inherited is the parent's and what the parent has above or inherited
+                above[v], inherited[v] = above[p] | own[p], inherited[p] | said[p]
+                odds[v, 1], odds[v, 3] = min(odds[p, 1], odds[v, 0]), min(odds[p, 3], odds[v, 2])
+        width = 3 * k + 2 * m
+        for a in range(0, n, nodes):
+            b = min(n, a + nodes)
+            x = np.zeros((b - a, self.width), dtype=np.uint8)
+            x[:, : self.first_tag] = (values[a:b, :, None] > np.array(CUTS)).reshape(b - a, -1)
+            rows = [own[v] | (own[page.parents[v]] if v else 0) << k | above[v] << 2 * k | said[v] << 3 * k | inherited[v] << 3 * k + m for v in range(a, b)]
+            bits = np.frombuffer(b"".join(r.to_bytes(-(-width // 8), "little") for r in rows), dtype=np.uint8).reshape(b - a, -1)
+            x[:, self.first_tag : self.first_odds] = np.unpackbits(bits, axis=1, count=width, bitorder="little")
+            x[:, self.first_odds :] = (odds[a:b, :, None] > np.array(ODDS_CUTS)).reshape(b - a, -1)
+            yield x
 
 
 def decode(parents: list[int], odds: np.ndarray) -> np.ndarray:
@@ -318,15 +346,23 @@ def trained() -> tuple[Features, tuple]:
             label[page.parents[v]] = max(label[page.parents[v]], label[v])
         labels.append(label)
     features = Features(pages, labels)
-    return features, boost(np.concatenate([features.of(p) for p in pages]), np.concatenate(labels))
+    return features, boost(np.concatenate([x for p in pages for x in features.of(p)]), np.concatenate(labels))
 
 
 def extract(htmls: Iterator[str | None], features: Features, model: tuple, nodes: int = 6000) -> Iterator[str]:
     """Main text of each page, in order; the trees judge some ``nodes`` nodes, or a page, at a time."""
 
+    def odds_of(pages: list[Page | None]) -> np.ndarray:
+        out, held = [np.zeros(0)], []
+        for x in (x for p in pages if p for x in features.of(p, nodes)):
+            held.append(x)
+            if sum(map(len, held)) >= nodes:
+                out.append(log_odds(np.concatenate(held), model))
+                held = []
+        return np.concatenate([*out, log_odds(np.concatenate(held), model)] if held else out)
+
     def judged(pages: list[Page | None]) -> Iterator[str]:
-        odds = log_odds(np.concatenate([features.of(p) for p in pages if p] or [np.zeros((0, features.width), np.uint8)]), model)
-        at = 0
+        odds, at = odds_of(pages), 0
         for page in pages:
             if page is None:
                 yield ""
