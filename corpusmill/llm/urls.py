@@ -3,8 +3,8 @@
 The model is trained from a small labelled URL table in DataFrame operations: every URL becomes the set
 of buckets of its n-grams (host and path apart), and full-batch gradient descent runs in its dual form,
 one coefficient a training URL over their Gram matrix, as one fold. The table is bounded by
-``MAX_TRAINING`` rows, the model by ``BUCKETS`` weights, and it reaches the scoring as a scalar subquery;
-a URL's value is taken over the buckets that the training has seen.
+``MAX_TRAINING`` rows (those with the smallest hash of the URL), the model by ``BUCKETS`` weights, and it reaches the scoring as a scalar subquery.
+In training and in scoring a bucket of a URL has the value 1/sqrt(those buckets of the URL that the model has a weight for), which in training are all.
 
 Defined results: a null URL or one without ``://`` has an empty host and an empty path, fits no rule and is
 judged by the intercept alone; other columns are kept; equal rows are judged alike; very long URLs
@@ -64,6 +64,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def _bucket(field: str, buckets: int):
+    # a function of one argument: a second one would be given the element's index
+    return lambda gram: F.pmod(F.xxhash64(F.lit(field), gram), F.lit(buckets)).cast("int")
+
+
 def grams(host: Column, path: Column, sizes: tuple[int, ...] = SIZES, buckets: int = BUCKETS) -> Column:
     """The set of buckets of the n-grams of host and path; overlapping n-grams by an empty match with lookahead."""
     parts = []
@@ -71,7 +76,7 @@ def grams(host: Column, path: Column, sizes: tuple[int, ...] = SIZES, buckets: i
         framed = F.when(F.length(value) > 0, F.concat(F.lit("^"), value, F.lit("$"))).otherwise(F.lit(""))
         for n in sizes:
             found = F.regexp_extract_all(framed, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-            parts.append(F.transform(found, lambda g, field=field: F.pmod(F.xxhash64(F.lit(field), g), F.lit(buckets)).cast("int")))
+            parts.append(F.transform(found, _bucket(field, buckets)))
     return F.array_distinct(F.concat(*parts))
 
 
@@ -86,8 +91,8 @@ def train(labelled: DataFrame, epochs: int = 200, rate: float = 4.0, decay: floa
     URL i has value 1/sqrt(its buckets) in each of its buckets, so the Gram matrix is |A and B| / sqrt(|A| |B|).
     """
     host, path = host_and_path(F.col("url"))
-    rows = labelled.filter("url is not null and blocked is not null").select(grams(host, path, buckets=buckets).alias("b"), F.col("blocked").cast("double").alias("y"))
-    rows = rows.filter(F.size("b") > 0).limit(MAX_TRAINING)
+    rows = labelled.filter("url is not null and blocked is not null").select("url", grams(host, path, buckets=buckets).alias("b"), F.col("blocked").cast("double").alias("y"))
+    rows = rows.filter(F.size("b") > 0).orderBy(F.xxhash64("url"), "url", "y").limit(MAX_TRAINING).select("b", "y")
     table = rows.agg(F.array_sort(F.collect_list(F.struct("b", "y"))).alias("t"))
     zeros = "transform(t, r -> 0D)"
     # cut() between the steps: an expression that is merged into the fold would be evaluated anew for each element
