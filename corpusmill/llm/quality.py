@@ -59,18 +59,30 @@ def _common_ids(words: Column) -> Column:
     return F.filter(F.transform(plain, lambda w: F.when(F.get(known, of(w)) == w, of(w)).otherwise(F.lit(-1))), lambda i: i >= 0)
 
 
-def repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:
+def _window(words: str, at: str) -> str:
+    return f"{words}[{at}], {words}[{at} + 1], {words}[{at} + 2]"
+
+
+def repeated_words(df: DataFrame, words: str, out: str, hashed: str = "xxhash64({})") -> DataFrame:
     """Adds the number of words that lie in a 3-word window found twice or more in array column ``words``.
 
     Windows are hashed, the low bits of a hash give way to the window's position, and equal hashes meet
-    by sorting numbers; the words under the repeated windows follow from gaps between their positions.
+    by sorting numbers; the words under the repeated windows follow from gaps between their positions. The words of windows
+    that meet are compared, and if some differ the text's windows are sorted as the strings they are.
     """
     df = df.withColumn("_k", F.length(F.bin(F.size(words))).cast("int"))
-    df = df.withColumn("_h", F.expr(f"case when size({words}) < 3 then cast(array() as array<bigint>) else transform(sequence(0, size({words}) - 3), i -> shiftleft(shiftright(xxhash64({words}[i], {words}[i + 1], {words}[i + 2]), _k), _k) | i) end"))
+    hash_of = hashed.format(_window(words, "i"))
+    df = df.withColumn("_h", F.expr(f"case when size({words}) < 3 then cast(array() as array<bigint>) else transform(sequence(0, size({words}) - 3), i -> shiftleft(shiftright({hash_of}, _k), _k) | i) end"))
     df = df.withColumn("_s", F.sort_array("_h")).drop("_h")
     df = df.withColumn("_d", F.expr("filter(_s, (v, j) -> coalesce(shiftright(get(_s, j - 1), _k) = shiftright(v, _k), false) or coalesce(shiftright(get(_s, j + 1), _k) = shiftright(v, _k), false))")).drop("_s")
-    df = df.withColumn("_p", F.sort_array(F.expr("transform(_d, v -> v & (shiftleft(1L, _k) - 1))"))).drop("_d")
-    covered = "aggregate(zip_with(slice(_p, 1, size(_p) - 1), slice(_p, 2, size(_p) - 1), (a, b) -> least(b - a, 3L)), 3L, (s, v) -> s + v)"
+    df = df.withColumn("_q", F.expr("transform(_d, v -> cast(v & (shiftleft(1L, _k) - 1) as int))"))
+    differ = f"{words}[_q[j - 1]] != {words}[_q[j]] or {words}[_q[j - 1] + 1] != {words}[_q[j] + 1] or {words}[_q[j - 1] + 2] != {words}[_q[j] + 2]"
+    false_hit = f"exists(transform(_d, (v, j) -> j > 0 and shiftright(_d[j - 1], _k) = shiftright(v, _k) and ({differ})), x -> x)"
+    plain = f"sort_array(transform(sequence(0, size({words}) - 3), i -> named_struct('w', concat_ws(' ', {_window(words, 'i')}), 'i', i)))"
+    twice = "(z, j) -> coalesce(get(s, j - 1).w = z.w, false) or coalesce(get(s, j + 1).w = z.w, false)"
+    exact = f"flatten(transform(array({plain}), s -> transform(filter(s, {twice}), z -> z.i)))"
+    df = df.withColumn("_p", F.sort_array(F.expr(f"case when {false_hit} then {exact} else _q end"))).drop("_d", "_q")
+    covered = "aggregate(zip_with(slice(_p, 1, size(_p) - 1), slice(_p, 2, size(_p) - 1), (a, b) -> least(b - a, 3)), 3L, (s, v) -> s + v)"
     return df.withColumn(out, F.expr(f"case when size(_p) < 1 then 0L when size(_p) = 1 then 3L else {covered} end")).drop("_p", "_k")
 
 
