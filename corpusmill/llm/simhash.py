@@ -1,14 +1,20 @@
 """SimHash near-duplicates through an inverted index over byte positions.
 
-A fingerprint is 8 bytes. Two that differ in at most 3 bits share at least 5 positional bytes. A posting list of one
+A fingerprint is a number of words ("lanes") of 8 bytes. For one lane and 3 differing bits, two fingerprints share at least 5 positional bytes. A posting list of one
 position and value would hold a 256th of all fingerprints, so postings are kept for the 14 sets of four positions
 {a, b, c, d} with a ^ b ^ c ^ d = 0: any five positions contain one of these sets, so a pair that reaches the minimum
-of 5 shared bytes meets in a list of 32 equal bits. In a list pairs are verified by their differing bits, which stands in
-for the tally: a pair within 3 bits always shares 5 bytes, so the tally after it drops none, and dense lists have none.
+of 5 shared bytes meets in a list of 32 equal bits. In a list the shared bytes of a pair are tallied; pairs that reach the minimum are verified by their differing bits.
+
+For a similarity (``by_similarity``) the differing bits that it makes likely, 78 of 512 for 0.8, are too many for a guaranteed minimum. Fingerprints then have eight lanes and
+postings 128 sets of three of their 64 positions: two texts of similarity 0.8 share the three bytes of at least one set with a probability of 92 %, of 0.85 with 99 %. Postings carry one lane; a list gives the
+links of a least spanning forest by its bits, which joins what all links would join at any number of bits, and whole fingerprints verify them. Similarity is that of the sets of
+shingles as the bits tell it, with a standard deviation's allowance; the README has the measured recall.
 
 Equal fingerprints are one entry, lists hold fingerprints only, and a list gives the links of a spanning forest, not all pairs:
-links join the same documents. A list over ``DENSE`` entries is split by a fifth position (one of the other four bytes is equal), and if that isn't enough,
-its 24 open bits are probed with all patterns of up to 3 bits, in time linear in the list.
+links join the same documents. For 3 bits a list over ``DENSE`` entries is split by a fifth position (one of the other four bytes is equal), which is the tally by another name, and if that isn't enough,
+its 24 open bits are probed with all patterns of up to 3 bits, in time linear in the list; the links join the same entries as without.
+
+A fingerprint or component with a great share of the rows is one key of the last joins: AQE's skew join, on by default in Spark, must stay on.
 
 Defined results: A-Z are lower-cased; fewer words than a shingle make one shingle of all; no words (or a null text) give fingerprint
 zero, which links like any other; a document without links is its own component; equal rows and equal texts share a component; a component
@@ -17,8 +23,10 @@ without any non-null id has a null id; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -34,54 +42,108 @@ MAX_BITS, MIN_BYTES, DENSE = 3, 5, 4096
 SETS = [s for s in combinations(range(8), 4) if s[0] ^ s[1] ^ s[2] ^ s[3] == 0]
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Unsigned 64-bit SimHash of the word shingles' XXH64 with seed 42."""
+class Scheme(NamedTuple):
+    """Lanes of a fingerprint, the sets of byte positions that have posting lists, what a pair must share in bytes and may differ in bits, and may differ in the first lane."""
+
+    lanes: int
+    sets: list[tuple[int, ...]]
+    min_bytes: int
+    max_bits: int
+    first_bits: int
+
+
+BY_BITS = Scheme(1, SETS, MIN_BYTES, MAX_BITS, MAX_BITS)
+
+
+def by_similarity(similarity: float = 0.8, lanes: int = 8) -> Scheme:
+    """For sets of equal size with this Jaccard similarity: the bits expected to differ and a standard deviation more, in the first lane four of them."""
+    n, share = 8 * lanes, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = lambda m, allowance: int(m * share + allowance * math.sqrt(m * share * (1 - share)))
+    sets = [(i, (i + a) % n, (i + b) % n) for a, b in ((1, 7), (2, 13)) for i in range(n)]
+    return Scheme(lanes, sets, 3, bits(64 * lanes, 1), bits(64, 4))
+
+
+def fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> int | list[int]:
+    """Unsigned 64-bit SimHash of the word shingles' XXH64 with seed 42; a list of as many as there are lanes, the others from mixes of the same hashes."""
     parts = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not parts:
-        return 0
+        return 0 if lanes == 1 else [0] * lanes
     joined = b" ".join(parts)
     ends = list(accumulate(parts, lambda s, p: s + 1 + len(p), initial=-1))
     n = max(1, len(parts) - words + 1)
     last = ends[words:] if len(parts) >= words else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, dtype=np.int64)
+    ones = np.zeros((lanes, 64), dtype=np.int64)
     for at in range(0, n, 1 << 16):
-        hashes = np.array([digest(joined[s + 1 : e], 42) for s, e in zip(ends[at : at + (1 << 16)], last[at : at + (1 << 16)], strict=False)], dtype=">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+        hashes = np.array([digest(joined[s + 1 : e], 42) for s, e in zip(ends[at : at + (1 << 16)], last[at : at + (1 << 16)], strict=False)], dtype=np.uint64)
+        for lane in range(lanes):
+            ones[lane] += np.unpackbits(_mix(hashes, lane).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    found = [int.from_bytes(np.packbits(o * 2 > n).tobytes(), "big") for o in ones]
+    return found[0] if lanes == 1 else found
+
 
+def _mix(h: np.ndarray, lane: int) -> np.ndarray:
+    if not lane:
+        return h
+    h = h + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 3, out: str = "fingerprint") -> DataFrame:
-    """docs with the fingerprint as a signed long."""
 
-    @F.pandas_udf("long")
+def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 3, out: str = "fingerprint", lanes: int = 1) -> DataFrame:
+    """docs with the fingerprint as a signed long, or an array of them for more lanes than one."""
+
+    @F.pandas_udf("long" if lanes == 1 else "array<long>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
+        found = np.array([fingerprint(t, words, lanes) for t in texts], dtype=np.uint64).view(np.int64)
+        return pd.Series(found if lanes == 1 else list(found.reshape(len(texts), lanes)))
 
     return docs.withColumn(out, run(F.col(text_col)))
 
 
-def _forest(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of a spanning forest of one list, searched in breadth: each entry is compared with those not yet reached."""
-    rest = x
+def _forest(x: np.ndarray, max_bits: int = MAX_BITS, min_bytes: int = MIN_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (places in the list) of a spanning forest of one list, searched in breadth: each entry is compared with those not yet reached, by the tally of shared bytes and then by bits."""
+    rest = np.arange(len(x))
     while len(rest) > 1:
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             at = front.pop()
-            diff = rest ^ at
-            near = np.bitwise_count(diff) <= MAX_BITS
-            if near.any():
-                tally = (diff[near].astype("<u8").view(np.uint8).reshape(-1, 8) == 0).sum(1)
-                found = rest[near][tally >= MIN_BYTES]
-                yield np.full(len(found), at, dtype=np.uint64), found
+            diff = x[rest] ^ x[at]
+            shared = np.flatnonzero((diff.view(np.uint8).reshape(-1, 8) == 0).sum(1) >= min_bytes) if min_bytes else np.arange(len(diff))
+            near = shared[np.bitwise_count(diff[shared]) <= max_bits]
+            if len(near):
+                found = rest[near]
+                yield np.full(len(found), at), found
                 front.extend(found.tolist())
-                rest = rest[~near]
+                rest = np.delete(rest, near)
+
+
+def _least_forest(x: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (places) of a least spanning forest of one list by bits, up to max_bits; of a list over DENSE, of any spanning forest, whose time is linear if most entries are near each other."""
+    if len(x) > DENSE:
+        yield from _forest(x, max_bits, 0)
+        return
+    best, source, us, vs = np.bitwise_count(x ^ x[0]).astype(np.int16), np.zeros(len(x), np.int64), [], []
+    best[0] = done = 1000
+    for _ in range(len(x) - 1):
+        i = int(best.argmin())
+        if best[i] <= max_bits:
+            us.append(source[i])
+            vs.append(i)
+        best[i] = done
+        bits = np.bitwise_count(x ^ x[i])
+        nearer = (bits < best) & (best != done)
+        best[nearer], source[nearer] = bits[nearer], i
+    if us:
+        yield np.array(us), np.array(vs)
 
 
 def _links(x: np.ndarray, fixed: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect what is near in a list whose entries share the bytes at ``fixed`` positions."""
+    """Links that connect what is within 3 bits in a list of one lane whose entries share the bytes at ``fixed`` positions."""
     if len(x) <= DENSE:
-        yield from _forest(x)
+        for u, v in _forest(x):
+            yield x[u], x[v]
     elif len(fixed) < 5:
         for p in set(range(8)) - set(fixed):
             value = (x >> np.uint64(8 * p)) & np.uint64(255)
@@ -106,43 +168,72 @@ def _links(x: np.ndarray, fixed: tuple[int, ...]) -> Iterator[tuple[np.ndarray,
             yield x[a], x[b]
 
 
-def near_fingerprints(fingerprints: DataFrame, col: str = "fingerprint") -> DataFrame:
-    """Distinct fingerprints (longs) to links (u, v) that connect all those within MAX_BITS of each other."""
-    fp = F.col(col)
-    postings = []
-    for i, s in enumerate(SETS):
-        key = F.lit(i).cast("long")
-        for p in s:
-            key = F.shiftleft(key, 8).bitwiseOR(F.shiftright(fp, 8 * p).bitwiseAND(F.lit(255)))
-        postings.append(F.struct(key.alias("key"), fp.alias("fp")))
-    lists = fingerprints.select(F.explode(F.array(*postings)).alias("e")).select("e.key", "e.fp")
-    lists = lists.repartition("key").sortWithinPartitions("key", "fp")
+def _postings(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
+    """(node, fingerprint) to (key, node, first lane), a row for each set; a key is the set's number and its three bytes."""
+    sets = np.array(scheme.sets)
+    for batch in batches:
+        for part in (batch.slice(at, 4096) for at in range(0, batch.num_rows, 4096)):
+            nodes, x = part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(part.num_rows, scheme.lanes)
+            data = np.ascontiguousarray(x.astype("<i8")).view(np.uint8).astype(np.int64)
+            keys = np.arange(len(sets), dtype=np.int64) << 24 | data[:, sets[:, 0]] << 16 | data[:, sets[:, 1]] << 8 | data[:, sets[:, 2]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(nodes, len(sets))), pa.array(np.repeat(x[:, 0], len(sets)))], ["key", "node", "first"])
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def of(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
-            us, vs = [], []
-            for a, b in zip(cuts[:-1][np.diff(cuts) > 1], cuts[1:][np.diff(cuts) > 1], strict=True):
-                for u, v in _links(fps[a:b], SETS[int(keys[a]) >> 32]):
-                    us.append(u)
-                    vs.append(v)
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us).astype(np.uint64).view(np.int64)), pa.array(np.concatenate(vs).view(np.int64))], ["u", "v"])
 
+def near_fingerprints(fingerprints: DataFrame, col: str = "fingerprint", scheme: Scheme = BY_BITS, node_col: str | None = None) -> DataFrame:
+    """Distinct fingerprints to links (u, v) that connect those within the scheme's bits of each other; nodes are the fingerprints themselves or, for more lanes than one, node_col."""
+    if scheme.lanes == 1:
+        postings = []
+        for i, s in enumerate(scheme.sets):
+            key = F.lit(i).cast("long")
+            for p in s:
+                key = F.shiftleft(key, 8).bitwiseOR(F.shiftright(F.col(col), 8 * p).bitwiseAND(F.lit(255)))
+            postings.append(key)
+        lists = fingerprints.select(F.explode(F.array(*postings)).alias("key"), F.col(col).alias("first"))
+    else:
+        lists = fingerprints.select(node_col, col).mapInArrow(lambda batches: _postings(batches, scheme), "key long, node long, first long")
+    lists = lists.repartition("key").sortWithinPartitions(*lists.columns)
+    width = 8 * len(scheme.sets[0])
+
+    def links(keys: np.ndarray, *rest: np.ndarray) -> Iterator[pa.RecordBatch]:
+        nodes, x = rest[0], rest[-1].view(np.uint64)
+        ends = np.append(np.flatnonzero(np.diff(keys)) + 1, len(keys))
+        starts = np.concatenate([[0], ends[:-1]])
+        two = starts[ends - starts == 2]
+        near = two[np.bitwise_count(x[two] ^ x[two + 1]) <= scheme.first_bits]
+        us, vs = [nodes[near]], [nodes[near + 1]]
+        many = ends - starts > 2
+        for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
+            if scheme.lanes == 1:
+                found = ((u.view(np.int64), v.view(np.int64)) for u, v in _links(x[a:b], scheme.sets[int(keys[a]) >> width]))
+            else:
+                found = ((nodes[a + u], nodes[a + v]) for u, v in _least_forest(x[a:b], scheme.first_bits))
+            for u, v in found:
+                us.append(u)
+                vs.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.concatenate([held_keys, batch.column(0).to_numpy()])
-            fps = np.concatenate([held, batch.column(1).to_numpy().view(np.uint64)])
-            at = int(np.searchsorted(keys, keys[-1]))
-            yield from of(keys[:at], fps[:at])
-            held_keys, held = keys[at:], fps[at:]
-        if len(held):
-            yield from of(held_keys, held)
+            columns = [c.to_numpy() for c in batch.columns]
+            # the last key's list may go on in the next batch; a list over many batches is put together once
+            at = int(np.searchsorted(columns[0], columns[0][-1]))
+            if at or (held and held[-1][0][-1] != columns[0][0]):
+                yield from links(*[np.concatenate(c) for c in zip(*held, [c[:at] for c in columns], strict=True)])
+                held = []
+            held.append([c[at:] for c in columns])
+        if held:
+            yield from links(*[np.concatenate(c) for c in zip(*held, strict=True)])
 
-    return lists.mapInArrow(join, "u long, v long").distinct()
+    met = lists.mapInArrow(join, "u long, v long").distinct()
+    if scheme.lanes == 1:
+        return met
+    side = lambda node, out: fingerprints.select(F.col(node_col).alias(node), F.col(col).alias(out))
+    pairs = met.join(side("u", "a"), "u").join(side("v", "b"), "v")
+    bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.filter(bits <= scheme.max_bits).select("u", "v")
 
 
 def near_duplicates(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -156,20 +247,28 @@ def near_duplicates(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return marked.join(reached, "fingerprint").select(*marked.columns, "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, scheme: Scheme | None = None) -> DataFrame:
     """docs without the near-copies: of each component one row stays, that with the smallest id (null ids last), then text hash, then other columns as JSON.
 
-    Components without an id keep a row each; rows of different components stay though they share an id.
+    By default near-copies have a similarity of 0.8 in five-word shingles. Components without an id keep a row each; rows of different components stay though they share an id.
     """
+    scheme = scheme or by_similarity()
     key = F.sha2(F.col(text_col).cast("binary"), 256)
-    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), key.alias("key"))
-    prints = cut(with_fingerprint(docs.select(order.alias("least"), F.col(text_col).alias("text")), "text", words).groupBy("fingerprint").agg(F.min("least").alias("least")))
-    found = connected_components(near_fingerprints(prints))
-    roots = prints.join(found, prints["fingerprint"] == found["node"], "left").select(F.coalesce("component", "fingerprint").alias("root"), "least")
-    stays = roots.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.key")
-    packed = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.to_json(F.struct(*[c for c in docs.columns if c != text_col])).alias("rest"), F.struct("*").alias("row"))
-    kept = packed.join(stays, packed["id"].eqNullSafe(stays["id"]) & packed["key"].eqNullSafe(stays["key"]), "left_semi")
-    return kept.groupBy("id", "key").agg(F.min_by("row", "rest").alias("row")).select("row.*")
+    # one string without nulls, so that the join and the sum after it are dealt alike and texts are moved once
+    row_key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(key, F.lit("")))
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), key.alias("key"), row_key.alias("row_key"))
+    marked = with_fingerprint(docs.select(order.alias("least"), F.col(text_col).alias("text")), "text", words, lanes=scheme.lanes)
+    # nodes are numbered once, as the table is written
+    prints = cut(marked.groupBy("fingerprint").agg(F.min("least").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    at = "node" if scheme.lanes > 1 else "fingerprint"
+    links = near_fingerprints(prints, scheme=scheme, node_col="node" if scheme.lanes > 1 else None)
+    found = connected_components(links).withColumnRenamed("node", "of")
+    roots = prints.join(found, prints[at] == found["of"], "left").select(F.coalesce("component", at).alias("root"), "least")
+    stays = roots.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row_key").alias("row_key"))
+    packed = docs.select(row_key.alias("row_key"), F.struct("*").alias("row"))
+    kept = packed.join(stays, "row_key", "left_semi")
+    rest = F.to_json(F.struct(*[F.col("row")[c].alias(c) for c in docs.columns if c != text_col]))
+    return kept.groupBy("row_key").agg(F.min_by("row", rest).alias("row")).select("row.*")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
