@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.lineage import cut
@@ -50,7 +50,7 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def learn_radius(x: np.ndarray, rotation: np.ndarray, k: int, target: float = TARGET, queries: int = FIT_QUERIES) -> int:
-    """Least radius that holds the target share of the k nearest of sampled queries among the sample."""
+    """Least radius that holds the target share of the k nearest, by inner product of the vectors as they are, of sampled queries among the sample."""
     codes, found = codes_of(x, rotation), []
     for i in range(min(queries, len(x))):
         score = x @ x[i]
@@ -99,9 +99,12 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     if width is None:
         return empty
     rows = rows.filter(F.size("v") == width["n"])
-    # the k + 1 smallest ids of a class are all that can be among the k nearest of any query; a class is salted, for the lists of a part to stay small
-    salted = rows.distinct().groupBy("v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids"), F.max(is_query(F.col("id"))).alias("asks"))
-    classes = salted.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.max("asks").alias("asks"))
+    # the k + 1 smallest ids of a class are all that can be among the k nearest of any query; a class is salted, so that no task ranks all of it, and what is collected is bounded
+    salted = rows.distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("asks", is_query(F.col("id")))
+    least = salted.withColumn("at", F.row_number().over(Window.partitionBy("v", "salt").orderBy("id"))).filter(F.col("at") <= k + 1)
+    asking = salted.filter("asks").groupBy("v", "salt").agg(F.min("id").alias("id")).select("v", "id", F.lit(True).alias("asks"))
+    few = least.select("v", "id", F.lit(False).alias("asks")).union(asking)
+    classes = few.groupBy("v").agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"), F.max("asks").alias("asks"))
     classes = cut(classes.select(F.col("ids")[0].alias("class"), "ids", "v", "asks"))
     total, asking = classes.agg(F.count("*"), F.count_if("asks")).first()
     if not asking:
@@ -109,8 +112,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     share = min(1.0, FIT_ROWS / total)
     sample = classes.filter(F.pmod(F.xxhash64("class"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("class").limit(FIT_ROWS * 2).select("v").collect()
     x = np.array([r["v"] for r in sample] or [[1.0] * width["n"]])
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    rotation = learn_rotation(x)
+    rotation = learn_rotation(x / np.linalg.norm(x, axis=1, keepdims=True))
     radius = learn_radius(x, rotation, k)
     n_classes, n_queries = -(-total // CLASS_BLOCK), -(-asking // QUERY_BLOCK)
     block = lambda n: F.pmod(F.xxhash64("class"), F.lit(n)).cast("int")
@@ -148,8 +150,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
         return pa.table({"query": pa.array(out_q, pa.int64()), "class": pa.array(out_c, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
     found = here.unionByName(there).groupBy("c", "q").applyInArrow(search, "query long, class long, score double")
-    best = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("class")))), 1, k + 1).alias("best"))
-    best = best.select("query", F.explode("best").alias("e")).select("query", "e.class", (-F.col("e.s")).alias("score"))
+    best = found.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "class"))).filter(F.col("at") <= k + 1).drop("at")
     # back from classes to ids: of the classes found their ids, for every asking id of the query's class
     hits = best.join(classes.select("class", "ids"), "class").groupBy("query").agg(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("id"))))).alias("hits"))
     hits = hits.select("query", F.slice(F.array_sort("hits"), 1, k + 1).alias("hits"))
