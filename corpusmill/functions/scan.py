@@ -21,10 +21,15 @@ DEFAULT_EXCLUDES = [
 
 #: Language of a file extension, in its own case, and of text files, in lower case.
 CODE_LANGUAGES = {
-    "rust": "rs", "python": "py", "javascript": "js mjs cjs", "jsx": "jsx", "typescript": "ts mts", "tsx": "tsx", "go": "go", "java": "java", "c": "c h", "cpp": "cpp cc cxx hpp hxx", "json": "json",
-    "html": "html htm", "css": "css", "hcl": "tf hcl", "php": "php phtml", "ruby": "rb rake gemspec", "csharp": "cs", "kotlin": "kt kts", "swift": "swift", "sql": "sql sequel", "proto": "proto",
+    "rs": "rust", "py": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx", "ts": "typescript", "mts": "typescript", "tsx": "tsx", "go": "go",
+    "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "json": "json", "html": "html", "htm": "html", "css": "css",
+    "tf": "hcl", "hcl": "hcl", "php": "php", "phtml": "php", "rb": "ruby", "rake": "ruby", "gemspec": "ruby", "cs": "csharp", "kt": "kotlin", "kts": "kotlin", "swift": "swift",
+    "sql": "sql", "sequel": "sql", "proto": "proto",
+}
+TEXT_LANGUAGES = {
+    "md": "markdown", "mdx": "markdown", "markdown": "markdown", "rmd": "markdown", "qmd": "markdown", "txt": "text", "rst": "text", "adoc": "text", "asciidoc": "text",
+    "ipynb": "notebook",
 }
-TEXT_LANGUAGES = {"markdown": "md mdx markdown rmd qmd", "text": "txt rst adoc asciidoc", "notebook": "ipynb"}
 TEXT_NAMES = ["README", "CHANGELOG", "CHANGES", "CONTRIBUTING", "NOTICE", "AUTHORS", "HISTORY"]
 
 
@@ -99,7 +104,7 @@ def detect_language(path: Column) -> Column:
     """Language by extension or, without one, by name; null if unknown."""
     name = file_name(path)
     ext = F.when(F.rlike(name, F.lit(r"^.+\.[^.]*$")), F.regexp_extract(name, r"\.([^.]*)$", 1))
-    code = F.create_map(*[F.lit(x) for lang, exts in CODE_LANGUAGES.items() for e in exts.split() for x in (e, lang)])
-    text = F.create_map(*[F.lit(x) for lang, exts in TEXT_LANGUAGES.items() for e in exts.split() for x in (e, lang)])
+    code = F.create_map(*[F.lit(x) for pair in CODE_LANGUAGES.items() for x in pair])
+    text = F.create_map(*[F.lit(x) for pair in TEXT_LANGUAGES.items() for x in pair])
     named = F.when(F.upper(name).isin(TEXT_NAMES), F.lit("text"))
     return F.when(ext.isNull(), named).otherwise(F.coalesce(F.try_element_at(code, ext), F.try_element_at(text, F.lower(ext))))

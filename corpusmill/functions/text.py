@@ -8,16 +8,14 @@ from pyspark.sql import functions as F
 MIN_TOKENS, SUMMARY_TOKENS, MAX_LITERALS, LITERAL_CHARS, CAP_BYTES = 1, 96, 6, 65_536, 16_000
 
 #: Words that are never mentions.
-MENTION_STOPWORDS = (
-    "fn let mut pub use mod struct enum impl trait type where async await move dyn ref box unsafe true false self super crate extern "
-    "None Some Ok Err Vec String str bool usize i32 i64 u32 u64 f32 f64 isize u8 i8 u16 i16 "
-    "def class import from with pass raise yield lambda global nonlocal assert del "
-    "var const function typeof instanceof new delete export default extends static "
-    "func package interface chan select defer goto fallthrough "
-    "void null int long double float char byte short final this throws throw catch finally "
-    "if else for while do switch case break continue return match in not and or is "
-    "get set add into data val"
-).split()
+MENTION_STOPWORDS = [
+    "fn", "let", "mut", "pub", "use", "mod", "struct", "enum", "impl", "trait", "type", "where", "async", "await", "move", "dyn", "ref", "box", "unsafe", "true", "false", "self",
+    "super", "crate", "extern", "None", "Some", "Ok", "Err", "Vec", "String", "str", "bool", "usize", "i32", "i64", "u32", "u64", "f32", "f64", "isize", "u8", "i8", "u16", "i16",
+    "def", "class", "import", "from", "with", "pass", "raise", "yield", "lambda", "global", "nonlocal", "assert", "del", "var", "const", "function", "typeof", "instanceof", "new",
+    "delete", "export", "default", "extends", "static", "func", "package", "interface", "chan", "select", "defer", "goto", "fallthrough", "void", "null", "int", "long", "double",
+    "float", "char", "byte", "short", "final", "this", "throws", "throw", "catch", "finally", "if", "else", "for", "while", "do", "switch", "case", "break", "continue", "return",
+    "match", "in", "not", "and", "or", "is", "get", "set", "add", "into", "data", "val",
+]
 
 #: Marks of subjects that say nothing, and of subjects that report a failure.
 FORMAT_TOOLS = ["prettier", "eslint", "gofmt", "cargo fmt", "rustfmt", "black", "isort", "rubocop", "stylelint", "clang-format", "yapf", "autopep8", "swiftformat", "ktlint"]
@@ -205,3 +203,10 @@ def contains_secret(text: Column) -> Column:
     """Credentials by shape: AWS access keys, GitHub tokens, private keys, bearer and assigned tokens. The pattern set is this package's own."""
     shapes = [r"\bAKIA[0-9A-Z]{16}\b", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b", r"\bgithub_pat_[A-Za-z0-9_]{22,}\b", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"(?i)\b(?:api[_-]?key|secret|token|password)\b\s*[=:]\s*['\"][A-Za-z0-9_\-/+]{16,}['\"]"]
     return F.rlike(text, F.lit("|".join(shapes)))
+
+
+def escape_xml(text: Column) -> Column:
+    """The five characters that XML reserves, as entities."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text

@@ -6,12 +6,17 @@ import ast
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.functions.text import take_while_fits
+from corpusmill.operators.code import LANGUAGES, definitions
+from corpusmill.operators.stripping import strip_code
+
 CHUNK_TOKENS, UNIT_CHARS, MIN_UNIT, MAX_UNITS = 512, 2000, 3, 64
 CHUNK = "node_type string, name string, start_line int, end_line int, content string, docstring string"
 
@@ -97,7 +102,16 @@ def python_chunks(text: str, tokens: int = CHUNK_TOKENS) -> Iterator[tuple]:
             stack += [(n, isinstance(node, ast.ClassDef)) for n in reversed(node.body)]
 
 
-READERS: dict[str, Callable] = {"markdown": markdown_chunks, "notebook": notebook_chunks, "python": python_chunks}
+def code_chunks(text: str, tokens: int = CHUNK_TOKENS, *, language: str) -> Iterator[tuple]:
+    """Definitions of a language with braces; a text without any goes through windows."""
+    lines, found = lines_of(text), definitions(text, language)
+    if not found:
+        yield from plain_chunks(text, tokens)
+    for kind, name, first, last in sorted(((d.kind, d.name, d.first, d.last) for d in found), key=lambda d: d[2]):
+        yield kind, name, first, last, "\n".join(lines[first - 1 : last]), None
+
+
+READERS: dict[str, Callable] = {**{x: partial(code_chunks, language=x) for x in LANGUAGES}, "markdown": markdown_chunks, "notebook": notebook_chunks, "python": python_chunks}
 
 
 def chunk(docs: DataFrame, text_col: str = "text", language_col: str | None = None, tokens: int = CHUNK_TOKENS) -> DataFrame:
@@ -120,48 +134,6 @@ def chunk(docs: DataFrame, text_col: str = "text", language_col: str | None = No
     return docs.mapInPandas(run, schema)
 
 
-#: Line comment starts, and block comments with whether they nest, by language.
-STYLES = {
-    **dict.fromkeys("rust".split(), (("//",), ("/*", "*/"), True)),
-    **dict.fromkeys("javascript typescript jsx tsx go java c cpp csharp kotlin swift css proto".split(), (("//",), ("/*", "*/"), False)),
-    "php": (("//", "#"), ("/*", "*/"), False),
-    "sql": (("--",), ("/*", "*/"), False),
-    "html": ((), ("<!--", "-->"), False),
-    **dict.fromkeys("python ruby hcl".split(), (("#",), None, False)),
-}
-
-
-def strip_code(code: str, language: str | None) -> str:
-    """Code without comments and the insides of strings; line ends stay."""
-    starts, block, nests = STYLES.get(language, ((), None, False))
-    out, i, n = [], 0, len(code)
-    while i < n:
-        if block and code.startswith(block[0], i):
-            depth, i = 1, i + len(block[0])
-            while i < n and depth:
-                if code.startswith(block[1], i):
-                    depth, i = depth - 1, i + len(block[1])
-                elif nests and code.startswith(block[0], i):
-                    depth, i = depth + 1, i + len(block[0])
-                else:
-                    out.append("\n" if code[i] == "\n" else "")
-                    i += 1
-            out.append(" ")
-        elif any(code.startswith(s, i) for s in starts):
-            while i < n and code[i] != "\n":
-                i += 1
-        elif code[i] in "\"'`" and language != "html" and not (language == "rust" and code[i] == "'"):
-            quote, i = code[i], i + 1
-            while i < n and code[i] != quote and (code[i] != "\n" or quote == "`"):
-                i += 2 if code[i] == "\\" else 1
-            i += i < n and code[i] == quote
-            out.append(" ")
-        else:
-            out.append(code[i])
-            i += 1
-    return "".join(out)
-
-
 def stripped_code(code: Column, language: Column) -> Column:
     """strip_code() of columns; null for null."""
 
@@ -178,3 +150,8 @@ def units(text_col: Column, kind_col: Column) -> Column:
     parts = F.when(kind_col == "section", sentences).otherwise(groups)
     cut = F.transform(parts, lambda u: F.substring(F.trim(F.regexp_replace(u, r"^\s+|\s+$", "")), 1, UNIT_CHARS))
     return F.slice(F.filter(cut, lambda u: F.length(u) >= MIN_UNIT), 1, MAX_UNITS)
+
+
+def prefix_of(units_col: Column, order: Column, cap: int) -> Column:
+    """Units in the given order (places from 0), whole and joined by blanks, until one would pass the cap in tokens."""
+    return take_while_fits(F.transform(order, lambda i: F.get(units_col, i)), cap)

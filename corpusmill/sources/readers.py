@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import scan
 from corpusmill.operators.chunks import chunk
+from corpusmill.operators.code import LANGUAGES
 
+MAX_DUMP_BYTES = 256 << 20
 FILE = "path string, language string, hash string, mtime timestamp, length long, text string"
 
 
-def read_tree(spark: SparkSession, root: str, user_lines: list[str] = (), use_defaults: bool = True, detect_generated: bool = True) -> DataFrame:
-    """(path, language, hash, mtime, length, text) of the files below root that are to be read; path is relative to root.
+def read_tree(spark: SparkSession, root: str, user_lines: list[str] = (), use_defaults: bool = True, detect_generated: bool = True, ignore_files: tuple[str, ...] = ()) -> DataFrame:
+    """(path, language, hash, mtime, length, text) of the files below root that are to be read; path is relative to root. ``ignore_files``: names of ignore files that hold below their directories.
 
     Names that are sensitive never pass; excludes, size and language are judged before a file's content is used, and by Spark's reader for size.
     """
@@ -24,6 +26,8 @@ def read_tree(spark: SparkSession, root: str, user_lines: list[str] = (), use_de
     rel = F.regexp_replace(F.col("path"), "^.*?" + _quoted(base.split("://")[-1]) + "/", "")
     rows = files.withColumn("path", F.url_decode(F.regexp_replace(rel, r"\+", "%2B")))
     rows = rows.filter(~scan.is_sensitive(F.col("path")) & scan.within_size(F.col("length"))).withColumn("decision", scan.index_decision(F.col("path"), list(user_lines), use_defaults))
+    if ignore_files:
+        rows = without_ignored(rows, ignore_rules(spark, root, ignore_files))
     rows = rows.filter("decision.decision != 'exclude'").withColumn("language", scan.detect_language(F.col("path"))).filter("language is not null")
     rows = rows.filter(~scan.is_binary(F.col("content"))).withColumn("text", F.decode("content", "utf-8"))
     if detect_generated:
@@ -31,6 +35,43 @@ def read_tree(spark: SparkSession, root: str, user_lines: list[str] = (), use_de
     return rows.select("path", "language", F.sha2("content", 256).alias("hash"), F.col("modificationTime").alias("mtime"), "length", "text")
 
 
+def without_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """files (path) but those that ignore rules (dir, line, at) exclude: a rule holds below its directory, of those that fit the deepest and last decides, and a ``!`` line includes.
+
+    Rules are the lines of ignore files, ``dir`` relative to the root and empty for the root itself. A file meets the rules of its own directories only.
+    """
+    lines = rules.withColumn("line", F.trim("line")).filter("line != '' and not startswith(line, '#')")
+    to_regex = F.udf(lambda line: scan.glob_regex(line.removeprefix("!")), "string")
+    lines = lines.select(F.col("dir").alias("_dir"), F.col("at").alias("_at"), F.startswith("line", F.lit("!")).alias("_in"), to_regex("line").alias("_regex"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    each = files.select("path", F.explode(above).alias("_dir")).join(lines, "_dir").withColumn("_rel", F.expr("if(_dir = '', path, substr(path, length(_dir) + 2))"))
+    last = each.filter(F.expr("rlike(_rel, _regex)")).groupBy("path").agg(F.max_by("_in", F.struct(F.length("_dir"), "_at")).alias("_in"))
+    return files.join(last.filter("not _in").select("path"), "path", "left_anti")
+
+
+def ignore_rules(spark: SparkSession, root: str, names: tuple[str, ...] = (".gitignore", ".ignore")) -> DataFrame:
+    """(dir, line, at) of all ignore files below root.
+
+    Spark's readers pass over names that begin with a dot, so these files are found level by level and read through the driver's file system client: a few lines each.
+    """
+    jvm, base = spark._jvm, root.rstrip("/")
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    start = len(fs.makeQualified(path(base)).toUri().getPath()) + 1
+    rows, level = [], base
+    while fs.globStatus(path(level + "/*")):
+        for i, name in enumerate(names):
+            for status in fs.globStatus(path(f"{level}/{name}")) or []:
+                stream = fs.open(status.getPath())
+                text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                stream.close()
+                folder = status.getPath().getParent().toUri().getPath()[start:]
+                rows += [(folder, line, (i << 32) + n) for n, line in enumerate(text.splitlines())]
+        level += "/*"
+    return spark.createDataFrame(rows, "dir string, line string, at long")
+
+
 def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
 
@@ -48,13 +89,13 @@ def gone(files: DataFrame, found: DataFrame) -> DataFrame:
 
 def sample(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """n rows by a hash of their key: the same ones on every run."""
-    return rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))).orderBy("_h", key).limit(n).drop("_h")
+    return rows.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).orderBy("_h", key).limit(n).drop("_h")
 
 
 def read_chunks(files: DataFrame, tokens: int = 512) -> DataFrame:
     """Chunks of files by the reader of their language; code over the parse limit goes through windows."""
     small = F.octet_length("text") <= scan.MAX_PARSE_BYTES
-    return chunk(files.withColumn("_reader", F.when(small | ~F.col("language").isin("python"), F.col("language"))), "text", "_reader", tokens).drop("_reader")
+    return chunk(files.withColumn("_reader", F.when(small | ~F.col("language").isin("python", *LANGUAGES), F.col("language"))), "text", "_reader", tokens).drop("_reader")
 
 
 NOTE_RECORD = "schema_version int, id long, kind string, title string, body string, tags array<string>, linked_files array<string>, created_at long, status string, superseded_by long, source_ref string, valid_at long, invalid_at long, entity_id string, remote_id string, superseded_by_entity_id string"
@@ -71,7 +112,7 @@ def read_note_log(spark: SparkSession, path: str) -> DataFrame:
 def read_commits(text: DataFrame, col: str = "value") -> DataFrame:
     """(sha, subject, body) of NUL-separated commits, each the hash, the subject and the body on lines."""
     each = text.select(F.explode(F.split(F.col(col), "\0")).alias("c")).withColumn("c", F.trim(F.regexp_replace("c", r"^\s+", ""))).filter("c != ''")
-    return each.select(F.split("c", "\n")[0].alias("sha"), F.coalesce(F.get(F.split("c", "\n"), F.lit(1)), F.lit("")).alias("subject"), F.regexp_replace(F.array_join(F.slice(F.split("c", "\n"), 3, 1 << 20), "\n"), r"^\s+|\s+$", "").alias("body"))
+    return each.select(F.split("c", "\n")[0].alias("sha"), F.coalesce(F.get(F.split("c", "\n"), F.lit(1)), F.lit("")).alias("subject"), F.regexp_replace(F.array_join(F.slice(F.split("c", "\n"), F.lit(3), F.greatest(F.size(F.split("c", "\n")) - 2, F.lit(0))), "\n"), r"^\s+|\s+$", "").alias("body"))
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
@@ -112,8 +153,15 @@ def check_dump(text: str) -> None:
 
 
 def read_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(entities, relationships) of a dump of one file; refused as a whole if anything does not fit."""
-    check_dump(b"".join(bytes(r["content"]) for r in spark.read.format("binaryFile").load(path).select("content").collect()).decode())
+    """(entities, relationships) of a dump of one file; refused as a whole if anything does not fit.
+
+    The digest runs over the whole file in order, so the driver reads it; a dump over MAX_DUMP_BYTES is refused before it is read.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    size = files.agg(F.sum("length")).first()[0] or 0
+    if size > MAX_DUMP_BYTES:
+        raise ValueError(f"the dump has {size} bytes; {MAX_DUMP_BYTES} are the most that is read")
+    check_dump(b"".join(bytes(r["content"]) for r in files.orderBy("path").select("content").collect()).decode())
     rows = spark.read.text(path)
     entity = "record string, type string, ref string, entity_id string, created_at long, kind string, title string, body string, status string, tags array<string>"
     link = "record string, type string, from_ref string, to_ref string, created_at long"
