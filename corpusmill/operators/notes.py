@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.lineage import cut
+
 LIST_CAP, PAGE_MIN, PAGE_MAX, HARVEST_TAG = 500, 1, 500, "git:"
 CROSS_TAGS, CROSS_KINDS = ["locked", "cross-project"], ["decision", "requirement"]
 
@@ -76,10 +78,13 @@ def page_after(rows: DataFrame, cursor, limit: int, key: str = "sync_id") -> Dat
 
 
 def stride(rows: DataFrame, most: int, order: list[str]) -> DataFrame:
-    """Every n-th row so that at most ``most`` stay; rows are a limited list."""
-    n = F.count("*").over(Window.partitionBy())
-    at = F.row_number().over(Window.orderBy(*order)) - 1
-    return rows.withColumn("_at", at).withColumn("_step", F.greatest(F.lit(1), F.ceil(n / most))).filter("_at % _step = 0").drop("_at", "_step")
+    """Every n-th row so that at most ``most`` stay. Rows are dealt by ranges of the order; a row's place is its place in its part after the rows of the parts before."""
+    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    parts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    starts = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"), F.greatest(F.lit(1), F.ceil(F.sum("_n").over(Window.partitionBy()) / most)).alias("_step"))
+    placed = dealt.withColumn("_part", part).join(starts, "_part").withColumn("_at", F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    return placed.filter("_at % _step = 0").select(*rows.columns)
 
 
 def top_of(rows: DataFrame, per: str, limit: Column, order: list) -> DataFrame:

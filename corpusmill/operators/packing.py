@@ -1,8 +1,12 @@
-"""Packing rows into a token budget: in order, what does not fit is left out and packing goes on. A fold over the limited list of one request."""
+"""Packing rows into a token budget: in order, what does not fit is left out and packing goes on.
+
+What remains only shrinks, so once a row of some size is left out, all later ones of that size are: of the rows of size t only the first budget / t can be packed. These
+are taken by a window for each size, at most budget * ln(budget) rows in all, and only they are folded.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Order in which a context's sections are packed.
@@ -12,14 +16,19 @@ OTHER_LIMIT, STOP_BELOW = 20, 10
 
 
 def pack(rows: DataFrame, budget: int, order: list, tokens_col: str = "tokens", stop_below: int = STOP_BELOW, per: list[str] | None = None) -> DataFrame:
-    """rows with ``remaining`` that fit, in order; packing ends when less than stop_below tokens remain. ``per``: one budget for each group."""
+    """rows with ``remaining`` that fit, in order; packing ends when less than stop_below tokens remain. ``per``: one budget for each group. A row takes one token at least."""
     keys = per or []
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[c.alias(f"_o{i}") if not isinstance(c, str) else F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*[c for c in rows.columns]).alias("row")))).alias("all"))
-    kind = listed.schema["all"].dataType.elementType["row"].dataType.simpleString()
-    fold = f"""aggregate(all, named_struct('left', {int(budget)}L, 'kept', cast(array() as array<struct<row:{kind},remaining:bigint>>)),
-        (s, x) -> case when s.left < {int(stop_below)} or x.row.{tokens_col} > s.left then s
-                  else named_struct('left', s.left - x.row.{tokens_col}, 'kept', concat(s.kept, array(named_struct('row', x.row, 'remaining', s.left - x.row.{tokens_col})))) end).kept"""
-    return listed.select(F.explode(F.expr(fold)).alias("e")).select("e.row.*", "e.remaining")
+    key = [F.col(c) for c in keys]
+    sized = rows.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[(F.col(c) if isinstance(c, str) else c).alias(f"_o{i}") for i, c in enumerate(order)], F.greatest(F.col(tokens_col).cast("long"), F.lit(1)).alias("_t"), F.struct("*").alias("row"))
+    group, places = [f"_k{i}" for i in range(len(key))], [f"_o{i}" for i in range(len(order))]
+    nth = F.row_number().over(Window.partitionBy(*group, "_t").orderBy(*places))
+    few = sized.filter(F.col("_t") <= budget).withColumn("_n", nth).filter(F.col("_n") <= F.floor(F.lit(budget) / F.col("_t"))).drop("_n")
+    listed = few.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*places, "_t", "row"))).alias("all"))
+    fold = f"""aggregate(transform(all, (x, i) -> named_struct('i', i, 't', x._t)), named_struct('left', {int(budget)}L, 'kept', cast(array() as array<struct<i:int,remaining:bigint>>)),
+        (s, x) -> case when s.left < {int(stop_below)} or x.t > s.left then s
+                  else named_struct('left', s.left - x.t, 'kept', concat(s.kept, array(named_struct('i', x.i, 'remaining', s.left - x.t)))) end).kept"""
+    kept = listed.withColumn("kept", F.expr(fold)).select(F.explode(F.expr("transform(kept, k -> named_struct('row', all[k.i].row, 'remaining', k.remaining))")).alias("e"))
+    return kept.select("e.row.*", "e.remaining")
 
 
 def section_priority(kind):

@@ -68,10 +68,15 @@ def pending_sync(notes: DataFrame) -> DataFrame:
 
 
 def smoothed(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """A running mean of each key's values: the first, then 0.1 old + 0.9 new, then halves. A fold over a key's samples in order."""
-    listed = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))), lambda x: x["_v"]).alias("v"))
-    step = "case when s.n = 0 then x when s.n = 1 then 0.1D * s.m + 0.9D * x else 0.5D * s.m + 0.5D * x end"
-    return listed.select(key, F.expr(f"aggregate(v, named_struct('m', 0D, 'n', 0), (s, x) -> named_struct('m', {step}, 'n', s.n + 1)).m").alias("ema"))
+    """A running mean of each key's values: the first, then 0.1 old + 0.9 new, then halves.
+
+    As a sum: the last value weighs a half, the one before a quarter and so on, the first two share what is left; so no key's values are collected.
+    """
+    w = Window.partitionBy(key)
+    placed = rows.select(key, F.col(value).cast("double").alias("_v"), F.row_number().over(w.orderBy(*order)).alias("_k"), F.count("*").over(w).alias("_n"))
+    half = F.pow(F.lit(0.5), F.greatest(F.col("_n") - 2, F.lit(0)))
+    weight = F.when(F.col("_n") == 1, F.lit(1.0)).when(F.col("_k") == 1, 0.1 * half).when(F.col("_k") == 2, 0.9 * half).otherwise(F.pow(F.lit(0.5), F.col("_n") - F.col("_k") + 1))
+    return placed.groupBy(key).agg(F.sum(F.col("_v") * weight).alias("ema"))
 
 
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int, token_budget: int | None = None) -> DataFrame:

@@ -62,6 +62,33 @@ def bm25(docs: DataFrame, phrases: list[list[str]], fields: list[str]) -> DataFr
     return found.withColumn("score", score).select("row.*", "score")
 
 
+def lengths(docs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """(id, length): tokens of all fields of every document, the other half of an index beside postings()."""
+    return docs.select(id_col, sum((F.size(tokens(F.col(f))) for f in fields[1:]), F.size(tokens(F.col(fields[0])))).alias("length"))
+
+
+def bm25_indexed(index: DataFrame, sizes: DataFrame, phrases: list[list[str]], id_col: str) -> DataFrame:
+    """(id, score) as bm25() has it, from postings() and lengths() kept as tables: only the postings of the phrases' words are read, and no text."""
+    phrases = [p for p in phrases if p]
+    if not phrases:
+        return sizes.limit(0).select(id_col, F.lit(0.0).alias("score"))
+    words = sorted({w for p in phrases for w in p})
+    mine = index.filter(F.col("term").isin(words)).groupBy(id_col, "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    place = lambda w: f"coalesce(try_element_at(at, '{w}'), cast(array() as array<int>))"
+    counts = [F.expr(f"size(filter({place(p[0])}, i -> {' and '.join(['true', *(f'array_contains({place(w)}, i + {j})' for j, w in enumerate(p) if j)])}))") for p in phrases]
+    each = mine.select(id_col, *[c.cast("long").alias(f"_f{i}") for i, c in enumerate(counts)]).groupBy(id_col).agg(*[F.sum(f"_f{i}").alias(f"_f{i}") for i in range(len(counts))])
+    each = each.filter(" or ".join(f"_f{i} > 0" for i in range(len(counts))))
+    dfs = each.agg(F.struct(*[F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(len(counts))])).scalar()
+    totals = sizes.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("len"))).scalar()
+    rows = each.join(sizes, id_col).withColumn("_d", dfs).withColumn("_t", totals)
+    score = F.lit(0.0)
+    for i in range(len(counts)):
+        df, f = F.col(f"_d.d{i}"), F.col(f"_f{i}")
+        idf = F.greatest(F.lit(LEAST_IDF), F.ln((F.col("_t.n") - df + 0.5) / (df + 0.5)))
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("_t.len")))
+    return rows.select(id_col, score.alias("score"))
+
+
 def search_terms(docs: DataFrame, query: str, fields: list[str], limit: int, order: list[str]) -> DataFrame:
     """Any of the query's terms; a term with punctuation is a phrase of its tokens."""
     return bm25(docs, [query_tokens(t) for t in query.split()], fields).orderBy(F.desc("score"), *order).limit(min(limit, MAX_CODE))

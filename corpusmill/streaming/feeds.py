@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,14 +50,25 @@ def repair_backlog(notes: DataFrame, embeddings: Callable[[], DataFrame], embed:
 
 
 def rate_limited(calls: DataFrame, key: str, time: str, limit: int, window: int) -> DataFrame:
-    """calls with ``allowed``: a key's window starts with a call after the last one has run out, and lets limit calls pass. A fold over each key's calls in order."""
-    rest = [c for c in calls.columns if c != key]
-    listed = calls.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("_t"), F.struct(*rest).alias("row")))).alias("all"))
-    kind = listed.schema["all"].dataType.elementType["row"].dataType.simpleString()
-    fold = f"""aggregate(all, named_struct('from', cast(null as bigint), 'n', 0, 'out', cast(array() as array<struct<row:{kind},allowed:boolean>>)),
-        (s, x) -> case when s.from is null or x._t - s.from >= {int(window)} then named_struct('from', x._t, 'n', 1, 'out', concat(s.out, array(named_struct('row', x.row, 'allowed', {limit} >= 1))))
-                  else named_struct('from', s.from, 'n', s.n + 1, 'out', concat(s.out, array(named_struct('row', x.row, 'allowed', s.n < {int(limit)})))) end).out"""
-    return listed.select(key, F.explode(F.expr(fold)).alias("e")).select(key, "e.row.*", "e.allowed")
+    """calls with ``allowed``: a key's window starts with a call after the last one has run out, and lets limit calls pass.
+
+    One pass over the calls sorted by key and time, which keeps the last key's window only. A key's windows depend on each other, so a key stays in one task.
+    """
+    rest = [c for c in calls.columns if c not in (key, time)]
+    dealt = calls.select(key, time, *rest).repartition(key).sortWithinPartitions(key, time, *rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, start, n = object(), None, 0
+        for batch in batches:
+            allowed = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != last or start is None or t - start >= window:
+                    last, start, n = k, t, 0
+                n += 1
+                allowed.append(n <= limit)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_())], [key, time, *rest, "allowed"])
+
+    return dealt.mapInArrow(run, T.StructType([*dealt.schema.fields, T.StructField("allowed", T.BooleanType())]))
 
 
 def rate_limited_stream(calls: DataFrame, key: str, time: str, limit: int, window: int) -> DataFrame:
@@ -101,11 +113,6 @@ def next_batch(per_token: float, tail: list[int], ceiling: int, last: int, targe
     return max(1, n)
 
 
-def moved(refs: dict[str, str], seen: dict[str, str]) -> bool:
-    """Whether an import is due: some ref points elsewhere than at the last import."""
-    return refs != seen
-
-
 def tumbling(events: DataFrame, time: str, size: str, keys: list[str], slide: str | None = None, late: str | None = None) -> DataFrame:
     """Extension: counts and sums by event-time window; late rows are dropped behind the watermark."""
     rows = events.withWatermark(time, late) if late else events
