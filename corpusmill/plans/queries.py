@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import scan
@@ -13,25 +11,12 @@ from corpusmill.operators import conventions, fusion, graph, packing, rag, stats
 from corpusmill.operators import notes as N
 from corpusmill.operators import text_search as B
 from corpusmill.operators import vectors as V
-from corpusmill.operators.chunks import chunk, units
+from corpusmill.operators.chunks import chunk, prefix_of, units
+from corpusmill.plans.registry import ORACLES, QUERIES, query
 from corpusmill.plans.tables import CHUNKS_SQL, EDGES_SQL, NOTES_SQL, chunks, edges, notes, query_vector, table, vectors
 from corpusmill.sources import readers
 from corpusmill.streaming import feeds
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
 # scans and filters
 
 @query("s2_s3_s7_index_filter", r"""
@@ -45,15 +30,6 @@ def s2_s3_s7(spark, sf):
     return p.select("page_id", "path", scan.is_sensitive(F.col("path")).alias("sensitive"), scan.index_decision(F.col("path"), ["!site/vendor/1*"])["decision"].alias("decision"), scan.detect_language(F.col("path")).alias("language"))
 
 
-@query("s4_s5_s6_content_filters", r"""
-WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '// Code generated by x. DO NOT EDIT.' || chr(10) || text WHEN doc_id % 5 = 1 THEN 'a' || chr(10) || '# @generated' || chr(10) || text ELSE text END AS t FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Code generated ... DO NOT EDIT.' WHEN doc_id % 5 = 1 THEN '@generated' END AS marker, octet_length(encode(t)) <= 4000 AS small, false AS binary FROM d""")
-def s4_s5_s6(spark, sf):
-    t = F.expr("CASE WHEN doc_id % 5 = 0 THEN concat('// Code generated by x. DO NOT EDIT.\\n', text) WHEN doc_id % 5 = 1 THEN concat('a\\n# @generated\\n', text) ELSE text END")
-    d = table(spark, sf, "documents").select("doc_id", t.alias("t"))
-    return d.select("doc_id", scan.generated_marker(F.col("t")).alias("marker"), scan.within_size(F.octet_length("t"), 4000).alias("small"), scan.is_binary(F.encode("t", "utf-8")).alias("binary"))
-
-
 @query("s8_incremental_skip", "SELECT d.doc_id FROM documents d WHERE NOT (d.doc_id % 3 = 0 AND d.doc_id IN (SELECT doc_id FROM labels))")
 def s8(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id")).alias("path"), F.sha2("text", 256).alias("hash"))
@@ -88,11 +64,6 @@ def m7(spark, sf):
     return readers.collapse_dump(d, links)[1].select(F.col("from_ref").alias("from_doc"), F.col("to_ref").alias("to_doc"))
 
 
-@query("s22_sample")
-def s22(spark, sf):
-    return readers.sample(table(spark, sf, "documents").select("doc_id", "source"), 50, "doc_id")
-
-
 @query("f1_f3_o4_list", f"WITH {NOTES_SQL} SELECT uuid, kind, created_at FROM notes WHERE kind = 'decision' AND source_ref ILIKE 'GIT:%' AND status = 'active' ORDER BY created_at DESC, uuid LIMIT 40")
 def f1(spark, sf):
     return N.listed(notes(spark, sf), "decision", "GIT:", 40).select("uuid", "kind", "created_at")
@@ -117,7 +88,7 @@ def f4(spark, sf):
     return chunks(spark, sf).select("chunk_id", N.path_matches(F.col("path"), "7.TXT").alias("suffix"), N.path_under(F.col("path"), "SRC1").alias("under"))
 
 
-@query("f7_f15_f16_ids", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+@query("f7_ids", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def f7(spark, sf):
     return N.with_ids(table(spark, sf, "documents"), table(spark, sf, "labels").filter("quality = 1"), "doc_id").select("doc_id", "lang")
 
@@ -130,9 +101,9 @@ def f9(spark, sf):
 
 @query("f10_f11_subjects", """
 WITH s AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Fix: ' || substr(text, 1, 20) WHEN 1 THEN 'Bump version ' || doc_id WHEN 2 THEN 'Revert "x"' ELSE substr(text, 1, 30) END AS s FROM documents)
-SELECT doc_id, doc_id % 4 = 1 AS routine, doc_id % 4 IN (0, 2) AS failure FROM s WHERE doc_id % 4 < 3""")
-def f10(spark, sf, listed="doc_id % 4 < 3"):
-    s = table(spark, sf, "documents").filter(listed).select("doc_id", F.expr("CASE doc_id % 4 WHEN 0 THEN concat('Fix: ', substr(text, 1, 20)) WHEN 1 THEN concat('Bump version ', doc_id) WHEN 2 THEN 'Revert \"x\"' ELSE substr(text, 1, 30) END").alias("s"))
+SELECT doc_id, doc_id % 4 = 1 AS routine, doc_id % 4 IN (0, 2) AS failure FROM s""")
+def f10(spark, sf):
+    s = table(spark, sf, "documents").select("doc_id", F.expr("CASE doc_id % 4 WHEN 0 THEN concat('Fix: ', substr(text, 1, 20)) WHEN 1 THEN concat('Bump version ', doc_id) WHEN 2 THEN 'Revert \"x\"' ELSE substr(text, 1, 30) END").alias("s"))
     return s.select("doc_id", X.is_routine_subject(F.col("s")).alias("routine"), X.is_failure_subject(F.col("s")).alias("failure"))
 
 
@@ -148,17 +119,6 @@ def f13(spark, sf):
 
 # joins
 
-@query("j1_v3_knn_int8", """
-WITH q AS (SELECT list_transform(embedding, lambda x: greatest(-127, least(127, round(x::DOUBLE * 127)))::BIGINT) AS v FROM embeddings WHERE vec_id = 0),
-c AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(-127, least(127, round(x::DOUBLE * 127)))::BIGINT) AS v, label FROM embeddings),
-s AS (SELECT vec_id, label, list_sum(list_transform(list_zip(c.v, q.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS sq_dist FROM c, q)
-SELECT vec_id, label, sq_dist, round(sqrt(sq_dist::DOUBLE) / 127, 6) AS distance FROM s ORDER BY sq_dist, vec_id LIMIT 25""")
-def v3(spark, sf):
-    q = query_vector(spark, sf)
-    v = vectors(spark, sf).select("vec_id", "label", V.quantise(F.col("embedding")).alias("embedding"))
-    return V.knn_int8(v, q, 25, ["vec_id"]).select("vec_id", "label", "sq_dist", F.round("distance", 6).alias("distance"))
-
-
 @query("j3_o3_embed_queue", f"WITH {CHUNKS_SQL} SELECT chunk_id, row_number() OVER (ORDER BY l.doc_id IS NOT NULL, graph_rank DESC, indexed_at DESC, chunk_id)::INTEGER AS place FROM chunks LEFT JOIN labels l ON l.doc_id = chunk_id WHERE l.doc_id IS NULL OR embed_pending ORDER BY place LIMIT 60")
 def j3(spark, sf):
     c = chunks(spark, sf).withColumn("mtime", F.col("indexed_at"))
@@ -173,7 +133,7 @@ def j4(spark, sf):
     return N.without_embedding(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id", 100, 70).select("doc_id")
 
 
-@query("j6_j7_chunk_symbols", f"""WITH {EDGES_SQL}, c AS (SELECT o_orderkey AS chunk_id, 's' || (o_custkey % 61) AS name, 'f' || (o_orderkey % 97) AS path FROM orders)
+@query("j6_chunk_symbols", f"""WITH {EDGES_SQL}, c AS (SELECT o_orderkey AS chunk_id, 's' || (o_custkey % 61) AS name, 'f' || (o_orderkey % 97) AS path FROM orders)
 SELECT target_name AS symbol, e.kind, count(DISTINCT chunk_id) AS n FROM c JOIN edges e ON c.name = e.source_name AND c.path = e.source_file WHERE e.kind IN ('mentions', 'calls') GROUP BY 1, 2""")
 def j6(spark, sf):
     c = table(spark, sf, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.concat(F.lit("s"), F.col("o_custkey") % 61).alias("name"), F.concat(F.lit("f"), F.col("o_orderkey") % 97).alias("path"))
@@ -185,10 +145,10 @@ def j8(spark, sf):
     return graph.neighbour_names(edges(spark, sf), ["s1", "s7"])
 
 
-@query("j9_j10_prefix_join", "WITH l AS (SELECT DISTINCT lower(substr(url, 1, 22)) AS linked FROM pages WHERE page_id % 10 = 0) SELECT page_id, linked FROM pages JOIN l ON starts_with(lower(url), linked)")
+@query("j9_prefix_join", "WITH l AS (SELECT DISTINCT lower(regexp_extract(url, '^[^/]*//[^/]*/[^/]*')) AS linked FROM pages) SELECT page_id, linked FROM pages JOIN l ON starts_with(lower(url), linked)")
 def j9(spark, sf):
     p = table(spark, sf, "pages").select("page_id", F.col("url").alias("path"))
-    links = p.filter("page_id % 10 = 0").select(F.lower(F.substring("path", 1, 22)).alias("linked")).distinct()
+    links = p.select(F.lower(F.regexp_extract("path", "^[^/]*//[^/]*/[^/]*", 0)).alias("linked")).distinct()
     return N.prefix_join(p, links).select("page_id", "linked")
 
 
@@ -197,11 +157,6 @@ def j11(spark, sf):
     return N.successors(notes(spark, sf)).select("uuid", "successor_title")
 
 
-@query("j12_registry_deps", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
-def j12(spark, sf):
-    return table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
-
-
 NOTE_EDGES_SQL = "note_edges AS (SELECT uuid AS from_id, lpad(conv_id::VARCHAR, 8, '0') || '-' || lpad((turn + 2)::VARCHAR, 4, '0') AS to_id, 'relates_to' AS kind, created_at FROM notes)"
 
 
@@ -250,19 +205,21 @@ def j17(spark, sf):
     return both.filter("size(o) > 0").select("g", F.array_join("o", ",").alias("files"))
 
 
-@query("j18_span_overlap", f"WITH {CHUNKS_SQL} SELECT a.chunk_id AS a, b.chunk_id AS b FROM chunks a JOIN chunks b ON split_part(a.path, '/', 1) = split_part(b.path, '/', 1) AND a.chunk_id < b.chunk_id AND a.start_line + a.chunk_id % 40 <= b.end_line AND b.start_line <= a.end_line + a.chunk_id % 40 WHERE a.chunk_id % 20 = 0")
+@query("j18_span_overlap", f"WITH {CHUNKS_SQL}, c AS (SELECT chunk_id, chunk_id // 20 AS file, start_line + chunk_id % 40 AS s, end_line + chunk_id % 40 AS e FROM chunks) SELECT a.chunk_id AS a, b.chunk_id AS b FROM c a JOIN c b ON a.file = b.file AND a.chunk_id < b.chunk_id AND a.s <= b.e AND b.s <= a.e")
 def j18(spark, sf):
-    c = chunks(spark, sf).select("chunk_id", F.split("path", "/")[0].alias("file"), "start_line", "end_line")
-    a = c.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("a"), "file", (F.col("start_line") + F.col("chunk_id") % 40).alias("s"), (F.col("end_line") + F.col("chunk_id") % 40).alias("e"))
-    return a.join(c, "file").filter((F.col("a") < F.col("chunk_id")) & N.spans_overlap(F.col("s"), F.col("e"), F.col("start_line"), F.col("end_line"))).select("a", F.col("chunk_id").alias("b"))
+    """Spans of the chunks of a file, here of twenty chunks each, against each other."""
+    c = chunks(spark, sf).selectExpr("chunk_id", "chunk_id div 20 AS file", "start_line + chunk_id % 40 AS s", "end_line + chunk_id % 40 AS e")
+    a, b = (c.select("file", *[F.col(x).alias(f"{x}_{side}") for x in ("chunk_id", "s", "e")]) for side in "ab")
+    pairs = a.join(b, "file").filter((F.col("chunk_id_a") < F.col("chunk_id_b")) & N.spans_overlap(F.col("s_a"), F.col("e_a"), F.col("s_b"), F.col("e_b")))
+    return pairs.select(F.col("chunk_id_a").alias("a"), F.col("chunk_id_b").alias("b"))
 
 
 @query("j19_conflicts", """
-WITH p AS (SELECT a.vec_id, b.vec_id AS other, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0),
+WITH p AS (SELECT a.vec_id, b.vec_id AS other, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS n FROM p WHERE d <= 1.3) SELECT vec_id, other, round(d, 6) AS distance FROM r WHERE n <= 5""")
-def j19(spark, sf, asking="vec_id % 25 = 0"):
+def j19(spark, sf):
     v = vectors(spark, sf)
-    return V.conflicts(v, v.filter(asking), "vec_id", 1.3, block="label").select("vec_id", "other", F.round("distance", 6).alias("distance"))
+    return V.conflicts(v, v.filter("vec_id % 20 = 0"), "vec_id", 1.3, block="label").select("vec_id", "other", F.round("distance", 6).alias("distance"))
 
 
 # vectors and ranking
@@ -278,7 +235,7 @@ L2_SQL = """q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
 s AS (SELECT vec_id, label, sqrt(list_sum(list_transform(list_zip(e.embedding, q.v), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d FROM embeddings e, q)"""
 
 
-@query("v4_v5_knn_then_filter", f"WITH {L2_SQL}, k AS (SELECT * FROM s ORDER BY d, vec_id LIMIT 60) SELECT vec_id, round(d, 6) AS distance FROM k WHERE label = 3")
+@query("v4_knn_then_filter", f"WITH {L2_SQL}, k AS (SELECT * FROM s ORDER BY d, vec_id LIMIT 60) SELECT vec_id, round(d, 6) AS distance FROM k WHERE label = 3")
 def v4(spark, sf):
     return V.knn(vectors(spark, sf), query_vector(spark, sf), 60, ["vec_id"], F.col("label") == 3).select("vec_id", F.round("distance", 6).alias("distance"))
 
@@ -328,9 +285,13 @@ def b4(spark, sf):
     return B.ranked(hits, [F.col("doc_id") * 911 % 4001, "doc_id"], "place").select("doc_id", "place")
 
 
-@query("b_postings", f"WITH {TOKENS_SQL}, p AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS k FROM t) SELECT doc_id, term, count(*) AS tf, min(k)::INTEGER - 1 AS first FROM p WHERE length(term) > 14 GROUP BY 1, 2")
-def postings(spark, sf, shown="length(term) > 14"):
-    return B.postings(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", ["text"]).filter(shown).select("doc_id", "term", "tf", F.col("positions")[0].alias("first"))
+@query("b_postings", f"""WITH {TOKENS_SQL}, p AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS k FROM t), g AS (SELECT doc_id, term, count(*) AS tf, string_agg((k - 1)::VARCHAR, ' ' ORDER BY k) AS places FROM p GROUP BY 1, 2)
+SELECT doc_id, count(*) AS terms, sum(tf)::BIGINT AS tokens, md5(string_agg(term || ':' || places, ',' ORDER BY encode(term))) AS digest FROM g GROUP BY 1""")
+def postings(spark, sf):
+    p = B.postings(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", ["text"])
+    row = F.concat("term", F.lit(":"), F.array_join(F.col("positions").cast("array<string>"), " "))
+    listed = F.array_sort(F.collect_list(F.struct(F.encode("term", "utf-8").alias("t"), row.alias("row"))))
+    return p.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"), F.md5(F.array_join(F.transform(listed, lambda x: x["row"]), ",")).alias("digest"))
 
 
 HYBRID_SQL = f"""{TERM_SQL}, {L2_SQL.replace('s AS', 's2 AS')}, lt AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 60),
@@ -343,7 +304,7 @@ def hybrid_lists(spark, sf):
     return [text, near]
 
 
-@query("r1_r2_r4_hybrid", f"WITH {HYBRID_SQL} SELECT id, round(rrf.score, 8) AS score, round(1 / rrf.score, 6) AS distance FROM rrf JOIN documents ON doc_id = id ORDER BY rrf.score DESC, source, id LIMIT 20")
+@query("r1_r4_hybrid", f"WITH {HYBRID_SQL} SELECT id, round(rrf.score, 8) AS score, round(1 / rrf.score, 6) AS distance FROM rrf JOIN documents ON doc_id = id ORDER BY rrf.score DESC, source, id LIMIT 20")
 def r1(spark, sf):
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source")
     return fusion.hybrid(hybrid_lists(spark, sf), rows, "id", 20, ["source", "id"]).select("id", F.round("score", 8).alias("score"), F.round("distance", 6).alias("distance"))
@@ -368,7 +329,7 @@ def r6(spark, sf):
     return fusion.appendix(f, vectors(spark, sf).filter("label = 2").select("vec_id"), "vec_id", 10, ["vec_id"], "code")
 
 
-@query("r7_r8_linear_rag")
+@query("r7_linear_rag")
 def r7(spark, sf):
     pool = V.knn(vectors(spark, sf), query_vector(spark, sf), rag.pool_size(20), ["vec_id"]).select(F.col("vec_id").alias("chunk_id"), "distance")
     symbols = table(spark, sf, "lineitem").selectExpr("l_orderkey % 500 AS chunk_id", "concat('s', l_partkey % 83) AS symbol", "CASE l_linenumber % 2 WHEN 0 THEN 'calls' ELSE 'mentions' END AS kind").distinct()
@@ -381,11 +342,21 @@ def r9(spark, sf):
     return rag.mmr(vectors(spark, sf), "label", "vec_id", "embedding")
 
 
-@query("r10_a8_a9_units", r"""WITH u AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t]*\n\s*')) AS u FROM documents WHERE doc_id % 4 <> 0), c AS (SELECT doc_id, substr(trim(u, E' \t\n\r'), 1, 2000) AS u FROM u)
-SELECT doc_id, least(count(*), 64) AS n FROM c WHERE length(u) >= 3 GROUP BY 1""")
-def r10(spark, sf, listed="chunk_id % 4 != 0"):
-    c = chunks(spark, sf).filter(listed).select(F.col("chunk_id").alias("doc_id"), units(F.col("content"), F.col("node_type")).alias("u"))
-    return c.filter("size(u) > 0").select("doc_id", F.size("u").cast("long").alias("n"))
+UNITS_SQL = r"""parts AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN string_split_regex(regexp_replace(text, '([.!?])', '\1' || chr(1), 'g'), '\x01|\n') ELSE regexp_split_to_array(text, '\n[ \t]*\n\s*') END AS p FROM documents),
+cuts AS (SELECT doc_id, list_filter(list_transform(p, lambda u: substr(trim(u, E' \t\n\r\x0b\x0c'), 1, 2000)), lambda u: length(u) >= 3)[1:64] AS u FROM parts)"""
+
+
+@query("r10_units", f"WITH {UNITS_SQL} SELECT doc_id, len(u)::BIGINT AS n, md5(array_to_string(u, '|')) AS digest FROM cuts WHERE len(u) > 0")
+def r10(spark, sf):
+    c = chunks(spark, sf).select(F.col("chunk_id").alias("doc_id"), units(F.col("content"), F.col("node_type")).alias("u"))
+    return c.filter("size(u) > 0").select("doc_id", F.size("u").cast("long").alias("n"), F.md5(F.array_join("u", "|")).alias("digest"))
+
+
+@query("a9_tier_prefix", f"""WITH {UNITS_SQL}, l AS (SELECT doc_id, unnest(list_reverse(u)) AS u, generate_subscripts(u, 1) AS k FROM cuts), c AS (SELECT *, sum(length(u) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS size FROM l)
+SELECT doc_id, md5(coalesce(string_agg(u, ' ' ORDER BY k) FILTER (WHERE greatest(1, size // 4) <= 64), '')) AS prefix FROM c GROUP BY 1""")
+def a9(spark, sf):
+    c = chunks(spark, sf).select(F.col("chunk_id").alias("doc_id"), units(F.col("content"), F.col("node_type")).alias("u")).filter("size(u) > 0")
+    return c.select("doc_id", F.md5(prefix_of(F.col("u"), F.reverse(F.sequence(F.lit(0), F.size("u") - 1)), 64)).alias("prefix"))
 
 
 # aggregation
@@ -452,12 +423,12 @@ def g11(spark, sf):
 
 
 @query("g17_retrieval_metrics", """
-WITH q AS (SELECT vec_id AS q, label AS ql, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0), r AS (SELECT q, ql, vec_id, label, row_number() OVER (PARTITION BY q ORDER BY list_sum(list_transform(list_zip(embedding, qv), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) DESC, vec_id) AS rank FROM q, embeddings WHERE vec_id <> q),
+WITH q AS (SELECT vec_id AS q, label AS ql, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0), r AS (SELECT q, ql, vec_id, label, row_number() OVER (PARTITION BY q ORDER BY list_sum(list_transform(list_zip(embedding, qv), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) DESC, vec_id) AS rank FROM q, embeddings WHERE vec_id <> q),
 g AS (SELECT q, coalesce(max(CASE WHEN rank <= 10 AND label = ql THEN 1.0::DOUBLE / rank END), 0) AS mrr, sum(CASE WHEN rank <= 10 AND label = ql THEN 1 ELSE 0 END) AS found, sum(CASE WHEN rank <= 10 AND label = ql THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN label = ql THEN 1 ELSE 0 END) AS n, sum(CASE WHEN label = ql AND rank * 10 <= 200 THEN 1 ELSE 0 END) AS inside FROM r GROUP BY q)
 SELECT q AS query, round(mrr, 6) AS mrr, round(found * 1.0::DOUBLE / n, 6) AS recall, round(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i)), 6) AS ndcg, round(inside * 1.0::DOUBLE / n, 6) AS recall_in_budget FROM g""")
-def g17(spark, sf, asking="vec_id % 50 = 0"):
+def g17(spark, sf):
     v = vectors(spark, sf)
-    q = v.filter(asking).select(F.col("vec_id").alias("query"), F.col("label").alias("ql"), F.col("embedding").alias("qv"))
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("ql"), F.col("embedding").alias("qv"))
     pairs = q.join(v, F.col("vec_id") != F.col("query")).withColumn("s", V.dot(F.col("embedding"), F.col("qv")))
     ranked = pairs.select("query", "ql", "label", F.col("vec_id").alias("item"), F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "vec_id")).alias("rank"), F.lit(10).alias("tokens"))
     got = stats.retrieval_metrics(ranked, ranked.filter("label = ql").select("query", "item"), 10, 200)
@@ -480,19 +451,19 @@ def o6(spark, sf):
 
 
 @query("o7_packing", f"""
-WITH RECURSIVE {CHUNKS_SQL}, c AS (SELECT chunk_id, token_count AS tokens, row_number() OVER (ORDER BY chunk_id) AS n FROM chunks WHERE chunk_id < 200),
+WITH RECURSIVE {CHUNKS_SQL}, c AS (SELECT chunk_id, token_count AS tokens, row_number() OVER (ORDER BY chunk_id) AS n FROM chunks),
 p AS (SELECT 0::BIGINT AS n, 4000::BIGINT AS remaining, NULL::BIGINT AS chunk_id UNION ALL SELECT c.n, CASE WHEN p.remaining >= 10 AND c.tokens <= p.remaining THEN p.remaining - c.tokens ELSE p.remaining END, CASE WHEN p.remaining >= 10 AND c.tokens <= p.remaining THEN c.chunk_id END FROM p JOIN c ON c.n = p.n + 1)
 SELECT chunk_id, remaining FROM p WHERE chunk_id IS NOT NULL""")
-def o7(spark, sf, listed="chunk_id < 200"):
-    return packing.pack(chunks(spark, sf).filter(listed).select("chunk_id", F.col("token_count").alias("tokens")), 4000, ["chunk_id"]).select("chunk_id", "remaining")
+def o7(spark, sf):
+    return packing.pack(chunks(spark, sf).select("chunk_id", F.col("token_count").alias("tokens")), 4000, ["chunk_id"]).select("chunk_id", "remaining")
 
 
 @query("o8_context_packing", f"""
-WITH RECURSIVE {NOTES_SQL}, c AS (SELECT uuid, kind, greatest(1, length(body) // 4) AS tokens, row_number() OVER (ORDER BY CASE kind WHEN 'decision' THEN 1 WHEN 'requirement' THEN 2 WHEN 'handoff' THEN 3 WHEN 'question' THEN 4 ELSE 5 END, created_at DESC, uuid) AS n FROM notes WHERE conv_id < 40),
+WITH RECURSIVE {NOTES_SQL}, c AS (SELECT uuid, kind, greatest(1, length(body) // 4) AS tokens, row_number() OVER (ORDER BY CASE kind WHEN 'decision' THEN 1 WHEN 'requirement' THEN 2 WHEN 'handoff' THEN 3 WHEN 'question' THEN 4 ELSE 5 END, created_at DESC, uuid) AS n FROM notes),
 p AS (SELECT 0::BIGINT AS n, 3000::BIGINT AS remaining, NULL::VARCHAR AS uuid UNION ALL SELECT c.n, CASE WHEN c.tokens <= p.remaining THEN p.remaining - c.tokens ELSE p.remaining END, CASE WHEN c.tokens <= p.remaining THEN c.uuid END FROM p JOIN c ON c.n = p.n + 1)
 SELECT uuid, remaining FROM p WHERE uuid IS NOT NULL""")
-def o8(spark, sf, listed="conv_id < 40"):
-    rows = notes(spark, sf).filter(listed).select("uuid", packing.section_priority(F.col("kind")).alias("p"), (-F.col("created_at")).alias("t"), X.estimate_tokens(F.col("body")).cast("long").alias("tokens"))
+def o8(spark, sf):
+    rows = notes(spark, sf).select("uuid", packing.section_priority(F.col("kind")).alias("p"), (-F.col("created_at")).alias("t"), X.estimate_tokens(F.col("body")).cast("long").alias("tokens"))
     return packing.pack(rows, 3000, ["p", "t", "uuid"], stop_below=0).select("uuid", "remaining")
 
 
@@ -507,18 +478,12 @@ def o10(spark, sf):
     return N.stride(table(spark, sf, "labels").select("doc_id"), 70, ["doc_id"])
 
 
-@query("u3_u5_merged_list", f"WITH {NOTES_SQL}, b AS (SELECT *, 0 AS s FROM notes WHERE conv_id % 2 = 0 UNION ALL SELECT *, 1 FROM notes WHERE conv_id % 3 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY s, uuid) AS n FROM b) SELECT uuid, created_at FROM r WHERE n = 1 ORDER BY created_at DESC, uuid LIMIT 40")
+@query("u3_merged_list", f"WITH {NOTES_SQL}, b AS (SELECT *, 0 AS s FROM notes WHERE conv_id % 2 = 0 UNION ALL SELECT *, 1 FROM notes WHERE conv_id % 3 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY s, uuid) AS n FROM b) SELECT uuid, created_at FROM r WHERE n = 1 ORDER BY created_at DESC, uuid LIMIT 40")
 def u3(spark, sf):
     n = notes(spark, sf)
     return N.merged_list(n.filter("conv_id % 2 = 0"), n.filter("conv_id % 3 = 0"), 40).select("uuid", "created_at")
 
 
-@query("u4_merge_edges", f"WITH {EDGES_SQL}, b AS (SELECT *, 0 AS n FROM edges WHERE line < 250 UNION ALL SELECT *, 1 FROM edges WHERE line >= 200), r AS (SELECT *, row_number() OVER (PARTITION BY source_file, target_name, kind, line ORDER BY n, source_name NULLS FIRST) AS k FROM b) SELECT kind, count(*) AS n, count(source_name) AS named FROM r WHERE k = 1 GROUP BY 1")
-def u4(spark, sf):
-    e = edges(spark, sf)
-    return graph.merge_edges(e.filter("line < 250"), e.filter("line >= 200")).groupBy("kind").agg(F.count("*").alias("n"), F.count("source_name").alias("named"))
-
-
 @query("u6_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def u6(spark, sf):
     return N.difference(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), ["doc_id"])
@@ -531,7 +496,7 @@ def a3(spark, sf):
     return chunks(spark, sf).select("chunk_id", X.estimate_tokens(F.col("content")).alias("tokens"), F.sha2(X.embedding_text(F.col("name"), F.expr("CASE WHEN chunk_id % 3 = 0 THEN 'doc' END"), F.expr("CASE WHEN chunk_id % 2 = 0 THEN 's' END"), F.col("content")), 256).alias("text"))
 
 
-@query("a4_a6_identifiers", r"""WITH n AS (SELECT p_partkey, replace(p_name, ' ', '_') || '::GetItem' || p_size || 'Of.HTTPPart' AS name FROM part)
+@query("a4_identifiers", r"""WITH n AS (SELECT p_partkey, replace(p_name, ' ', '_') || '::GetItem' || p_size || 'Of.HTTPPart' AS name FROM part)
 SELECT p_partkey, trim(lower(regexp_replace(regexp_replace(name, '([\p{Ll}0-9])(\p{Lu})', '\1 \2', 'g'), '[_\-:.\s]+', ' ', 'g'))) AS words FROM n""")
 def a4(spark, sf):
     name = F.expr("concat(replace(p_name, ' ', '_'), '::GetItem', p_size, 'Of.HTTPPart')")
@@ -543,12 +508,6 @@ def a5(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(X.first_sentence(F.col("text")), 256).alias("sentence"))
 
 
-@query("a7_a8_summary")
-def a7(spark, sf):
-    c = chunks(spark, sf)
-    return c.select("chunk_id", X.structural_summary(F.coalesce("name", F.lit("x")), F.col("content"), F.array(F.lit("loadTable"), F.lit("save_table")), F.lit('log("cannot open file") + "ab c"')).alias("summary"))
-
-
 @query("a11_mentions", rf"""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\pL\pN_]+')) AS w, generate_subscripts(regexp_extract_all(text, '[\pL\pN_]+'), 1) AS k FROM documents),
 g AS (SELECT doc_id, w, min(k) AS k FROM w WHERE length(w) BETWEEN 3 AND 50 AND NOT regexp_full_match(w, '\pN+') AND w NOT IN ({", ".join(repr(x) for x in X.MENTION_STOPWORDS)}) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM g)
@@ -588,11 +547,6 @@ def a20(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.entity_id(F.col("role"), F.lit("t"), F.col("text")).alias("entity_id"), X.valid_kind(F.col("role")).alias("valid"))
 
 
-@query("a23_a24_cap_percent", "SELECT doc_id, octet_length(encode(text)) > 2000 AS capped, (doc_id * 100 // 1000)::BIGINT AS percent FROM documents")
-def a23(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.endswith(X.cap_text(F.col("text"), 2000), F.lit("[...truncated]")).alias("capped"), X.percent(F.col("doc_id"), F.lit(1000)).alias("percent"))
-
-
 # graphs and merges
 
 @query("p4_p5_html_edges", r"""WITH l AS (SELECT url, unnest(regexp_extract_all(html, '(?i)\b(?:src|href)\s*=\s*["'']([^"'']*)["'']', 1)) AS t FROM pages) SELECT DISTINCT url AS source_file, t AS target_name, 'imports' AS kind FROM l WHERE t <> '' AND t NOT LIKE '#%' AND t NOT LIKE 'data:%'""")
@@ -612,11 +566,11 @@ def p1(spark, sf):
     return graph.pagerank(graph.rank_edges(edges(spark, sf))).withColumn("rank", F.round("rank", 8))
 
 
-@query("p6_q7_replace_edges", f"WITH {EDGES_SQL}, n AS (SELECT source_file, source_name, target_name, kind, 0 AS line FROM edges WHERE source_file = 'f3' AND kind = 'calls'), r AS (SELECT * FROM edges WHERE source_file NOT IN (SELECT source_file FROM n) UNION ALL SELECT * FROM n) SELECT source_file, kind, count(*) AS n FROM r WHERE source_file IN ('f3', 'f4') GROUP BY 1, 2")
-def p6(spark, sf, shown="source_file in ('f3', 'f4')"):
+@query("p6_replace_edges", f"WITH {EDGES_SQL}, n AS (SELECT source_file, source_name, target_name, kind, 0 AS line FROM edges WHERE source_file = 'f3' AND kind = 'calls'), r AS (SELECT * FROM edges WHERE source_file NOT IN (SELECT source_file FROM n) UNION ALL SELECT * FROM n) SELECT source_file, kind, count(*) AS n, sum(line)::BIGINT AS lines FROM r GROUP BY 1, 2")
+def p6(spark, sf):
     e = edges(spark, sf)
     new = e.filter("source_file = 'f3' and kind = 'calls'").withColumn("line", F.lit(0))
-    return graph.replace_by_file(e, new).filter(shown).groupBy("source_file", "kind").agg(F.count("*").alias("n"))
+    return graph.replace_by_file(e, new).groupBy("source_file", "kind").agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
 
 
 @query("m1_insert_or_merge", f"""WITH {NOTES_SQL}, a AS (SELECT * FROM notes WHERE conv_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at, uuid) = 1), b AS (SELECT * FROM notes WHERE conv_id % 2 = 1),
@@ -635,17 +589,6 @@ def m2(spark, sf):
     return N.supersede(n, note_edges(spark, sf), pairs)[0].select("uuid", "status", "superseded_by", "invalid_at")
 
 
-@query("m3_dedupe", f"""WITH {NOTES_SQL}, s AS (SELECT *, arg_min(uuid, (created_at, uuid)) OVER (PARTITION BY entity_id) AS survivor FROM notes), t AS (SELECT s.*, CASE WHEN o.survivor <> s.survivor THEN o.survivor END AS successor FROM s LEFT JOIN s o ON o.uuid = s.superseded_by)
-SELECT survivor AS uuid, CASE WHEN bool_or(status = 'archived') THEN 'archived' ELSE 'active' END AS status, arg_min(successor, (created_at, uuid)) FILTER (WHERE successor IS NOT NULL) AS superseded_by, count(*) AS copies FROM t GROUP BY survivor""")
-def m3(spark, sf):
-    return N.dedupe(notes(spark, sf)).select("uuid", "status", "superseded_by", "copies")
-
-
-@query("m4_collapse", f"WITH {NOTES_SQL} SELECT entity_id, min(created_at) AS created_at, arg_min(uuid, (created_at, uuid)) AS uuid, count(*) AS n FROM notes GROUP BY 1")
-def m4(spark, sf):
-    return N.collapse(notes(spark, sf)).select("entity_id", "created_at", "uuid", "n")
-
-
 def note_records(spark, sf):
     return notes(spark, sf).selectExpr("entity_id", "uuid AS id", "uuid AS commit", "created_at", "status", "1 + turn % 2 AS schema_version", "valid_at", "invalid_at", "tags", "linked_files", "source_ref", "remote_id", "superseded_by", "superseded_by AS superseded_by_entity_id")
 
@@ -669,14 +612,14 @@ def m8(spark, sf):
     return N.pull(own, remote).select("entity_id", "status", "remote_id")
 
 
-@query("m9_m10_m11_upsert", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'new' ELSE lang END AS lang FROM documents")
+@query("m9_m11_upsert", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'new' ELSE lang END AS lang FROM documents")
 def m9(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang")
     v = table(spark, sf, "labels").selectExpr("doc_id", "'old' AS lang", "1 AS version").union(table(spark, sf, "labels").selectExpr("doc_id", "'new'", "2"))
     return N.upsert(d, N.latest(v, "doc_id", "version").drop("version"), ["doc_id"])
 
 
-@query("m12_m13_repair", f"WITH {NOTES_SQL} SELECT uuid FROM notes WHERE turn % 2 = 0 UNION SELECT uuid FROM notes WHERE status = 'active' AND conv_id % 2 = 1")
+@query("m12_repair", f"WITH {NOTES_SQL} SELECT uuid FROM notes WHERE turn % 2 = 0 UNION SELECT uuid FROM notes WHERE status = 'active' AND conv_id % 2 = 1")
 def m12(spark, sf):
     n = notes(spark, sf)
     return N.repair(n, n.filter("turn % 2 = 0").select("uuid"), n.filter("conv_id % 2 = 1").select("uuid"))
@@ -684,7 +627,7 @@ def m12(spark, sf):
 
 # feeds
 
-@query("t1_t2_cursor", f"WITH {NOTES_SQL} SELECT uuid, created_at FROM notes WHERE (created_at > 1700012000 OR (created_at = 1700012000 AND uuid > '00000020-0000')) AND status <> 'archived' ORDER BY created_at, uuid LIMIT 50")
+@query("t1_cursor", f"WITH {NOTES_SQL} SELECT uuid, created_at FROM notes WHERE (created_at > 1700012000 OR (created_at = 1700012000 AND uuid > '00000020-0000')) AND status <> 'archived' ORDER BY created_at, uuid LIMIT 50")
 def t1(spark, sf):
     return feeds.since(notes(spark, sf), 1700012000, "00000020-0000").select("uuid", "created_at")
 
@@ -711,7 +654,7 @@ def windows(spark, sf):
 
 # named reads
 
-@query("q1_q2_q3_q5_q6_reads", f"WITH {CHUNKS_SQL} SELECT chunk_id, name IS NOT NULL AND chunk_id % 3 > 0 AS wants_summary, name IS NULL AND chunk_id IN (SELECT doc_id FROM labels) AS wants_selection, token_count FROM chunks WHERE chunk_id IN (SELECT doc_id + 1 FROM labels)")
+@query("q2_q3_q5_reads", f"WITH {CHUNKS_SQL} SELECT chunk_id, name IS NOT NULL AND chunk_id % 3 > 0 AS wants_summary, name IS NULL AND chunk_id IN (SELECT doc_id FROM labels) AS wants_selection, token_count FROM chunks WHERE chunk_id IN (SELECT doc_id + 1 FROM labels)")
 def q1(spark, sf):
     labels = table(spark, sf, "labels")
     c = N.with_ids(chunks(spark, sf), labels.select((F.col("doc_id") + 1).alias("chunk_id")), "chunk_id").withColumn("summary", F.expr("CASE WHEN chunk_id % 3 = 0 THEN '' END")).withColumn("token_count", F.when(F.col("chunk_id") % 2 == 0, 0).otherwise(F.col("token_count")))
@@ -719,59 +662,4 @@ def q1(spark, sf):
     return c.join(has, "chunk_id", "left").select("chunk_id", (F.col("name").isNotNull() & F.col("summary").isNull()).alias("wants_summary"), (F.col("name").isNull() & F.coalesce("has", F.lit(False))).alias("wants_selection"), F.when(F.col("token_count") == 0, X.estimate_tokens(F.col("content"))).otherwise(F.col("token_count")).alias("token_count"))
 
 
-@query("q4_callees", f"WITH {EDGES_SQL} SELECT source_name, string_agg(DISTINCT target_name, ',' ORDER BY target_name) AS callees FROM edges WHERE kind = 'calls' AND source_name IS NOT NULL GROUP BY 1")
-def q4(spark, sf):
-    return edges(spark, sf).filter("kind = 'calls' and source_name is not null").groupBy("source_name").agg(F.array_join(F.array_sort(F.collect_set("target_name")), ",").alias("callees"))
-
-
-@query("q8_q9_q10_q11_note_reads", f"WITH {NOTES_SQL} SELECT uuid, status = 'archived' AS archived, row_number() OVER (PARTITION BY conv_id ORDER BY created_at, uuid)::INTEGER AS place FROM notes WHERE starts_with(source_ref, 'git:1')")
-def q8(spark, sf):
-    n = notes(spark, sf).filter(F.startswith("source_ref", F.lit("git:1")))
-    return n.select("uuid", (F.col("status") == "archived").alias("archived"), F.row_number().over(Window.partitionBy("conv_id").orderBy("created_at", "uuid")).alias("place"))
-
-
-@query("q12_q14_convention_reads", f"WITH {CHUNKS_SQL} SELECT coalesce(language, 'unknown') AS language, node_type, count(*) AS n FROM chunks WHERE language = 'en' GROUP BY 1, 2")
-def q12(spark, sf):
-    return chunks(spark, sf).filter("language = 'en'").groupBy(F.coalesce("language", F.lit("unknown")).alias("language"), "node_type").agg(F.count("*").alias("n"))
-
-
-# the same over all rows, for queries whose SQL is of a part
-
-@query("o7_packing_whole")
-def o7_whole(spark, sf):
-    return o7(spark, sf, "true")
-
-
-@query("o8_context_packing_whole")
-def o8_whole(spark, sf):
-    return o8(spark, sf, "true")
-
-
-@query("r10_a8_a9_units_whole")
-def r10_whole(spark, sf):
-    return r10(spark, sf, "true")
-
-
-@query("b_postings_whole")
-def postings_whole(spark, sf):
-    return postings(spark, sf, "true")
-
-
-@query("p6_q7_replace_edges_whole")
-def p6_whole(spark, sf):
-    return p6(spark, sf, "true")
-
-
-@query("f10_f11_subjects_whole")
-def f10_whole(spark, sf):
-    return f10(spark, sf, "true")
-
-
-@query("g17_retrieval_metrics_whole")
-def g17_whole(spark, sf):
-    return g17(spark, sf, "vec_id % 20 = 0")
-
-
-@query("j19_conflicts_whole")
-def j19_whole(spark, sf):
-    return j19(spark, sf, "vec_id % 20 = 0")
+from corpusmill.plans import more  # noqa: E402, F401  registers its queries

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import scan
 from corpusmill.functions import text as X
-from corpusmill.operators import chunks, graph, notes, rag
+from corpusmill.operators import chunks, graph, notes, rag, stripping
 from corpusmill.sources import readers
 from corpusmill.streaming import feeds
 
@@ -37,9 +37,9 @@ def test_markdown_and_notebook():
 
 
 def test_strip_code():
-    assert chunks.strip_code('a /* x /* y */ z */ b // c\nd "s" e', "rust").split() == ["a", "b", "d", "e"]
-    assert chunks.strip_code("a /* x /* y */ z", "java").split() == ["a", "z"]
-    assert chunks.strip_code("x = 1 # y\nz", "python").split() == ["x", "=", "1", "z"]
+    assert stripping.strip_code('a /* x /* y */ z */ b // c\nd "s" e', "rust").split() == ["a", "b", "d", "e"]
+    assert stripping.strip_code("a /* x /* y */ z", "java").split() == ["a", "z"]
+    assert stripping.strip_code("x = 1 # y\nz", "python").split() == ["x", "=", "1", "z"]
 
 
 @pytest.mark.parametrize(
