@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) longs to (node, component): the least node of its component, for every node but the least ones themselves.
 
     Every round halves the way to the least node, roughly, and is written to the shared folder; edges are distinct and never more than
-    at the start. Loops are ignored; no edges give no rows.
+    at the start. Loops are ignored; no edges give no rows. The least node of a giant component is one key of a round's joins, which AQE's skew join splits.
     """
     edges = cut(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(edges)

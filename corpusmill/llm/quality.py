@@ -153,3 +153,37 @@ def quality(docs: DataFrame, **limits) -> DataFrame:
 def op7(spark, sf_dir: str) -> DataFrame:
     judged = quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql() -> str:
+    """op7 in SQL: the base counts, the references and both distances."""
+    member = ", ".join(f"('{lang}', '{w}')" for lang in LANGUAGES for w in dict.fromkeys(COMMON[lang]))
+    classes = ", ".join(f"len(regexp_extract_all(t, '{p.replace(chr(39), chr(39) * 2)}'))" for p in CLASSES)
+    widest = max(map(len, VOCABULARY)) + 2
+    term = lambda p, q: f"((CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END) + (CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END)) / 2"
+    return rf"""
+WITH member(lang, word) AS (VALUES {member}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+split AS (SELECT *, regexp_extract_all(t, '{WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines, len(regexp_extract_all(t, '{SPACE}')) AS spaces, [{classes}] AS counts FROM docs),
+words AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM split),
+triples AS (SELECT r, i, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, x, y, z) AS n FROM triples WHERE z IS NOT NULL),
+covered AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM windows WHERE n > 1) GROUP BY 1),
+base AS (SELECT split.r, doc_id, lang, len(w)::BIGINT AS n_words, (length(t) - spaces)::BIGINT AS word_chars, counts[5]::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+  list_concat(counts, [spaces, length(t) - spaces - list_sum(counts)])::BIGINT[] AS classes, greatest(length(t), 1)::DOUBLE AS n_chars FROM split LEFT JOIN covered USING (r)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+said AS (SELECT r, lower(rtrim(x, '.,;:!?')) AS word, count(*) AS n FROM words WHERE length(x) <= {widest} GROUP BY 1, 2),
+sound AS (SELECT * FROM judged WHERE NOT base_failed AND lang IN (SELECT lang FROM member)),
+totals AS (SELECT lang, sum(n_words) AS n FROM sound GROUP BY 1),
+class_refs AS (SELECT lang, i, sum(c) / sum(sum(c)) OVER (PARTITION BY lang) AS q FROM (SELECT lang, unnest(classes) AS c, generate_subscripts(classes, 1) AS i FROM sound) GROUP BY 1, 2),
+word_refs AS (SELECT m.lang, m.word, coalesce(f.n, 0) / totals.n AS q FROM member m JOIN totals USING (lang) LEFT JOIN (SELECT lang, word, sum(n) AS n FROM sound JOIN said USING (r) GROUP BY 1, 2) f ON f.lang = m.lang AND f.word = m.word),
+own AS (SELECT lang, sum(q)::DOUBLE AS own FROM word_refs GROUP BY 1),
+by_class AS (SELECT j.r, c.lang, sqrt(greatest(sum({term('(classes[i] / n_chars)', 'q')}), 0)) AS c FROM judged j, class_refs c GROUP BY 1, 2),
+by_word AS (SELECT s.r, f.lang, sum({term('(s.n / j.n_words)', 'f.q')}) AS d, sum(s.n / j.n_words) AS p, sum(f.q) AS q FROM said s JOIN judged j USING (r) JOIN word_refs f USING (word) GROUP BY 1, 2),
+near AS (SELECT j.r, b.lang, b.c, coalesce(d, 0) + greatest(own - coalesce(q, 0), 0) / 2 + {term('greatest(1 - coalesce(p, 0), 0)', 'greatest(1 - own, 0)')} AS w FROM judged j JOIN by_class b USING (r) JOIN own ON own.lang = b.lang LEFT JOIN by_word v ON v.r = j.r AND v.lang = b.lang),
+fits AS (SELECT DISTINCT near.r FROM near JOIN judged USING (r) WHERE (n_words < 50 OR c <= 0.26) AND (n_words < 100 OR sqrt(greatest(w, 0)) <= 0.29))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (r IN (SELECT r FROM fits) OR NOT EXISTS (SELECT 1 FROM totals)) AS kept FROM judged
+"""
+
+
+SQL = _sql()

@@ -18,4 +18,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_mixing": mixing.SQL,
+    "op4_substrings": substrings.SQL,
+    "op7_quality": quality.SQL,
 }

@@ -305,3 +305,12 @@ def test_mixing_of_ties_is_the_same_on_every_run(spark):
     rows = spark.createDataFrame([(i % 7, "s", "w " * 5) for i in range(200)] + [(None, None, "w")] * 30, "doc_id long, source string, text string")
     first = collections.Counter(mixing.mix(rows).collect())
     assert first == collections.Counter(mixing.mix(rows.repartition(5)).collect()) and sum(first.values()) > 200
+
+
+def test_quality_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    want = con.execute("SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM (" + quality.SQL + ") ORDER BY doc_id").fetchall()
+    assert [tuple(r) for r in quality.op7(spark, SF).orderBy("doc_id").collect()] == want
