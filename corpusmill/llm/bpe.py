@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.pieces import SPLIT, Memo, pieces
+from corpusmill.llm.pieces import Memo, matches_of, pieces
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Compatible pairs kept, and bytes of pieces and matches kept in each of two generations.
@@ -135,7 +135,7 @@ class Codec:
     def _pieces(self, parts: list[str]) -> list[bytes]:
         out = []
         for p in parts:
-            matches = SPLIT.findall(p)
+            matches = matches_of(p)
             out.append(self._match(p) if len(matches) == 1 else b"".join([found if (found := self.known.get(m)) is not None else self._kept(m) for m in matches]))
         return out
 

@@ -25,6 +25,11 @@ def pieces(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
 
+def matches_of(piece: str) -> list[str]:
+    """The matches of PATTERN in a piece; letters after a blank or alone are one."""
+    return [piece] if (piece[1:] if piece[0] == " " else piece).isalpha() else SPLIT.findall(piece)
+
+
 class Memo:
     """Encoded pieces in two generations: when the young one is full it becomes the old one, so what recurs stays and memory is bounded.
 

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.lineage import cut, shared_folder
 from corpusmill.llm.coder import pack, unpack
-from corpusmill.llm.pieces import SPLIT, Memo, pieces
+from corpusmill.llm.pieces import Memo, matches_of, pieces
 
-TOKENIZER, END, IMAGE_IDS, KEPT_BYTES = "byte_bpe_50k.json", 2, 1 << 22, 24 << 20
+TOKENIZER, END, IMAGE_IDS, KEPT_BYTES = "byte_bpe_50k.json", 2, 1 << 22, 96 << 20
 
 
 class Encoder:
@@ -58,7 +58,7 @@ class Encoder:
         tokenize, names, known = self.model.tokenize, self.names, self.known
         out, blank = [], names[32]
         for p in parts:
-            matches, data = SPLIT.findall(p), []
+            matches, data = matches_of(p), []
             for m in matches:
                 found = known.get(m) if len(matches) > 1 else None
                 if found is None:
