@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.llm.memory import give_back, short_batches
 from corpusmill.llm.pieces import Memo, matches_of, pieces
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -181,7 +182,7 @@ def slices(texts: Iterator[str | None]) -> Iterator[list[str]]:
 
 def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", ranks: str = RANKS, decoded: str | None = None) -> DataFrame:
     """docs with an array of ids and, if named, a column of the bytes that these ids decode to."""
-    docs = docs.drop(*{out, decoded or out} - {text_col})
+    docs = short_batches(docs.drop(*{out, decoded or out} - {text_col}))
     at, names = docs.columns.index(text_col), docs.columns
     more = [T.StructField(out, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
 
@@ -194,6 +195,7 @@ def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", ranks: str
                 made = [lists(ids)] + ([pa.array([c.decode(x) for x in ids], pa.binary())] if decoded else [])
                 yield pa.RecordBatch.from_arrays([*batch.slice(row, len(texts)).columns, *made], [*names, *(f.name for f in more)])
                 row += len(texts)
+        give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
 

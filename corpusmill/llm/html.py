@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from corpusmill.llm.memory import short_batches
 from corpusmill.llm.trees import boost, log_odds
 
 INLINE = set("a abbr acronym audio b bdi bdo big canvas cite code data dfn em font i iframe ins kbd label mark math object q s samp small span strike strong sub sup svg time tt u var video".split())
@@ -392,7 +393,7 @@ def main_texts(pages: DataFrame, html_col: str = "html", text_out: str = "text",
             texts = list(extract((h.as_py() for h in batch.column(at)), features, model))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in places], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*others, text_out, chars_out])
 
-    return pages.mapInArrow(run, schema)
+    return short_batches(pages).mapInArrow(run, schema)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.memory import give_back, short_batches
+
 WIDTH, OTHER, GRAM, SEED = 512, 29, 3, 9
 #: n-gram vectors kept and used at once, and the n-grams from which counting beats sorting.
 KEPT, CHUNK, MANY = 32_768, 4_096, 30_000
@@ -122,7 +124,7 @@ def _bundles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(labelled: DataFrame, id_col: str = "doc_id", per_language: int = 2000, max_languages: int = 500) -> dict[str, np.ndarray]:
     """Prototypes from columns id_col, text, lang. The sample is drawn on ids and languages alone; texts are read for it only."""
-    rows = labelled.filter("text is not null and lang is not null")
+    rows = short_batches(labelled.filter("text is not null and lang is not null"))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages + 1).collect()
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages to learn")
@@ -152,10 +154,11 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             cos = matrix @ v / (float(np.linalg.norm(v)) or 1.0)
             best = int(cos.argmax())
             out.append((names[best], float(np.clip(cos[best], 0, 1))))
+        give_back()
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
     # else a filter on the result would have the function run once more for each use
-    return docs.withColumn("language", predict.asNondeterministic()(F.col(text_col)))
+    return short_batches(docs).withColumn("language", predict.asNondeterministic()(F.col(text_col)))
 
 
 def held_out(id_col: str = "doc_id"):

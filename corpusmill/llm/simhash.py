@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.components import connected_components
+from corpusmill.llm.memory import give_back, short_batches
 from corpusmill.lineage import cut
 
 MAX_BITS, MIN_BYTES, DENSE = 3, 5, 4096
@@ -97,9 +98,10 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 3, ou
     @F.pandas_udf("long" if lanes == 1 else "array<long>")
     def run(texts: pd.Series) -> pd.Series:
         found = np.array([fingerprint(t, words, lanes) for t in texts], dtype=np.uint64).view(np.int64)
+        give_back()
         return pd.Series(found if lanes == 1 else list(found.reshape(len(texts), lanes)))
 
-    return docs.withColumn(out, run(F.col(text_col)))
+    return short_batches(docs).withColumn(out, run(F.col(text_col)))
 
 
 def _forest(x: np.ndarray, max_bits: int = MAX_BITS, min_bytes: int = MIN_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -226,6 +228,7 @@ def near_fingerprints(fingerprints: DataFrame, col: str = "fingerprint", scheme:
             held.append([c[at:] for c in columns])
         if held:
             yield from links(*[np.concatenate(c) for c in zip(*held, strict=True)])
+        give_back()
 
     met = lists.mapInArrow(join, "u long, v long").distinct()
     if scheme.lanes == 1:

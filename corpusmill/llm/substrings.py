@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.llm.memory import give_back, short_batches
+
 WINDOW = 35
 BLOCK_BYTES = 4 << 20
 RANGE_WORDS = 1 << 21
@@ -171,7 +173,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("bytes")).first()["bytes"]
     n_blocks, bits = max(1, -(-total // block_bytes)), max(1, (total // 6 // range_words).bit_length())
     blocked = docs.withColumn(block_col, F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_blocks)))
-    blocked = blocked.withColumn(text_col, F.col(text_col).cast("string"))
+    blocked = short_batches(blocked).withColumn(text_col, F.col(text_col).cast("string"))
 
     def send(table: pa.Table) -> pa.Table:
         block, mine = table.column(block_col)[0].as_py(), Windows(_bytes_of(table.column(text_col)), window)
@@ -243,6 +245,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         columns = {c: table.column(c) for c in names}
         columns[text_col] = pa.array(kept, pa.large_binary()).cast(pa.large_string())
         columns |= {"n_words": pa.array(mine.n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))}
+        give_back()
         return pa.table(columns).cast(_nothing(out_schema).schema)
 
     sent = blocked.groupBy(block_col).applyInArrow(send, "range long, block long, data binary")

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.lineage import cut, shared_folder
 from corpusmill.llm.coder import pack, unpack
+from corpusmill.llm.memory import give_back, short_batches
 from corpusmill.llm.pieces import Memo, matches_of, pieces
 
 TOKENIZER, END, IMAGE_IDS, KEPT_BYTES = "byte_bpe_50k.json", 2, 1 << 22, 96 << 20
@@ -97,7 +98,7 @@ MAX_PARTS = 1_000_000
 def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end: int = END, image_ids: int = IMAGE_IDS) -> None:
     """Writes the ids of all texts to folder."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange("id", "hash").sortWithinPartitions("id", "hash", "text").select("id", "text")
+    rows = short_batches(rows).withColumn("hash", F.xxhash64("text")).repartitionByRange("id", "hash").sortWithinPartitions("id", "hash", "text").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last = _tokenizer(tokenizer).encode, int(end).to_bytes(4, "little")
@@ -119,6 +120,7 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
                     place, before, doc_ids, held, size = place + 1, before + size, [], [], 0
         if held:
             yield image()
+        give_back()
 
     rows.mapInArrow(run, IMAGES).write.parquet(folder)
 
