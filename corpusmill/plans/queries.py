@@ -43,13 +43,26 @@ def s9(spark, sf):
     return readers.gone(d, table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("path"))).select("doc_id")
 
 
-@query("s11_markdown_sections")
+@query("s11_markdown_sections", r"""
+WITH RECURSIVE p AS (SELECT page_id, string_split('intro' || chr(10) || '# One ' || page_id || chr(10) || regexp_replace(html, '<[^>]*>', chr(10), 'g') || chr(10) || '## Two' || chr(10) || 'end', chr(10)) AS p FROM pages),
+u AS (SELECT page_id, regexp_replace(unnest(p), '\r$', '') AS x, generate_subscripts(p, 1) AS k FROM p), g AS (SELECT *, sum(regexp_full_match(x, '#{1,6}( .*)?')::INTEGER) OVER (PARTITION BY page_id ORDER BY k) AS seg FROM u),
+s AS (SELECT *, sum(length(x) + 1) OVER (PARTITION BY page_id, seg ORDER BY k)::BIGINT AS c FROM g),
+d AS (SELECT row_number() OVER () AS r, page_id, seg, min(k) AS first, list(x ORDER BY k) AS lines, list(c ORDER BY k) AS c FROM s GROUP BY page_id, seg HAVING bool_or(trim(x, E' \t\n\r\x0b\x0c') <> '')),
+w AS (SELECT r, 1::BIGINT AS a, greatest(1, len(list_filter(c, lambda x: x <= 2049)))::BIGINT AS b FROM d
+  UNION ALL SELECT r, n.a, greatest(n.a, len(list_filter(n.c, lambda x: x <= 2049 + n.c[n.a - 1])))::BIGINT FROM (SELECT w.r, d.c, greatest(w.a, (d.c[w.b] > 256)::INTEGER + len(list_filter(d.c, lambda x: x < d.c[w.b] - 256))) + 1 AS a FROM w JOIN d ON d.r = w.r WHERE w.b < len(d.c)) n)
+SELECT page_id, 'section' AS node_type, CASE WHEN seg > 0 THEN trim(ltrim(lines[1], '#')) END AS name, (first + a - 1)::INTEGER AS start_line, (first + b - 1)::INTEGER AS end_line, sha256(array_to_string(lines[a:b], chr(10))) AS content FROM w JOIN d USING (r)""")
 def s11(spark, sf):
     d = table(spark, sf, "pages").select("page_id", F.concat(F.lit("intro\n# One "), F.col("page_id"), F.lit("\n"), F.regexp_replace("html", "<[^>]*>", "\n"), F.lit("\n## Two\nend")).alias("text"), F.lit("markdown").alias("language"))
     return chunk(d, "text", "language").select("page_id", "node_type", "name", "start_line", "end_line", F.sha2("content", 256).alias("content"))
 
 
-@query("s13_a1_sliding_windows")
+@query("s13_a1_sliding_windows", r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\r$', '')) AS p FROM documents),
+l AS (SELECT doc_id, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS lines FROM t), u AS (SELECT doc_id, unnest(lines) AS x, generate_subscripts(lines, 1) AS k FROM l),
+s AS (SELECT doc_id, k, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS c FROM u), d AS (SELECT doc_id, lines, c FROM l JOIN (SELECT doc_id, list(c ORDER BY k) AS c FROM s GROUP BY 1) USING (doc_id)),
+w AS (SELECT doc_id, 1::BIGINT AS a, greatest(1, len(list_filter(c, lambda x: x <= 2049)))::BIGINT AS b FROM d
+  UNION ALL SELECT doc_id, n.a, greatest(n.a, len(list_filter(n.c, lambda x: x <= 2049 + n.c[n.a - 1])))::BIGINT FROM (SELECT w.doc_id, d.c, greatest(w.a, (d.c[w.b] > 256)::INTEGER + len(list_filter(d.c, lambda x: x < d.c[w.b] - 256))) + 1 AS a FROM w JOIN d ON d.doc_id = w.doc_id WHERE w.b < len(d.c)) n)
+SELECT doc_id, a::INTEGER AS start_line, b::INTEGER AS end_line, length(array_to_string(lines[a:b], chr(10)))::INTEGER AS chars, sha256(array_to_string(lines[a:b], chr(10))) AS content FROM w JOIN d USING (doc_id)""")
 def a1(spark, sf):
     return chunk(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "start_line", "end_line", F.length("content").alias("chars"), F.sha2("content", 256).alias("content"))
 
@@ -337,7 +350,15 @@ def r7(spark, sf):
     return out.select("chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("r9_mmr")
+@query("r9_mmr", """
+WITH RECURSIVE e AS (SELECT label, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), x AS (SELECT label, unnest(v) AS y, generate_subscripts(v, 1) AS k FROM e),
+m AS (SELECT label, list(y ORDER BY k) AS m FROM (SELECT label, k, avg(y) AS y FROM x GROUP BY 1, 2) GROUP BY 1),
+u AS (SELECT e.label, vec_id, list_transform(v, lambda z: z / sqrt(list_dot_product(v, v))) AS u, list_dot_product(v, m) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(m, m)) AS rel FROM e JOIN m USING (label)),
+g AS (SELECT label, list(vec_id ORDER BY vec_id) AS ids, list(u ORDER BY vec_id) AS us, list(rel ORDER BY vec_id) AS rel, count(*) AS n FROM u GROUP BY 1),
+s AS (SELECT label, -1 AS place, 0::BIGINT AS pick, list_transform(ids, lambda i: 0.0::DOUBLE) AS near, list_transform(ids, lambda i: true) AS free FROM g
+  UNION ALL SELECT t.label, t.place + 1, t.pick, list_transform(range(1, t.n + 1), lambda i: greatest(t.near[i], list_dot_product(t.us[i], t.us[t.pick]))), list_transform(range(1, t.n + 1), lambda i: t.free[i] AND i <> t.pick)
+  FROM (SELECT *, list_position(score, list_max(score))::BIGINT AS pick FROM (SELECT s.label, s.place, s.near, s.free, g.us, g.n, list_transform(range(1, g.n + 1), lambda i: CASE WHEN s.free[i] THEN 0.5 * g.rel[i] - 0.5 * s.near[i] ELSE -9 END) AS score FROM s JOIN g ON g.label = s.label WHERE s.place + 1 < g.n)) t)
+SELECT label, ids[pick] AS vec_id, place FROM s JOIN g USING (label) WHERE place >= 0""")
 def r9(spark, sf):
     return rag.mmr(vectors(spark, sf), "label", "vec_id", "embedding")
 
