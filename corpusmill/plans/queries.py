@@ -342,7 +342,20 @@ def r6(spark, sf):
     return fusion.appendix(f, vectors(spark, sf).filter("label = 2").select("vec_id"), "vec_id", 10, ["vec_id"], "code")
 
 
-@query("r7_linear_rag")
+def _walk_sql(rounds: int) -> str:
+    steps = "".join(f""", r{i} AS MATERIALIZED (SELECT p.node, 0.15 * p + 0.85 * (coalesce(got, 0) + loose * p) AS rank FROM p LEFT JOIN (SELECT dst, sum(rank * share) AS got FROM k JOIN r{i - 1} ON node = src GROUP BY dst) ON dst = p.node CROSS JOIN (SELECT coalesce(sum(rank), 0) AS loose FROM r{i - 1} WHERE node NOT IN (SELECT src FROM k)))""" for i in range(1, rounds + 1))
+    return f"""WITH {L2_SQL}, pool AS MATERIALIZED (SELECT vec_id AS chunk_id, d FROM s ORDER BY d, vec_id LIMIT 100), sim AS MATERIALIZED (SELECT chunk_id, 1 - (d - min(d) OVER ()) / greatest(max(d) OVER () - min(d) OVER (), 1e-6) AS similarity FROM pool),
+    sy AS MATERIALIZED (SELECT DISTINCT l_orderkey % 500 AS chunk_id, 's' || (l_partkey % 83) AS symbol, CASE l_linenumber % 2 WHEN 0 THEN 'calls' ELSE 'mentions' END AS kind FROM lineitem),
+    active AS MATERIALIZED (SELECT symbol, max(similarity) AS activation FROM sy JOIN sim USING (chunk_id) WHERE similarity > 0.25 GROUP BY 1), best AS MATERIALIZED (SELECT symbol FROM active ORDER BY activation DESC, symbol LIMIT 150),
+    reached AS MATERIALIZED (SELECT symbol, chunk_id, dense_rank() OVER (PARTITION BY symbol ORDER BY chunk_id) AS n FROM sy JOIN best USING (symbol)), expanded AS MATERIALIZED (SELECT chunk_id, symbol FROM reached WHERE n <= 50 ORDER BY symbol, chunk_id LIMIT 500),
+    links AS MATERIALIZED (SELECT 'c' || chunk_id AS a, symbol AS b FROM sy JOIN sim USING (chunk_id) JOIN active USING (symbol) UNION ALL SELECT 'c' || chunk_id, symbol FROM expanded), sides AS MATERIALIZED (SELECT a AS src, b AS dst FROM links UNION ALL SELECT b, a FROM links),
+    starts AS MATERIALIZED (SELECT 'c' || chunk_id AS node, similarity AS start FROM sim UNION ALL SELECT symbol, activation FROM active), nodes AS MATERIALIZED (SELECT src AS node FROM sides UNION SELECT node FROM starts),
+    p AS MATERIALIZED (SELECT node, coalesce(start, 0) / sum(coalesce(start, 0)) OVER () AS p FROM nodes LEFT JOIN starts USING (node)), k AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY src) AS share FROM sides GROUP BY 1, 2), r0 AS MATERIALIZED (SELECT node, p AS rank FROM p){steps},
+    scored AS (SELECT substr(node, 2)::BIGINT AS chunk_id, 0.5 * coalesce(similarity, 0) + 0.5 * rank / greatest(max(rank) OVER (), 1e-12) AS score FROM r{rounds} LEFT JOIN sim ON 'c' || chunk_id = node WHERE node[1] = 'c')
+    SELECT chunk_id, round(score, 6) AS score FROM scored JOIN embeddings ON vec_id = chunk_id ORDER BY scored.score DESC, chunk_id LIMIT 20"""
+
+
+@query("r7_linear_rag", _walk_sql(20))
 def r7(spark, sf):
     pool = V.knn(vectors(spark, sf), query_vector(spark, sf), rag.pool_size(20), ["vec_id"]).select(F.col("vec_id").alias("chunk_id"), "distance")
     symbols = table(spark, sf, "lineitem").selectExpr("l_orderkey % 500 AS chunk_id", "concat('s', l_partkey % 83) AS symbol", "CASE l_linenumber % 2 WHEN 0 THEN 'calls' ELSE 'mentions' END AS kind").distinct()
