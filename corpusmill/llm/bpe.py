@@ -34,7 +34,7 @@ from corpusmill.llm.pieces import Memo, matches_of, pieces
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Compatible pairs kept, and bytes of pieces and matches kept in each of two generations.
-KEPT_PAIRS, KEPT_BYTES = 150_000, 24 << 20
+KEPT_PAIRS, KEPT_BYTES = 150_000, 48 << 20
 
 
 class Codec:
