@@ -287,7 +287,7 @@ def test_neighbours(spark):
 
 
 def test_queries_are_registered():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 14))
 
 
 def test_mixing_sql(spark):
