@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.metric_join import nearest_within
+
 MAX_CHUNKS, MAX_NOTES = 1000, 100
 
 
@@ -70,12 +72,5 @@ def min_score(hits: DataFrame, score: float, limit: int, order: list[str], keep:
 
 
 def conflicts(notes: DataFrame, asking: DataFrame, id_col: str, max_distance: float, block: str, per_note: int = 5, vector_col: str = "embedding") -> DataFrame:
-    """For each asking note up to per_note others within max_distance: (id_col, other, distance).
-
-    Notes are compared within equal values of ``block`` (a project, say): an equi-join, whose size is that of the blocks.
-    """
-    a = asking.select(F.col(id_col).alias("_a"), F.col(vector_col).alias("_va"), F.col(block).alias("_block"))
-    b = notes.select(F.col(id_col).alias("_b"), F.col(vector_col).alias("_vb"), F.col(block).alias("_block"))
-    pairs = a.join(b, "_block").filter("_a != _b").withColumn("distance", l2(F.col("_va"), F.col("_vb"))).filter(F.col("distance") <= max_distance)
-    best = F.row_number().over(Window.partitionBy("_a").orderBy("distance", "_b"))
-    return pairs.withColumn("n", best).filter(F.col("n") <= per_note).select(F.col("_a").alias(id_col), F.col("_b").alias("other"), "distance")
+    """For each asking note up to per_note others within max_distance and of its ``block`` (a project, say): (id_col, other, distance), by a join that is pruned by pivots."""
+    return nearest_within(asking, notes, id_col, vector_col, block, max_distance, per_note)
