@@ -24,3 +24,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder, so that a lost executor loses nothing of it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in whatever store it is; none if it isn't there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in store.listStatus(folder)] if store.exists(folder) else []

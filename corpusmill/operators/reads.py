@@ -23,11 +23,11 @@ def with_places(hits: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFra
     return files.select(F.col("id").alias("file_id"), "path", "language").join(F.broadcast(placed), "file_id").drop("file_id")
 
 
-def hybrid_notes(notes: DataFrame, query_vector: list[float], text: str, limit: int, at: int | None = None, fields: tuple[str, ...] = ("title", "body")) -> DataFrame:
+def hybrid_notes(notes: DataFrame, query_vector: list[float], text: str, limit: int, at: int | None = None, fields: tuple[str, ...] = ("title", "body"), index=None) -> DataFrame:
     """Notes (with an embedding) valid at a time by the fused ranks of nearness and of the text as a phrase, with score and distance; ties by uuid."""
     n = fusion.candidates(limit)
     near = B.ranked(V.knn(notes, query_vector, n, ["uuid"], N.as_of(at)), ["distance", "uuid"]).select("uuid", "rank")
-    said = B.ranked(B.search_phrase(notes, text, list(fields), n, ["uuid"], N.as_of(at)), [F.desc("score"), "uuid"]).select("uuid", "rank")
+    said = B.ranked(B.search_phrase(notes, text, list(fields), n, ["uuid"], N.as_of(at), index), [F.desc("score"), "uuid"]).select("uuid", "rank")
     return fusion.hybrid([near, said], notes, "uuid", limit, ["uuid"])
 
 

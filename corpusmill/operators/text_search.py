@@ -89,20 +89,33 @@ def bm25_indexed(index: DataFrame, sizes: DataFrame, phrases: list[list[str]], i
     return rows.select(id_col, score.alias("score"))
 
 
-def search_terms(docs: DataFrame, query: str, fields: list[str], limit: int, order: list[str]) -> DataFrame:
-    """Any of the query's terms; a term with punctuation is a phrase of its tokens."""
-    return bm25(docs, [query_tokens(t) for t in query.split()], fields).orderBy(F.desc("score"), *order).limit(min(limit, MAX_CODE))
+def _indexed(index, docs: DataFrame, phrases: list[list[str]], limit: int, where: Column | None = None) -> DataFrame:
+    """docs with score, as bm25() has it, of those that may be among the best by a kept index (``search_index.SearchIndex``)."""
+    rows = docs if where is None else docs.filter(where)
+    return rows.join(index.search(phrases, limit, None if where is None else rows), index.id_col)
 
 
-def search_phrase(docs: DataFrame, query: str, fields: list[str], limit: int, order: list[str], where: Column | None = None) -> DataFrame:
+def search_terms(docs: DataFrame, query: str, fields: list[str], limit: int, order: list[str], index=None) -> DataFrame:
+    """Any of the query's terms; a term with punctuation is a phrase of its tokens. With an index over these documents and fields no text is read."""
+    phrases, limit = [query_tokens(t) for t in query.split()], min(limit, MAX_CODE)
+    found = bm25(docs, phrases, fields) if index is None else _indexed(index, docs, phrases, limit)
+    return found.orderBy(F.desc("score"), *order).limit(limit)
+
+
+def search_phrase(docs: DataFrame, query: str, fields: list[str], limit: int, order: list[str], where: Column | None = None, index=None) -> DataFrame:
     """The whole query as one phrase."""
-    found = bm25(docs, [query_tokens(query)], fields)
-    return (found if where is None else found.filter(where)).orderBy(F.desc("score"), *order).limit(min(limit, MAX_NOTES))
+    limit = min(limit, MAX_NOTES)
+    if index is None:
+        found = bm25(docs, [query_tokens(query)], fields)
+        found = found if where is None else found.filter(where)
+    else:
+        found = _indexed(index, docs, [query_tokens(query)], limit, where)
+    return found.orderBy(F.desc("score"), *order).limit(limit)
 
 
-def timeline(docs: DataFrame, query: str, fields: list[str], limit: int, time: Column, order: list[str]) -> DataFrame:
+def timeline(docs: DataFrame, query: str, fields: list[str], limit: int, time: Column, order: list[str], index=None) -> DataFrame:
     """The best by BM25 whatever their status, then in the order of time."""
-    return search_phrase(docs, query, fields, min(limit, MAX_TIMELINE), order).orderBy(time, *order)
+    return search_phrase(docs, query, fields, min(limit, MAX_TIMELINE), order, index=index).orderBy(time, *order)
 
 
 def ranked(hits: DataFrame, order: list, name: str = "rank") -> DataFrame:
