@@ -167,25 +167,46 @@ def _key(cols: list[str]) -> Column:
     return F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in cols])
 
 
-def fold(records: DataFrame, base_key: list[str] = BASE_KEY) -> DataFrame:
-    """One record for each entity_id of an append-only log: base fields of the earliest, archived for good, times at their least, lists united, the latest successor.
-
-    Independent of order, idempotent and associative, so partial sums on either side of a shuffle agree.
-    """
+def fold_state(records: DataFrame, base_key: list[str] = BASE_KEY) -> DataFrame:
+    """Records as one state for each entity_id: what is known of it, with what it takes to put it together with a state of other records."""
     base = [c for c in records.columns if c not in ("entity_id", "status", "schema_version", "valid_at", "invalid_at", "tags", "linked_files", "superseded_by_entity_id")]
-    latest = F.struct((-F.col("created_at")).alias("c"), _key(base_key).alias("k"), F.col("superseded_by_entity_id").alias("v"))
-    out = records.groupBy("entity_id").agg(
-        F.min_by(F.struct(*base), _key(base_key)).alias("base"),
-        F.min_by(F.col("status"), _key(base_key)).alias("first_status"),
-        F.bool_or(F.col("status") == "archived").alias("archived"),
+    key = _key(base_key)
+    latest = F.struct((-F.col("created_at")).alias("c"), key.alias("k"), F.col("superseded_by_entity_id").alias("v"))
+    singles = records.select(
+        "entity_id", key.alias("key"), F.struct(*base).alias("base"), F.col("status").alias("first_status"), (F.col("status") == "archived").alias("archived"),
+        "schema_version", "valid_at", "invalid_at", "tags", "linked_files", F.when(F.col("superseded_by_entity_id").isNotNull(), latest).alias("latest"),
+    )
+    return merge_states(singles)
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """States of the same entities as one each. Commutative, associative and idempotent: states may come in any order, in any grouping and again."""
+    first = F.struct("key", "first_status", "base")
+    return states.groupBy("entity_id").agg(
+        F.min("key").alias("key"),
+        F.min_by("base", first).alias("base"),
+        F.min_by("first_status", first).alias("first_status"),
+        F.bool_or("archived").alias("archived"),
         F.max("schema_version").alias("schema_version"),
         F.min("valid_at").alias("valid_at"),
         F.min("invalid_at").alias("invalid_at"),
         _union_lists("tags").alias("tags"),
         _union_lists("linked_files").alias("linked_files"),
-        F.min(F.when(F.col("superseded_by_entity_id").isNotNull(), latest)).alias("latest"),
+        F.min("latest").alias("latest"),
     )
-    return out.select("entity_id", "base.*", F.when(F.col("archived"), F.lit("archived")).otherwise(F.col("first_status")).alias("status"), "schema_version", "valid_at", "invalid_at", "tags", "linked_files", F.col("latest.v").alias("superseded_by_entity_id"))
+
+
+def folded(states: DataFrame) -> DataFrame:
+    """The record that each state stands for."""
+    return states.select("entity_id", "base.*", F.when(F.col("archived"), F.lit("archived")).otherwise(F.col("first_status")).alias("status"), "schema_version", "valid_at", "invalid_at", "tags", "linked_files", F.col("latest.v").alias("superseded_by_entity_id"))
+
+
+def fold(records: DataFrame, base_key: list[str] = BASE_KEY) -> DataFrame:
+    """One record for each entity_id of an append-only log: base fields of the earliest, archived for good, times at their least, lists united, the latest successor.
+
+    Independent of order, idempotent and associative, so partial sums on either side of a shuffle agree.
+    """
+    return folded(fold_state(records, base_key))
 
 
 def anchors(records: DataFrame, base_key: list[str] = BASE_KEY) -> DataFrame:

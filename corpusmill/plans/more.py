@@ -214,7 +214,8 @@ def j1(spark, sf):
 
 @query("j2_text_places", f"WITH {CHUNKS_SQL}, {Q.TERM_SQL}, k AS (SELECT doc_id, score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 50) {PLACE_SQL}, round(score, 6) AS score FROM k JOIN chunks ON chunk_id = doc_id")
 def j2(spark, sf):
-    hits = B.search_terms(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "benchmark thonon of-ea", ["text"], 50, ["chunk_id"]).select("chunk_id", F.round("score", 6).alias("score"))
+    docs, index = Q.texts(spark, sf)
+    hits = B.search_terms(docs, "benchmark thonon of-ea", ["text"], 50, ["doc_id"], index).select(F.col("doc_id").alias("chunk_id"), F.round("score", 6).alias("score"))
     return reads.with_places(hits, placed_chunks(spark, sf), files(spark, sf)).select("chunk_id", "path", "language", "name", "start_line", "end_line", "score")
 
 
@@ -245,7 +246,9 @@ bm AS (SELECT uuid, greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * f * 2.2 /
 said AS (SELECT uuid, row_number() OVER (ORDER BY score DESC, uuid) AS rank FROM bm JOIN notes USING (uuid) WHERE {ACTIVE_SQL} QUALIFY rank <= 60), u AS (SELECT * FROM near UNION ALL SELECT * FROM said), rrf AS (SELECT uuid, sum(1.0::DOUBLE / (60 + rank)) AS s FROM u GROUP BY 1)
 SELECT uuid, round(s, 8) AS score, round(1 / s, 6) AS distance FROM rrf ORDER BY s DESC, uuid LIMIT 20""")
 def r2(spark, sf):
-    got = reads.hybrid_notes(note_vectors(spark, sf), query_vector(spark, sf), "of the", 20, 1700030000, ("body",))
+    n = note_vectors(spark, sf)
+    index = Q.kept_index(spark, sf, "notes with vectors", n, "uuid", ["body"])
+    got = reads.hybrid_notes(n, query_vector(spark, sf), "of the", 20, 1700030000, ("body",), index)
     return got.select("uuid", F.round("score", 8).alias("score"), F.round("distance", 6).alias("distance"))
 
 
@@ -266,10 +269,11 @@ def r8(spark, sf):
 @query("o5_caps", f"WITH {NOTES_SQL}, {Q.PHRASE_SQL} SELECT 'knn' AS list, least(100, count(*)) AS n FROM embeddings UNION ALL SELECT 'chunks', least(1000, count(*)) FROM embeddings UNION ALL SELECT 'listed', least(500, count(*)) FROM notes UNION ALL SELECT 'timeline', least(200, count(*)) FROM bm UNION ALL SELECT 'phrase', least(1000, count(*)) FROM bm")
 def o5(spark, sf):
     """Lists asked for with a limit beyond their caps."""
-    v, q, d, many = vectors(spark, sf), query_vector(spark, sf), table(spark, sf, "documents").select("doc_id", "text"), 1_000_000
+    v, q, many = vectors(spark, sf), query_vector(spark, sf), 1_000_000
+    d, index = Q.texts(spark, sf)
     lists = {
         "knn": V.knn(v, q, many, ["vec_id"]), "chunks": V.knn_int8(v.withColumn("embedding", V.quantise(F.col("embedding"))), q, many, ["vec_id"]), "listed": N.listed(notes(spark, sf), limit=many, archived=True),
-        "timeline": B.timeline(d, "of the", ["text"], many, F.col("doc_id"), ["doc_id"]), "phrase": B.search_phrase(d, "of the", ["text"], many, ["doc_id"]),
+        "timeline": B.timeline(d, "of the", ["text"], many, F.col("doc_id"), ["doc_id"], index), "phrase": B.search_phrase(d, "of the", ["text"], many, ["doc_id"], index=index),
     }
     counts = [x.agg(F.count("*").alias("n")).select(F.lit(name).alias("list"), "n") for name, x in lists.items()]
     out = counts[0]

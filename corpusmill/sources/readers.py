@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import scan
+from corpusmill.functions.text import entity_id
 from corpusmill.operators.chunks import chunk
 from corpusmill.operators.code import LANGUAGES
 
@@ -101,14 +102,17 @@ def read_chunks(files: DataFrame, tokens: int = 512) -> DataFrame:
 NOTE_RECORD = "schema_version int, id long, kind string, title string, body string, tags array<string>, linked_files array<string>, created_at long, status string, superseded_by long, source_ref string, valid_at long, invalid_at long, entity_id string, remote_id string, superseded_by_entity_id string"
 
 
-def read_note_log(spark: SparkSession, path: str) -> DataFrame:
-    """Records of an append-only log of JSON lines; lines that are no records are left out."""
-    rows = spark.read.text(path).select(F.from_json("value", NOTE_RECORD).alias("r")).filter("r is not null and r.kind is not null").select("r.*")
-    from corpusmill.functions.text import entity_id
-
+def note_records(lines: DataFrame, col: str = "value") -> DataFrame:
+    """lines with the record's columns in place of its text; lines that are no records are left out."""
+    rows = lines.withColumn("_r", F.from_json(col, NOTE_RECORD)).filter("_r is not null and _r.kind is not null").drop(col).select("*", "_r.*").drop("_r")
     return rows.withColumn("entity_id", F.coalesce("entity_id", entity_id(F.col("kind"), F.col("title"), F.col("body"))))
 
 
+def read_note_log(spark: SparkSession, path: str) -> DataFrame:
+    """Records of an append-only log of JSON lines; see ``note_log`` for logs with refs."""
+    return note_records(spark.read.text(path))
+
+
 def read_commits(text: DataFrame, col: str = "value") -> DataFrame:
     """(sha, subject, body) of NUL-separated commits, each the hash, the subject and the body on lines."""
     each = text.select(F.explode(F.split(F.col(col), "\0")).alias("c")).withColumn("c", F.trim(F.regexp_replace("c", r"^\s+", ""))).filter("c != ''")

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusmill.operators import notes as N
+from corpusmill.sources.snapshots import SnapshotTable
 
 
 def note_feed(spark: SparkSession, folder: str, schema: T.StructType, archived: bool = False) -> DataFrame:
@@ -36,6 +37,24 @@ def apply_pulls(stream: DataFrame, load: Callable[[], DataFrame], store: Callabl
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def pull_feed(stream: DataFrame, kept: SnapshotTable, checkpoint: str, writer: str = "pull") -> StreamingQuery:
+    """Applies remote rows batch by batch to notes kept by entity_id, as ``notes.pull`` does: a remote_id must not change its entity. A batch sent twice counts once."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        kept.change(batch, N.pull, writer=writer, batch=number)
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def fold_feed(records: DataFrame, kept: SnapshotTable, checkpoint: str, writer: str = "fold") -> StreamingQuery:
+    """Folds a stream of records into kept states (of ``notes.fold_state``), batch by batch: only the buckets of a batch's entities are read and rewritten, and a batch sent twice counts once."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        kept.change(N.fold_state(batch), lambda old, new: N.merge_states(old.unionByName(new)), writer=writer, batch=number)
+
+    return records.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def repair_backlog(notes: DataFrame, embeddings: Callable[[], DataFrame], embed: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame], None], page: int = 32, rounds: int = 1000) -> int:
     """Fills missing vectors page by page by key, so that it ends even if some fail; returns the pages done."""
     cursor, done = "", 0
