@@ -117,8 +117,11 @@ def weigh(docs: DataFrame, gain: np.ndarray, text_col: str = "text", ngram: int
 
 
 def ranked(rows: DataFrame, *order) -> DataFrame:
-    """rows with rank (long, from 1) in this order: sorted by ranges, each row's place in its range and the sizes of the ranges before it."""
-    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+    """rows with rank (long, from 1) in this order: sorted by ranges, each row's place in its range and the sizes of the ranges before it.
+
+    rows are written first: the ranges are chosen from a sample of them, which would compute them twice.
+    """
+    placed = cut(cut(rows).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
     part = F.shiftright("place", 33).cast("int")
     sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("size"))  # a row for each partition
     starts = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
