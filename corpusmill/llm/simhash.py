@@ -5,13 +5,14 @@ position and value would hold a 256th of all fingerprints, so postings are kept
 {a, b, c, d} with a ^ b ^ c ^ d = 0: any five positions contain one of these sets, so a pair that reaches the minimum
 of 5 shared bytes meets in a list of 32 equal bits. In a list the shared bytes of a pair are tallied; pairs that reach the minimum are verified by their differing bits.
 
-For a similarity (``by_similarity``) the differing bits that it makes likely, 78 of 512 for 0.8, are too many for a guaranteed minimum. Fingerprints then have eight lanes and
-postings 128 sets of three of their 64 positions: two texts of similarity 0.8 share the three bytes of at least one set with a probability of 92 %, of 0.85 with 99 %. Postings carry one lane; a list gives the
-links of a least spanning forest by its bits, which joins what all links would join at any number of bits, and whole fingerprints verify them. Similarity is that of the sets of
-shingles as the bits tell it, with a standard deviation's allowance; the README has the measured recall.
+For a similarity (``by_similarity``) the differing bits that it makes likely, 78 of 512 for 0.8, are too many for a guaranteed minimum of shared bytes, so nothing is tallied there. Fingerprints then have eight lanes and
+postings 128 sets of three of their 64 positions: two texts of similarity 0.8 share the three bytes of at least one set with a probability of 92 %, of 0.85 with 99 %. Postings carry two lanes, which tell nearly all chance
+meetings in a list from near-copies: two random fingerprints agree that well in one list of two thousand. What two lanes leave of a list falls into groups. A pair is verified by its whole fingerprints. A group of three or
+more is a family, named by its members, so that one which many lists give is one; its members' whole fingerprints are brought together, and it gives the links of a spanning forest of those that hold, so no pair that met in a list is lost to
+a third fingerprint between the two, whatever the length of the list. Similarity is that of the sets of shingles as the bits tell it, with a standard deviation's allowance; the README has the measured recall.
 
 Equal fingerprints are one entry, lists hold fingerprints only, and a list gives the links of a spanning forest, not all pairs:
-links join the same documents. For 3 bits a list over ``DENSE`` entries is split by a fifth position (one of the other four bytes is equal), which is the tally by another name, and if that isn't enough,
+links join the same documents. Every entry of a forest is compared with those that nothing has reached yet, so a list or family of near-copies takes time in proportion to its length. For 3 bits a list over ``DENSE`` entries is split by a fifth position (one of the other four bytes is equal), which is the tally by another name, and if that isn't enough,
 its 24 open bits are probed with all patterns of up to 3 bits, in time linear in the list; the links join the same entries as without.
 
 A fingerprint or component with a great share of the rows is one key of the last joins: AQE's skew join, on by default in Spark, must stay on.
@@ -39,29 +40,28 @@ from corpusmill.llm.components import connected_components
 from corpusmill.llm.memory import give_back, short_batches
 from corpusmill.lineage import cut
 
-MAX_BITS, MIN_BYTES, DENSE = 3, 5, 4096
+MAX_BITS, MIN_BYTES, DENSE, POSTING_LANES = 3, 5, 4096, 2
 SETS = [s for s in combinations(range(8), 4) if s[0] ^ s[1] ^ s[2] ^ s[3] == 0]
 
 
 class Scheme(NamedTuple):
-    """Lanes of a fingerprint, the sets of byte positions that have posting lists, what a pair must share in bytes and may differ in bits, and may differ in the first lane."""
+    """Lanes of a fingerprint, the sets of byte positions that have posting lists, and how many bits a pair may differ in: whole, and in the lanes that postings carry."""
 
     lanes: int
     sets: list[tuple[int, ...]]
-    min_bytes: int
     max_bits: int
-    first_bits: int
+    posting_bits: int
 
 
-BY_BITS = Scheme(1, SETS, MIN_BYTES, MAX_BITS, MAX_BITS)
+BY_BITS = Scheme(1, SETS, MAX_BITS, MAX_BITS)
 
 
 def by_similarity(similarity: float = 0.8, lanes: int = 8) -> Scheme:
-    """For sets of equal size with this Jaccard similarity: the bits expected to differ and a standard deviation more, in the first lane four of them."""
+    """For sets of equal size with this Jaccard similarity: the bits expected to differ and a standard deviation more, in the two lanes of a posting four of them."""
     n, share = 8 * lanes, math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = lambda m, allowance: int(m * share + allowance * math.sqrt(m * share * (1 - share)))
     sets = [(i, (i + a) % n, (i + b) % n) for a, b in ((1, 7), (2, 13)) for i in range(n)]
-    return Scheme(lanes, sets, 3, bits(64 * lanes, 1), bits(64, 4))
+    return Scheme(lanes, sets, bits(64 * lanes, 1), bits(64 * POSTING_LANES, 4))
 
 
 def fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> int | list[int]:
@@ -104,41 +104,41 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 3, ou
     return short_batches(docs).withColumn(out, run(F.col(text_col)))
 
 
-def _forest(x: np.ndarray, max_bits: int = MAX_BITS, min_bytes: int = MIN_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (places in the list) of a spanning forest of one list, searched in breadth: each entry is compared with those not yet reached, by the tally of shared bytes and then by bits."""
+def _tally(x: np.ndarray, at: int, rest: np.ndarray) -> np.ndarray:
+    """Places in rest of the entries with MIN_BYTES bytes equal to those of x[at], and then no more than MAX_BITS other bits."""
+    diff = x[rest] ^ x[at]
+    shared = np.flatnonzero((diff.view(np.uint8).reshape(-1, 8) == 0).sum(1) >= MIN_BYTES)
+    return shared[np.bitwise_count(diff[shared]) <= MAX_BITS]
+
+
+def _within(max_bits: int):
+    """Nearness of whole rows of lanes by their differing bits."""
+    return lambda x, at, rest: np.flatnonzero(np.bitwise_count(x[rest] ^ x[at]).sum(1, dtype=np.int64) <= max_bits)
+
+
+def _forest(x: np.ndarray, near=_tally) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (places in the list) of a spanning forest of one list, searched in breadth: each entry is compared with those not yet reached."""
     rest = np.arange(len(x))
     while len(rest) > 1:
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             at = front.pop()
-            diff = x[rest] ^ x[at]
-            shared = np.flatnonzero((diff.view(np.uint8).reshape(-1, 8) == 0).sum(1) >= min_bytes) if min_bytes else np.arange(len(diff))
-            near = shared[np.bitwise_count(diff[shared]) <= max_bits]
-            if len(near):
-                found = rest[near]
-                yield np.full(len(found), at), found
-                front.extend(found.tolist())
-                rest = np.delete(rest, near)
-
-
-def _least_forest(x: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (places) of a least spanning forest of one list by bits, up to max_bits; of a list over DENSE, of any spanning forest, whose time is linear if most entries are near each other."""
-    if len(x) > DENSE:
-        yield from _forest(x, max_bits, 0)
-        return
-    best, source, us, vs = np.bitwise_count(x ^ x[0]).astype(np.int16), np.zeros(len(x), np.int64), [], []
-    best[0] = done = 1000
-    for _ in range(len(x) - 1):
-        i = int(best.argmin())
-        if best[i] <= max_bits:
-            us.append(source[i])
-            vs.append(i)
-        best[i] = done
-        bits = np.bitwise_count(x ^ x[i])
-        nearer = (bits < best) & (best != done)
-        best[nearer], source[nearer] = bits[nearer], i
-    if us:
-        yield np.array(us), np.array(vs)
+            found = near(x, at, rest)
+            if len(found):
+                reached = rest[found]
+                yield np.full(len(reached), at), reached
+                front.extend(reached.tolist())
+                rest = np.delete(rest, found)
+
+
+def _groups(x: np.ndarray, max_bits: int) -> list[np.ndarray]:
+    """Places of the entries that links of up to max_bits join, for each group of two and more."""
+    root = np.arange(len(x))
+    for u, v in _forest(x, _within(max_bits)):
+        root[v] = root[u]
+    order = np.argsort(root, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(root[order])) + 1)
+    return [part for part in parts if len(part) > 1]
 
 
 def _links(x: np.ndarray, fixed: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -171,79 +171,119 @@ def _links(x: np.ndarray, fixed: tuple[int, ...]) -> Iterator[tuple[np.ndarray,
 
 
 def _postings(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
-    """(node, fingerprint) to (key, node, first lane), a row for each set; a key is the set's number and its three bytes."""
+    """(node, fingerprint) to (key, node, two lanes), a row for each set; a key is the set's number and its three bytes."""
     sets = np.array(scheme.sets)
     for batch in batches:
         for part in (batch.slice(at, 4096) for at in range(0, batch.num_rows, 4096)):
             nodes, x = part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(part.num_rows, scheme.lanes)
             data = np.ascontiguousarray(x.astype("<i8")).view(np.uint8).astype(np.int64)
             keys = np.arange(len(sets), dtype=np.int64) << 24 | data[:, sets[:, 0]] << 16 | data[:, sets[:, 1]] << 8 | data[:, sets[:, 2]]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(nodes, len(sets))), pa.array(np.repeat(x[:, 0], len(sets)))], ["key", "node", "first"])
-
-
-def near_fingerprints(fingerprints: DataFrame, col: str = "fingerprint", scheme: Scheme = BY_BITS, node_col: str | None = None) -> DataFrame:
-    """Distinct fingerprints to links (u, v) that connect those within the scheme's bits of each other; nodes are the fingerprints themselves or, for more lanes than one, node_col."""
-    if scheme.lanes == 1:
-        postings = []
-        for i, s in enumerate(scheme.sets):
-            key = F.lit(i).cast("long")
-            for p in s:
-                key = F.shiftleft(key, 8).bitwiseOR(F.shiftright(F.col(col), 8 * p).bitwiseAND(F.lit(255)))
-            postings.append(key)
-        lists = fingerprints.select(F.explode(F.array(*postings)).alias("key"), F.col(col).alias("first"))
-    else:
-        lists = fingerprints.select(node_col, col).mapInArrow(lambda batches: _postings(batches, scheme), "key long, node long, first long")
-    lists = lists.repartition("key").sortWithinPartitions(*lists.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(c, len(sets))) for c in (nodes, x[:, 0], x[:, 1]))], ["key", "node", "first", "second"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], act) -> Iterator[pa.RecordBatch]:
+    """act(columns as arrays) for rows sorted by the first column, so that no value of it is cut; a run over many batches is put together once."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.flatten() if pa.types.is_list(c.type) else c for c in batch.columns]
+        columns = [c.to_numpy().reshape(batch.num_rows, -1) if len(c) != batch.num_rows else c.to_numpy() for c in columns]
+        # the last value's run may go on in the next batch
+        at = int(np.searchsorted(columns[0], columns[0][-1]))
+        if at or (held and held[-1][0][-1] != columns[0][0]):
+            yield from act(*[np.concatenate(c) for c in zip(*held, [c[:at] for c in columns], strict=True)])
+            held = []
+        held.append([c[at:] for c in columns])
+    if held:
+        yield from act(*[np.concatenate(c) for c in zip(*held, strict=True)])
+    give_back()
+
+
+def _bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.append(np.flatnonzero(np.diff(keys)) + 1, len(keys))
+    return np.concatenate([[0], ends[:-1]]), ends
+
+
+def _table(**columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *c]).astype(np.int64)) for c in columns.values()], list(columns))
+
+
+def near_by_bits(fingerprints: DataFrame, col: str = "fingerprint", scheme: Scheme = BY_BITS) -> DataFrame:
+    """Distinct fingerprints of one lane to links (u, v) of fingerprints that connect those within the scheme's bits of each other."""
+    postings = []
+    for i, s in enumerate(scheme.sets):
+        key = F.lit(i).cast("long")
+        for p in s:
+            key = F.shiftleft(key, 8).bitwiseOR(F.shiftright(F.col(col), 8 * p).bitwiseAND(F.lit(255)))
+        postings.append(key)
+    lists = fingerprints.select(F.explode(F.array(*postings)).alias("key"), F.col(col).alias("first"))
     width = 8 * len(scheme.sets[0])
 
-    def links(keys: np.ndarray, *rest: np.ndarray) -> Iterator[pa.RecordBatch]:
-        nodes, x = rest[0], rest[-1].view(np.uint64)
-        ends = np.append(np.flatnonzero(np.diff(keys)) + 1, len(keys))
-        starts = np.concatenate([[0], ends[:-1]])
+    def links(keys: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x = first.view(np.uint64)
+        starts, ends = _bounds(keys)
+        # lists of two, by far the most, at once: the tally, then the bits
         two = starts[ends - starts == 2]
-        near = two[np.bitwise_count(x[two] ^ x[two + 1]) <= scheme.first_bits]
-        us, vs = [nodes[near]], [nodes[near + 1]]
+        diff = x[two] ^ x[two + 1]
+        near = two[((diff.view(np.uint8).reshape(-1, 8) == 0).sum(1) >= MIN_BYTES) & (np.bitwise_count(diff) <= scheme.max_bits)]
+        us, vs = [first[near]], [first[near + 1]]
         many = ends - starts > 2
         for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-            if scheme.lanes == 1:
-                found = ((u.view(np.int64), v.view(np.int64)) for u, v in _links(x[a:b], scheme.sets[int(keys[a]) >> width]))
-            else:
-                found = ((nodes[a + u], nodes[a + v]) for u, v in _least_forest(x[a:b], scheme.first_bits))
-            for u, v in found:
-                us.append(u)
-                vs.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [c.to_numpy() for c in batch.columns]
-            # the last key's list may go on in the next batch; a list over many batches is put together once
-            at = int(np.searchsorted(columns[0], columns[0][-1]))
-            if at or (held and held[-1][0][-1] != columns[0][0]):
-                yield from links(*[np.concatenate(c) for c in zip(*held, [c[:at] for c in columns], strict=True)])
-                held = []
-            held.append([c[at:] for c in columns])
-        if held:
-            yield from links(*[np.concatenate(c) for c in zip(*held, strict=True)])
-        give_back()
+            for u, v in _links(x[a:b], scheme.sets[int(keys[a]) >> width]):
+                us.append(u.view(np.int64))
+                vs.append(v.view(np.int64))
+        yield _table(u=us, v=vs)
+
+    sorted_lists = lists.repartition("key").sortWithinPartitions("key", "first")
+    return sorted_lists.mapInArrow(lambda batches: _runs(batches, links), "u long, v long").distinct()
+
 
-    met = lists.mapInArrow(join, "u long, v long").distinct()
-    if scheme.lanes == 1:
-        return met
+def near_by_similarity(fingerprints: DataFrame, scheme: Scheme, node_col: str = "node", col: str = "fingerprint") -> DataFrame:
+    """Distinct fingerprints of several lanes to links (u, v) of their nodes, each between fingerprints that differ in no more than the scheme's bits."""
+    lists = fingerprints.select(node_col, col).mapInArrow(lambda batches: _postings(batches, scheme), "key long, node long, first long, second long")
+
+    def meet(keys: np.ndarray, nodes: np.ndarray, first: np.ndarray, second: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs (family 0), and members (v 0) of families, by the lanes of the postings."""
+        x = np.stack([first, second], axis=1).view(np.uint64)
+        starts, ends = _bounds(keys)
+        two = starts[ends - starts == 2]
+        near = two[np.bitwise_count(x[two] ^ x[two + 1]).sum(1, dtype=np.int64) <= scheme.posting_bits]
+        us, vs, families = [nodes[near]], [nodes[near + 1]], [np.zeros(len(near), np.int64)]
+        many = ends - starts > 2
+        for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
+            for group in _groups(x[a:b], scheme.posting_bits):
+                members = np.sort(nodes[a + group])
+                pair = len(members) == 2
+                us.append(members[:1] if pair else members)
+                vs.append(members[1:] if pair else np.zeros(len(members), np.int64))
+                name = 0 if pair else xxhash.xxh64_intdigest(members.tobytes()) >> 1 or 1
+                families.append(np.full(len(us[-1]), name, np.int64))
+        yield _table(u=us, v=vs, family=families)
+
+    met = cut(lists.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda batches: _runs(batches, meet), "u long, v long, family long").distinct())
     side = lambda node, out: fingerprints.select(F.col(node_col).alias(node), F.col(col).alias(out))
-    pairs = met.join(side("u", "a"), "u").join(side("v", "b"), "v")
     bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return pairs.filter(bits <= scheme.max_bits).select("u", "v")
+    pairs = met.filter("family = 0").join(side("u", "a"), "u").join(side("v", "b"), "v").filter(bits <= scheme.max_bits).select("u", "v")
+
+    def forests(families: np.ndarray, nodes: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        us, vs, x = [], [], np.ascontiguousarray(x).view(np.uint64)
+        for a, b in zip(*(side.tolist() for side in _bounds(families)), strict=True):
+            for u, v in _forest(x[a:b], _within(scheme.max_bits)):
+                us.append(nodes[a + u])
+                vs.append(nodes[a + v])
+        yield _table(u=us, v=vs)
+
+    members = met.filter("family != 0").select("family", "u").join(side("u", "x"), "u").select("family", "u", "x")
+    held = members.repartition("family").sortWithinPartitions("family", "u").mapInArrow(lambda batches: _runs(batches, forests), "u long, v long")
+    return pairs.union(held).distinct()
 
 
 def near_duplicates(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents with a fingerprint column (see ``with_fingerprint``) to the same with component_id: the smallest id that links reach."""
     marked = marked.drop("component_id")
     prints = cut(marked.groupBy("fingerprint").agg(F.min(id_col).alias("component_id")))
-    found = connected_components(near_fingerprints(prints))
+    found = connected_components(near_by_bits(prints))
     roots = prints.join(found, prints["fingerprint"] == found["node"], "left").select("fingerprint", F.coalesce("component", "fingerprint").alias("root"), "component_id")
     least = roots.groupBy("root").agg(F.min("component_id").alias("component_id"))
     reached = roots.select("fingerprint", "root").join(least, "root").select("fingerprint", "component_id")
@@ -264,7 +304,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     # nodes are numbered once, as the table is written
     prints = cut(marked.groupBy("fingerprint").agg(F.min("least").alias("least")).withColumn("node", F.monotonically_increasing_id()))
     at = "node" if scheme.lanes > 1 else "fingerprint"
-    links = near_fingerprints(prints, scheme=scheme, node_col="node" if scheme.lanes > 1 else None)
+    links = near_by_similarity(prints, scheme) if scheme.lanes > 1 else near_by_bits(prints, scheme=scheme)
     found = connected_components(links).withColumnRenamed("node", "of")
     roots = prints.join(found, prints[at] == found["of"], "left").select(F.coalesce("component", at).alias("root"), "least")
     stays = roots.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row_key").alias("row_key"))

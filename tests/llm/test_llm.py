@@ -350,7 +350,7 @@ def test_near_copies_by_similarity(spark):
     assert sum(not set(p) <= kept for p in pairs) >= 0.9 * len(pairs)
     partner = {i for p in near for i in p}
     assert all(i in partner or not words(d[i]) for i in set(d) - kept)
-    assert (scheme.max_bits, scheme.first_bits, len(set(scheme.sets))) == (85, 21, 128)
+    assert (scheme.max_bits, scheme.posting_bits, len(set(scheme.sets))) == (85, 35, 128)
 
 
 def test_pipeline(spark):

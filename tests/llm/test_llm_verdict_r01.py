@@ -272,7 +272,7 @@ def test_lists_over_many_batches(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
     try:
-        links = simhash.near_fingerprints(frame).collect()
+        links = simhash.near_by_bits(frame).collect()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     parent = {int(p): int(p) for p in prints}

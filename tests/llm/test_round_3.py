@@ -222,3 +222,69 @@ def test_queries_give_what_sql_gives(spark, name):
     got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(columns)
     assert sorted(map(tuple, got.select(columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+# --- near-copies: lists of any length
+
+
+def with_bits(rng, x, n):
+    """x with n of its bits turned."""
+    bits = np.unpackbits(x.view(np.uint8))
+    bits[rng.choice(len(bits), n, replace=False)] ^= 1
+    return np.packbits(bits).view(np.int64)
+
+
+def differ(a, b):
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+
+
+def planted(rng, n, spread):
+    """Random fingerprints of eight lanes, and a pair that differs in so many of its 512 bits; then a chance neighbour in the posting's lanes between the two."""
+    x = rng.integers(-(2**63), 2**63 - 1, size=(n, 8))
+    x[1] = with_bits(rng, x[0].copy(), spread)
+    third = x[2]
+    third[:2] = x[0, :2]
+    mask = x[0, :2] ^ x[1, :2]
+    third[:2] ^= mask & 0x5555555555555555
+    return x
+
+
+@pytest.mark.parametrize("n", [3, 50, 5000])
+def test_a_list_of_any_length_loses_no_pair(spark, n):
+    """A pair of near-copies among random entries, with an entry between the two in the posting's lanes, is a link; no other is."""
+    from corpusmill.llm import simhash
+
+    rng = np.random.default_rng(n)
+    x = planted(rng, n, 60)
+    scheme = simhash.by_similarity()
+    # one set of positions, at which all agree
+    one = scheme._replace(sets=[(60, 61, 62)])
+    x[:, 7] = x[0, 7]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node long, fingerprint array<long>")
+    got = {tuple(sorted(r)) for r in simhash.near_by_similarity(df, one).collect()}
+    want = {(i, j) for i in range(min(n, 50)) for j in range(i + 1, n) if differ(x[i], x[j]) <= scheme.max_bits}
+    assert (0, 1) in got and got == want
+
+
+def test_families_give_forests_of_links_that_hold(spark):
+    """Variants around a centre, some nearer and some farther from each other than the bound: components are those of all pairs that hold."""
+    from corpusmill.llm import simhash
+    from corpusmill.llm.components import connected_components
+
+    rng = np.random.default_rng(9)
+    scheme = simhash.by_similarity()._replace(sets=[(60, 61, 62), (59, 61, 63)])
+    x = []
+    for _ in range(12):
+        centre = rng.integers(-(2**63), 2**63 - 1, size=8)
+        x += [with_bits(rng, centre.copy(), int(rng.integers(0, 70))) for _ in range(15)]
+    x = np.array(x)
+    x[:, 7] = 12345
+    near = np.array([[differ(a, b) <= scheme.max_bits and differ(a[:2], b[:2]) <= scheme.posting_bits for b in x] for a in x])
+    root = np.arange(len(x))
+    for _ in range(len(x)):
+        root = np.array([root[near[i]].min() for i in range(len(x))])
+    links = simhash.near_by_similarity(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node long, fingerprint array<long>"), scheme)
+    found = links.collect()
+    assert all(differ(x[u], x[v]) <= scheme.max_bits for u, v in found) and len(found) <= len(x) * 2
+    got = dict(map(tuple, connected_components(spark.createDataFrame(found, "u long, v long")).collect()))
+    assert [got.get(i, i) for i in range(len(x))] == root.tolist()
