@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusmill.operators.metric_join import nearest_within
 
-MAX_CHUNKS, MAX_NOTES = 1000, 100
+MAX_CHUNKS, MAX_NOTES, MAX_QUERIES = 1000, 100, 4096
 
 
 def quantise(v: Column) -> Column:
@@ -55,6 +60,46 @@ def knn(notes: DataFrame, query: list[float], k: int, order: list[str], where: C
     return out if before or where is None else out.filter(where)
 
 
+def knn_many(rows: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str = "query_id", vector_col: str = "embedding", int8: bool = False) -> DataFrame:
+    """(query_col, rank, id_col, distance): for each query vector the k nearest rows by L2, ties by id, in one pass over the rows.
+
+    Each task keeps the k best of its rows for each query, and these lists are merged: no distance beyond them is sorted or sent. Vectors of another length than the query's, and null ones, are not near it. With int8 vectors are quantised first and distances are exact
+    whole numbers under the root. A request asks for up to MAX_QUERIES queries, which go along with the tasks.
+    """
+    prepared = lambda df, i: df.select(F.col(i).alias("id"), (quantise(F.col(vector_col)) if int8 else F.col(vector_col)).cast("array<double>").alias("v")).filter("id is not null and v is not null and not exists(v, x -> x is null or isnan(x))")
+    asked = prepared(queries, query_col).limit(MAX_QUERIES + 1).collect()
+    if len(asked) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries in a request")
+    by_length: dict[int, tuple[list, list]] = {}
+    for r in asked:
+        ids, vectors = by_length.setdefault(len(r["v"]), ([], []))
+        ids.append(r["id"])
+        vectors.append(r["v"])
+    asking = {n: (ids, np.array(v).reshape(len(v), n)) for n, (ids, v) in by_length.items()}
+    kind, query_kind = rows.schema[id_col].dataType, queries.schema[query_col].dataType
+    types = [to_arrow_type(query_kind), to_arrow_type(kind), pa.float64()]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[int, int], list[tuple]] = {}
+        for batch in batches:
+            lengths = batch.column(1).value_lengths().to_numpy()
+            for n, (_, q) in asking.items():
+                few = batch.filter(pa.array(lengths == n))
+                for part in (few.slice(s, 2048) for s in range(0, few.num_rows, 2048)):
+                    x, ids = part.column(1).flatten().to_numpy().reshape(part.num_rows, n), part.column(0).to_pylist()
+                    squares = ((x[None] - q[:, None]) ** 2).sum(2) if n * len(q) < 1 << 14 else np.stack([((x - v) ** 2).sum(1) for v in q])
+                    for i, row in enumerate(squares):
+                        near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
+                        kept[n, i] = sorted([*kept.get((n, i), []), *((row[j], ids[j]) for j in near)])[:k]
+        found = [(asking[n][0][i], row_id, d) for (n, i), rows in kept.items() for d, row_id in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(types)], ["query", "id", "square"])
+
+    lists = prepared(rows, id_col).mapInArrow(best, f"query {query_kind.simpleString()}, id {kind.simpleString()}, square double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("square", "id"))
+    root = F.sqrt("square") / 127 if int8 else F.sqrt("square")
+    return lists.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("query").alias(query_col), "rank", F.col("id").alias(id_col), root.alias("distance"))
+
+
 def blend_rank(distance: Column, rank: Column) -> Column:
     """Reported distance with the graph rank; the order stays that of the plain distance."""
     return distance * 0.85 - rank * 0.15

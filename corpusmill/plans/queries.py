@@ -15,6 +15,7 @@ from corpusmill.operators import notes as N
 from corpusmill.operators import text_search as B
 from corpusmill.operators import vectors as V
 from corpusmill.operators.chunks import chunk, prefix_of, units
+from corpusmill.operators.ranges import overlapping
 from corpusmill.operators.search_index import SearchIndex
 from corpusmill.plans.registry import ORACLES, QUERIES, query
 from corpusmill.plans.tables import CHUNKS_SQL, EDGES_SQL, NOTES_SQL, chunks, edges, notes, query_vector, table, vectors
@@ -225,10 +226,8 @@ def j17(spark, sf):
 @query("j18_span_overlap", f"WITH {CHUNKS_SQL}, c AS (SELECT chunk_id, chunk_id // 20 AS file, start_line + chunk_id % 40 AS s, end_line + chunk_id % 40 AS e FROM chunks) SELECT a.chunk_id AS a, b.chunk_id AS b FROM c a JOIN c b ON a.file = b.file AND a.chunk_id < b.chunk_id AND a.s <= b.e AND b.s <= a.e")
 def j18(spark, sf):
     """Spans of the chunks of a file, here of twenty chunks each, against each other."""
-    c = chunks(spark, sf).selectExpr("chunk_id", "chunk_id div 20 AS file", "start_line + chunk_id % 40 AS s", "end_line + chunk_id % 40 AS e")
-    a, b = (c.select("file", *[F.col(x).alias(f"{x}_{side}") for x in ("chunk_id", "s", "e")]) for side in "ab")
-    pairs = a.join(b, "file").filter((F.col("chunk_id_a") < F.col("chunk_id_b")) & N.spans_overlap(F.col("s_a"), F.col("e_a"), F.col("s_b"), F.col("e_b")))
-    return pairs.select(F.col("chunk_id_a").alias("a"), F.col("chunk_id_b").alias("b"))
+    c = chunks(spark, sf).selectExpr("chunk_id", "chunk_id div 20 AS file", "start_line + chunk_id % 40 AS start_line", "end_line + chunk_id % 40 AS end_line")
+    return overlapping(c, c, ["file"]).filter("a.chunk_id < b.chunk_id").select(F.col("a.chunk_id").alias("a"), F.col("b.chunk_id").alias("b"))
 
 
 @query("j19_conflicts", """
@@ -723,4 +722,4 @@ def q1(spark, sf):
     return c.join(has, "chunk_id", "left").select("chunk_id", (F.col("name").isNotNull() & F.col("summary").isNull()).alias("wants_summary"), (F.col("name").isNull() & F.coalesce("has", F.lit(False))).alias("wants_selection"), F.when(F.col("token_count") == 0, X.estimate_tokens(F.col("content"))).otherwise(F.col("token_count")).alias("token_count"))
 
 
-from corpusmill.plans import kept, more  # noqa: E402, F401  register their queries
+from corpusmill.plans import files, kept, more  # noqa: E402, F401  register their queries
