@@ -1,16 +1,16 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded along the tree.
 
 Every block-level element is a node. Its features are its tag and its ancestors' tags, the tokens of class, id and role (its own and
-inherited), depth, density of its subtree (characters, share in links, characters a tag, words, sentence ends) and its
+inherited) and of what short lines of menus and notices say, depth, density of its subtree (characters, share in links, characters a tag, words, sentence ends) and its
 place among its siblings. The trees give the odds that main text lies in the node. Decoding picks the likeliest labelling in which
 no node has main text under an ancestor that has none: sums over the children, from the leaves up, then one walk down.
 
 The model is trained on the driver from ``training_pages``: pages written by a rule, in many layouts, whose main blocks are
 known. It is a few kilobytes and goes along with the function.
 
-Defined results: null and empty html give an empty text; broken markup is closed where the next block or the end makes it necessary;
-character references are decoded, unknown ones stay as they are; markup comments, scripts, styles, templates, titles and form controls never count; fallback text, formulas and
-drawings' text are text like any other; a br is white space, other empty tags are nothing; equal rows get equal results; other
+Defined results: null and empty html give an empty text; broken markup is closed where the next block or the end makes it necessary, a link by the next one;
+character references are decoded, unknown ones stay as they are; markup comments, scripts, styles, templates, titles, form controls and what stands for scripts, frames and films that can't be shown never count; an object's fallback text, formulas and
+drawings' text are text like any other; an anchor without href is no link; a br is white space, other empty tags are nothing; equal rows get equal results; other
 columns are kept, columns text and n_chars are replaced. Pages are read whole in one pass, without recursion, in time linear in the page; memory grows with the page by some hundred bytes a node.
 """
 
@@ -34,13 +34,28 @@ from corpusmill.llm.trees import boost, log_odds
 INLINE = set("a abbr acronym audio b bdi bdo big canvas cite code data dfn em font i iframe ins kbd label mark math object q s samp small span strike strong sub sup svg time tt u var video".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Scripts, styles, inert markup and form controls. A select or button that isn't closed ends with a block that begins, or with what it stands in.
-UNREAD = set("script style template title select datalist textarea button".split())
+UNREAD = set("script style template title select option optgroup datalist textarea button noscript iframe video audio".split())
 CLOSES_P = set("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-ENDS = {"select": CLOSES_P | {"li", "dt", "dd", "tr", "td", "th", "body"}, "datalist": CLOSES_P, "button": (CLOSES_P | {"li", "dt", "dd", "tr", "td", "th", "body"}) - {"div"}}
+CELLS = {"li", "dt", "dd", "tr", "td", "th", "body"}
+SECTIONS = set("body article main section header footer nav aside h1 h2 h3 h4 h5 h6".split())
+ENDS = {"datalist": CLOSES_P, "button": (CLOSES_P | CELLS) - {"div"}} | {t: CLOSES_P | CELLS for t in ("select", "option", "optgroup")} | {t: SECTIONS for t in ("noscript", "iframe", "video", "audio")}
+#: Blocks that end drawings and formulas left open, and blocks whose text is their own though a link stands around them.
+BREAKS = CLOSES_P | CELLS
+OWN_TEXT = set("p article main section h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = set("table ul ol dl body html article section div main aside nav footer header td th form".split())
 TAGS = "article main section div p h1 h2 h3 h4 h5 h6 ul ol li table tr td th nav header footer aside form figure figcaption blockquote pre dl dt dd body html center fieldset menu address hr details".split()
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+LINK, SHORT = -2, 160
+#: What short lines of menus, notices and the like say; such a line is a token of its node beside its names, if it stands in no paragraph, heading or article.
+CUE_TAGS = set("div section footer header aside center li td body".split())
+CUES = {
+    "~legal": re.compile(r"©|\(c\) ?\d{4}|copyright|all rights reserved", re.I),
+    "~cookies": re.compile(r"\bcookies?\b", re.I),
+    "~bars": re.compile(r"\S \| \S+.* \| |\S · \S+.* · |\S » \S+.* » "),
+    "~replies": re.compile(r"^\s*(?:\d+ )?(?:comments?|replies|responses|reply)\b|\bwrites:|\bsays:|leave a (?:comment|reply)", re.I),
+    "~signup": re.compile(r"\b(?:subscribe|newsletter|sign up|log in|sign in)\b", re.I),
+}
 
 
 class Page(HTMLParser):
@@ -52,7 +67,8 @@ class Page(HTMLParser):
         self.open: list[tuple[str, int]] = [("#", 0)]
         self.nodes, self.inline, self.blocks = [0], [Counter()], Counter()  # open nodes, the inline tags open in each, open block tags
         self.unread: list[str] = []
-        self.links, self.foreign, self.pieces = 0, 0, []  # pieces: (node, text, in a link) or None at a boundary
+        self.linked, self.foreign, self.pieces = [0], 0, []  # links open around the text of each open node; pieces: (node, text, in a link) or None at a boundary
+        self.said = [""]  # the beginning of each node's own text
         self.marked: list[int] = []
 
     def _close(self, depth: int) -> None:
@@ -61,10 +77,11 @@ class Page(HTMLParser):
                 self.pieces.append(None)
                 self.nodes.pop()
                 self.inline.pop()
+                self.linked.pop()
                 self.blocks[tag] -= 1
             else:
                 self.inline[-1][tag] -= 1
-                self.links -= tag == "a"
+                self.linked[-1] -= node == LINK
                 self.foreign -= tag in ("math", "svg")
         del self.open[depth:]
 
@@ -86,11 +103,16 @@ class Page(HTMLParser):
             elif tag == "br":
                 self.pieces.append((self.nodes[-1], " ", False))
             return
+        if self.foreign and tag in BREAKS:
+            self._close(next(d for d, (t, node) in enumerate(self.open) if node < 0 and t in ("math", "svg")))
         if tag in INLINE or self.foreign:
-            self.links += tag == "a"
+            if tag == "a" and self.inline[-1]["a"]:  # a link ends where the next one begins
+                self._close(max(d for d in range(len(self.open)) if self.open[d][0] == "a"))
+            link = tag == "a" and any(k == "href" for k, _ in attrs)
+            self.linked[-1] += link
             self.foreign += tag in ("math", "svg")
             self.inline[-1][tag] += 1
-            self.open.append((tag, -1))
+            self.open.append((tag, LINK if link else -1))
             return
         ends = CLOSED_BY.get(tag) or ({"p"} if tag in CLOSES_P else ())
         if any(self.blocks[e] > 0 for e in ends):
@@ -107,6 +129,8 @@ class Page(HTMLParser):
         self.open.append((tag, len(self.tags)))
         self.nodes.append(len(self.tags))
         self.inline.append(Counter())
+        self.linked.append(0 if tag in OWN_TEXT else self.linked[-1])
+        self.said.append("")
         self.blocks[tag] += 1
         self.tags.append(tag)
         self.tokens.append(tokens)
@@ -136,13 +160,21 @@ class Page(HTMLParser):
 
     def handle_data(self, data):
         if not self.unread:
-            self.pieces.append((self.nodes[-1], data, self.links > 0))
+            node = self.nodes[-1]
+            self.pieces.append((node, data, self.linked[-1] > 0))
+            if len(self.said[node]) <= SHORT:
+                self.said[node] += data[: SHORT + 1]
 
 
 def parse(html: str) -> Page:
     page = Page()
     page.feed(html)
     page.close()
+    within = [False] * len(page.tags)
+    for v, (tag, said) in enumerate(zip(page.tags, page.said, strict=True)):
+        within[v] = tag in ("article", "main") or (v > 0 and within[page.parents[v]])
+        if said and len(said) <= SHORT and tag in CUE_TAGS and not within[v]:
+            page.tokens[v] += [cue for cue, found in CUES.items() if found.search(said)]
     return page
 
 
@@ -261,15 +293,15 @@ def main_text(page: Page, keep: np.ndarray) -> str:
 
 #: Names that layouts use for the parts of a page, for the training pages.
 PARTS = {
-    "header": ["header", "site-header", "masthead", "top-bar", "branding", "page-header", "logo"],
-    "nav": ["nav", "menu", "navigation", "navbar", "breadcrumbs", "main-menu", "tabs", "pagination", "toc"],
+    "header": ["header", "banner", "site-header", "masthead", "top-bar", "branding", "page-header", "logo"],
+    "nav": ["menubar", "nav", "menu", "navigation", "navbar", "breadcrumbs", "main-menu", "tabs", "pagination", "toc"],
     "ad": ["ad", "ads", "advert", "advertisement", "banner", "sponsored", "promo", "adsense"],
-    "notice": ["cookie-notice", "gdpr", "consent", "alert", "notice", "popup", "modal", "disclaimer"],
-    "side": ["sidebar", "secondary", "widget", "related", "popular", "recommended", "aside", "trending"],
+    "notice": ["dialog", "alertdialog", "cookie-notice", "gdpr", "consent", "alert", "notice", "popup", "modal", "disclaimer"],
+    "side": ["complementary", "sidebar", "secondary", "widget", "related", "popular", "recommended", "aside", "trending"],
     "form": ["newsletter", "search", "login", "signup", "subscribe", "contact-form"],
     "share": ["share", "social", "tags", "byline-links", "toolbar"],
     "comments": ["comments", "comment-list", "comment", "discussion", "replies", "responses", "disqus"],
-    "footer": ["footer", "site-footer", "copyright", "bottom", "legal", "colophon"],
+    "footer": ["contentinfo", "footer", "site-footer", "copyright", "bottom", "legal", "colophon"],
     "main": ["content", "main", "post", "entry-content", "story", "article-body", "post-body", "text", "article"],
 }
 
@@ -284,10 +316,21 @@ def training_pages(count: int = 400, seed: int = 11) -> Iterator[str]:
         return " ".join(w + ("." if r.random() < 0.12 else "") for w in said).capitalize() + r.choice([".", ".", ""])
 
     def name(part: str) -> str:
-        return r.choice(["", *[f' {k}="{r.choice(PARTS[part])}"' for k in ("class", "class", "id")], f' class="{r.choice(PARTS[part])} {r.choice("abcdefgh")}{r.randint(1, 9)}"'])
+        return r.choice(["", *[f' {k}="{r.choice(PARTS[part])}"' for k in ("class", "class", "id", "role")], f' class="{r.choice(PARTS[part])} {r.choice("abcdefgh")}{r.randint(1, 9)}"'])
 
     def sure(part: str) -> str:
-        return f' {r.choice(["class", "id"])}="{r.choice(PARTS[part])}"'
+        return f' {r.choice(["class", "class", "id", "id", "role"])}="{r.choice(PARTS[part])}"'
+
+    def bare() -> str:
+        """A part without any name, told by its links or by what it says."""
+        x = r.choice(["menu", "menu", "legal", "cookies", "replies", "signup"])
+        if x == "menu":
+            return f"<div>{r.choice([links(r.randint(3, 9)), ' | '.join(words(1, 1).strip('.') for _ in range(r.randint(3, 7)))])}</div>"
+        said = {
+            "legal": [f"© {r.randint(1999, 2026)} {words(1, 3)}", f"Copyright {words(1, 3)} All rights reserved.", f"&copy; {words(1, 4)}"], "cookies": [f"{words(1, 5)} cookies {words(1, 6)}", f"We use cookies {words(0, 6)}"],
+            "replies": [f"{r.randint(1, 40)} comments", f"{words(1, 2)} says: {words(2, 12)}", f"Leave a reply {words(0, 3)}"], "signup": [f"Subscribe {words(1, 5)}", f"Sign up for our newsletter {words(0, 5)}", "Log in"],
+        }[x]
+        return f"<div>{r.choice(said)}</div>"
 
     def links(n: int) -> str:
         items = [f'<a href="/{i}">{words(1, 3)}</a>' for i in range(n)]
@@ -316,7 +359,9 @@ def training_pages(count: int = 400, seed: int = 11) -> Iterator[str]:
         out = [f"<{(t := r.choice(['h1', 'h1', 'h2']))} data-main>{words(2, 12)}</{t}>"] if r.random() < 0.9 else []
         for _ in range(r.randint(1, 14)):
             x = r.random()
-            if x < 0.78:
+            if x < 0.05:
+                out.append(f"<{(t := r.choice(['p', 'p', 'div']))} data-main>{words(4, 25)} {r.choice(['copyright', 'cookies', 'newsletter', 'subscribe', 'comments', '|', 'reply'])} {words(4, 40)}</{t}>")
+            elif x < 0.78:
                 out.append(r.choice([f"<p data-main>{words(1, 80)}</p>", f"<p data-main>{words(8, 120)}</p>", f"<p data-main><b>{words(4, 30)}<br>", f"<div data-main>{words(10, 60)}</div>"]))
             elif x < 0.93:
                 out.append(r.choice([f"<h2 data-main>{words(1, 8)}</h2>", f"<blockquote data-main>{words(5, 40)}</blockquote>", f"<ul><li data-main>{words(2, 20)}</li><li data-main>{words(2, 20)}</li></ul>", f"<pre data-main>{words(5, 30)}</pre>", f"<table><tr><td data-main>{words(1, 6)}</td><td data-main>{words(1, 6)}</td></tr></table>", f"<ol><li data-main>{words(2, 15)}</li></ol>"]))
@@ -331,8 +376,8 @@ def training_pages(count: int = 400, seed: int = 11) -> Iterator[str]:
             body = f"<table><tr><td>{links(4)}</td>{body}</tr></table>"
         if r.random() < 0.3:
             body = f"<{(w := r.choice(['main', 'div', 'section']))}{name('main')}>{body}</{w}>"
-        before = [part(k) for k in ("header", "nav", "ad", "notice", "form") if r.random() < 0.6]
-        after = [part(k) for k in ("side", "comments", "ad", "form", "footer", "notice") if r.random() < 0.55]
+        before = [part(k) for k in ("header", "nav", "ad", "notice", "form") if r.random() < 0.6] + [bare() for _ in range(2) if r.random() < 0.2]
+        after = [bare() for _ in range(3) if r.random() < 0.2] + [part(k) for k in ("side", "comments", "ad", "form", "footer", "notice") if r.random() < 0.55] + [bare() for _ in range(2) if r.random() < 0.2]
         wrap = r.choice(["{}", "{}", '<div class="wrapper">{}</div>', '<div id="page">{}</div>'])
         yield "<html><body>" + wrap.format("".join(before) + body + "".join(after)) + "</body></html>"
 
