@@ -66,7 +66,8 @@ def test_given_pages(model):
             inner = re.search(r"<article[^>]*>(.*?)</article>", page, re.S)[1]
             got = next(html.extract([page], *model))
             want = next(html.extract([f"<article>{inner}</article>"], *model))
-            assert got == want and html.main_text(whole := html.parse(f"<article>{inner}</article>"), np.ones(len(whole.tags), bool)) == got
+            whole = html.parse(f"<article>{inner}</article>")
+            assert got == want == html.main_text(whole, np.ones(len(whole.tags), bool))
 
 
 # the trees and the decoding
