@@ -24,24 +24,31 @@ def html_edges(pages: DataFrame, file_col: str, html_col: str) -> DataFrame:
     return first.select("source_file", F.lit(None).cast("string").alias("source_name"), "target_name", F.lit("imports").alias("kind"), (F.col("at") + 1).cast("int").alias("line"))
 
 
+#: Calls of what every Python program has.
+PYTHON_BUILTIN = set("print len range enumerate zip map filter sorted reversed list dict set tuple str int float bool type isinstance hasattr getattr setattr super open input repr abs max min sum any all iter next id hash".split())
+
+
 def _python_edges(text: str) -> Iterator[tuple]:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
         return
-    builtin, stack = set(dir(__builtins__) if not isinstance(__builtins__, dict) else __builtins__), [(tree, None)]
+    stack = [(tree, None)]
     while stack:
         node, scope = stack.pop()
         if isinstance(node, ast.Import):
             yield from ((scope, a.name, "imports", node.lineno) for a in node.names)
-        elif isinstance(node, ast.ImportFrom):
-            yield scope, node.module or ".", "imports", node.lineno
+        elif isinstance(node, ast.ImportFrom) and node.module != "__future__":
+            yield scope, "." * node.level + (node.module or ""), "imports", node.lineno
         elif isinstance(node, ast.Call):
             name = node.func.id if isinstance(node.func, ast.Name) else node.func.attr if isinstance(node.func, ast.Attribute) else None
-            if name and name not in builtin:
+            if name and name not in PYTHON_BUILTIN:
                 yield scope, name, "calls", node.lineno
-        inner = node.name if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else scope
-        stack += [(c, inner) for c in ast.iter_child_nodes(node)]
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            outer = node.decorator_list  # stand before what they decorate
+            stack += [(c, scope) for c in outer] + [(c, node.name) for c in ast.iter_child_nodes(node) if not any(c is d for d in outer)]
+        else:
+            stack += [(c, scope) for c in ast.iter_child_nodes(node)]
 
 
 def python_edges(files: DataFrame, file_col: str, text_col: str) -> DataFrame:

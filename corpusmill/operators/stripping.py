@@ -2,57 +2,19 @@
 
 from __future__ import annotations
 
-#: Line comment starts, and block comments with whether they nest, by language.
-STYLES = {
-    "rust": (("//",), ("/*", "*/"), True),
-    "javascript": (("//",), ("/*", "*/"), False),
-    "typescript": (("//",), ("/*", "*/"), False),
-    "jsx": (("//",), ("/*", "*/"), False),
-    "tsx": (("//",), ("/*", "*/"), False),
-    "go": (("//",), ("/*", "*/"), False),
-    "java": (("//",), ("/*", "*/"), False),
-    "c": (("//",), ("/*", "*/"), False),
-    "cpp": (("//",), ("/*", "*/"), False),
-    "csharp": (("//",), ("/*", "*/"), False),
-    "kotlin": (("//",), ("/*", "*/"), False),
-    "swift": (("//",), ("/*", "*/"), False),
-    "css": (("//",), ("/*", "*/"), False),
-    "proto": (("//",), ("/*", "*/"), False),
-    "php": (("//", "#"), ("/*", "*/"), False),
-    "sql": (("--",), ("/*", "*/"), False),
-    "html": ((), ("<!--", "-->"), False),
-    "python": (("#",), None, False),
-    "ruby": (("#",), None, False),
-    "hcl": (("#",), None, False),
-}
+from corpusmill.operators.lexer import COMMENTS, tokens
 
 
 def strip_code(code: str, language: str | None) -> str:
-    """Code without comments and the insides of strings; line ends stay."""
-    starts, block, nests = STYLES.get(language, ((), None, False))
-    out, i, n = [], 0, len(code)
-    while i < n:
-        if block and code.startswith(block[0], i):
-            depth, i = 1, i + len(block[0])
-            while i < n and depth:
-                if code.startswith(block[1], i):
-                    depth, i = depth - 1, i + len(block[1])
-                elif nests and code.startswith(block[0], i):
-                    depth, i = depth + 1, i + len(block[0])
-                else:
-                    out.append("\n" if code[i] == "\n" else "")
-                    i += 1
+    """Code without comments and the insides of strings; line ends of block comments stay, and code in strings."""
+    out, done = [], 0
+    for kind, at, end in tokens(code, language):
+        out.append(code[done:at])
+        done = end
+        if kind in ("text", "pattern") and end > at:
             out.append(" ")
-        elif any(code.startswith(s, i) for s in starts):
-            while i < n and code[i] != "\n":
-                i += 1
-        elif code[i] in "\"'`" and language != "html" and not (language == "rust" and code[i] == "'"):
-            quote, i = code[i], i + 1
-            while i < n and code[i] != quote and (code[i] != "\n" or quote == "`"):
-                i += 2 if code[i] == "\\" else 1
-            i += i < n and code[i] == quote
-            out.append(" ")
-        else:
-            out.append(code[i])
-            i += 1
-    return "".join(out)
+        elif kind != "comment":
+            out.append(code[at:end])
+        elif (block := COMMENTS.get(language, ((), None))[1]) and code.startswith(block[0], at):
+            out.append("\n" * code.count("\n", at, end) + " ")
+    return "".join(out) + code[done:]

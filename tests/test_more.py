@@ -124,7 +124,7 @@ def test_ignore_files(spark, tmp_path):
 def test_code_of_other_languages():
     assert code.scan("", "java").definitions == [] and code.scan("}}{{ fn", "rust").calls == []
     assert [(d.kind, d.name) for d in code.definitions("impl<T: A> Shop<T> { fn a(&self) {} }\nfn b() {}", "rust")] == [("impl", "Shop"), ("method", "a"), ("function", "b")]
-    assert list(code._imports("use a::{b, c};", "rust")) == [("a::b", 1), ("a::c", 1)]
+    assert code.scan("use a::{b, c};", "rust").imports == [(None, "a::{b, c}", 1)]  # the whole text, as the rule says
     assert code.scan("x = 'call(1)' + `t(2)`; go(3);", "typescript").calls == [(None, "go", 1)]
     assert len(code.scan("f(" * 20_000, "go").calls) == 20_000
 
