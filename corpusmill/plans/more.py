@@ -15,6 +15,7 @@ from corpusmill.operators import code, fusion, graph, packing, reads
 from corpusmill.operators import notes as N
 from corpusmill.operators import text_search as B
 from corpusmill.operators import vectors as V
+from corpusmill.operators.places import placed
 from corpusmill.plans import queries as Q
 from corpusmill.plans.registry import query
 from corpusmill.plans.tables import CHUNKS_SQL, EDGES_SQL, NOTES_SQL, chunks, edges, notes, query_vector, table, vectors
@@ -391,8 +392,7 @@ def u5(spark, sf):
 def q1(spark, sf):
     """The place is that of the rows as they come."""
     ids = table(spark, sf, "labels").select((F.col("doc_id") + 1).alias("chunk_id"))
-    rows = reads.by_ids(chunks(spark, sf), ids).select("chunk_id", "path", "start_line").coalesce(1)
-    return rows.withColumn("place", (F.monotonically_increasing_id() + 1).cast("int"))
+    return placed(reads.by_ids(chunks(spark, sf), ids).select("chunk_id", "path", "start_line")).withColumn("place", F.col("place").cast("int"))
 
 
 @query("q4_callees", f"WITH {EDGES_SQL} SELECT DISTINCT source_name, target_name FROM edges WHERE kind = 'calls' AND source_name IS NOT NULL")
@@ -415,9 +415,9 @@ def q7(spark, sf):
 
 @query("q8_q10_notes_in_order", f"WITH {NOTES_SQL} SELECT uuid, status = 'archived' AS archived, row_number() OVER (ORDER BY created_at, uuid)::INTEGER AS place, 'all' AS list FROM notes UNION ALL SELECT uuid, false, row_number() OVER (ORDER BY created_at, uuid)::INTEGER, 'sync' FROM notes WHERE status <> 'archived'")
 def q8(spark, sf):
-    n, place = notes(spark, sf), (F.monotonically_increasing_id() + 1).cast("int").alias("place")
-    every = reads.for_dedup(n).select("uuid", (F.col("status") == "archived").alias("archived")).coalesce(1).select("*", place, F.lit("all").alias("list"))
-    return every.union(reads.for_sync(n).select("uuid", "archived").coalesce(1).select("*", place, F.lit("sync")))
+    n, place = notes(spark, sf), F.col("place").cast("int").alias("place")
+    every = placed(reads.for_dedup(n).select("uuid", (F.col("status") == "archived").alias("archived"))).select("uuid", "archived", place, F.lit("all").alias("list"))
+    return every.union(placed(reads.for_sync(n).select("uuid", "archived")).select("uuid", "archived", place, F.lit("sync")))
 
 
 @query("q9_reembed", f"WITH {NOTES_SQL} SELECT uuid, title, md5(body) AS body, 'active' AS list FROM notes WHERE status = 'active' UNION ALL SELECT uuid, title, md5(body), 'all' FROM notes")

@@ -626,6 +626,12 @@ def p1(spark, sf):
     return graph.pagerank(graph.rank_edges(edges(spark, sf))).withColumn("rank", F.round("rank", 8))
 
 
+@query("p1_pagerank_joins", _rank_sql(20))
+def p1_joins(spark, sf):
+    """The form for graphs of any size: a join a round."""
+    return graph.pagerank(graph.rank_edges(edges(spark, sf)), small_links=0).withColumn("rank", F.round("rank", 8))
+
+
 @query("p6_replace_edges", f"WITH {EDGES_SQL}, n AS (SELECT source_file, source_name, target_name, kind, 0 AS line FROM edges WHERE source_file = 'f3' AND kind = 'calls'), r AS (SELECT * FROM edges WHERE source_file NOT IN (SELECT source_file FROM n) UNION ALL SELECT * FROM n) SELECT source_file, kind, count(*) AS n, sum(line)::BIGINT AS lines FROM r GROUP BY 1, 2")
 def p6(spark, sf):
     e = edges(spark, sf)
