@@ -6,10 +6,11 @@ its angle to the pivot is at most the cell's own radius and the join's, and at m
 the plane between the two pivots). Cells are joined independently, and give each vector's number of links and its component in the cell, not pairs.
 
 Vectors within half the radius of their pivot (its core) link with each other by the triangle inequality alone: they are counted and not compared, so a group of very many near-copies costs no more than its rows.
-All others of a cell are dealt into blocks of ``BLOCK`` rows, and each pair of blocks is a task of its own, in which only what the angles to the pivot leave open is compared: in single precision first,
-and within a margin of the bound in double precision.
+All others of a cell are dealt into blocks, and each pair of blocks is a task of its own, in which only what the angles to the pivot leave open is compared: in single precision first,
+and within a margin of the bound in double precision. Blocks grow with the table, to ``STRIPS`` of them, from ``BLOCK`` rows up to ``BLOCK_BYTES`` of vectors: a row is sent once for each block that it meets, so that
+what is shuffled grows with the rows until blocks are full, and only from there with their square. Vectors travel as they are stored, single precision as such.
 
-Equal vectors are one class with a count. The number of pivots grows with the classes, a pivot for ``BLOCK``, up to ``PIVOT_BYTES`` of them, which bounds the sample, what is sent to the
+Equal vectors are one class with a count. The number of pivots grows with the classes, a pivot for a block, up to ``PIVOT_BYTES`` of them, which bounds the sample, what is sent to the
 workers and the statistics of the cells that are collected. Vectors without structure (random directions) leave most cells open to most vectors, and then the work is that of all pairs, in blocks; the README has figures.
 
 Defined results: vectors null, zero or with null or non-finite components link with nothing, nor do vectors of different lengths; equal rows are separate vectors that link; a component without any non-null
@@ -30,18 +31,24 @@ from corpusmill.lineage import cut
 from corpusmill.llm.components import connected_components
 from corpusmill.llm.memory import give_back
 
-BLOCK, STRIP, PIVOT_BYTES, MARGIN, SAMPLE = 4096, 256, 16 << 20, 1e-4, 4
+BLOCK, BLOCK_BYTES, STRIPS, STRIP, PIVOT_BYTES, MARGIN, SAMPLE = 4096, 16 << 20, 16, 256, 16 << 20, 1e-4, 4
 #: Allowance for rounding of angles: what they leave open may be too much by it, never too little.
 EPS = 1e-6
-PIECE = "cell long, kind int, a int, b int, left boolean, node long, n long, angle double, v array<double>"
+PIECE = "cell long, kind int, a int, b int, left boolean, node long, n long, angle double, v "
 
 
 def unit(v: np.ndarray) -> np.ndarray:
-    """Rows scaled to length 1, without overflow."""
+    """Rows scaled to length 1 in double precision, without overflow."""
+    v = v.astype(np.float64, copy=False)
     v = v / np.abs(v).max(1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def block_rows(total: int, longest: int) -> int:
+    """Rows of a block for so many vectors, the longest with so many components."""
+    return max(BLOCK, min(-(-total // STRIPS), BLOCK_BYTES // (8 * longest)))
+
+
 def choose_pivots(sample: np.ndarray, most: int, radius: float) -> np.ndarray:
     """Directions of the sample, in its order, that are at least the radius apart."""
     chosen = np.empty((0, sample.shape[1]))
@@ -87,12 +94,13 @@ class Cells:
             yield j, rows[keep], angles[keep]
 
 
-def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(length, nodes, counts, unit vectors) of a batch of (node, n, v)."""
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, nodes, counts, unit vectors, vectors as they are) of a batch of (node, n, v)."""
     lengths = batch.column(2).value_lengths().to_numpy()
     for length in np.unique(lengths):
         part = batch.filter(pa.array(lengths == length)) if (lengths != length).any() else batch
-        yield int(length), part.column(0).to_numpy(), part.column(1).to_numpy(), unit(part.column(2).flatten().to_numpy().reshape(part.num_rows, length))
+        v = part.column(2).flatten().to_numpy().reshape(part.num_rows, length)
+        yield int(length), part.column(0).to_numpy(), part.column(1).to_numpy(), unit(v), v
 
 
 def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -148,18 +156,20 @@ def block_links(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...] | No
     return in_order[found], links[found], in_order[label[found]]
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, block: int | None = None) -> DataFrame:
     """vectors with n_links (other vectors with a cosine of at least this, linked directly), component_id (smallest id that links reach) and kept (whether that is the vector's own)."""
     if not 0 < cosine < 1:
         raise ValueError("cosine must be between 0 and 1")
     spark, radius = vectors.sparkSession, math.acos(cosine)
     names = [c for c in vectors.columns if c not in ("n_links", "component_id", "kept")]
-    v = F.col(vector_col).cast("array<double>")
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    v = F.col(vector_col).cast(kind)
     sound = F.coalesce(usable(v), F.lit(False))
     rows = vectors.select(F.struct(*names).alias("row"), F.when(sound, v).alias("v"), F.col(id_col).alias("id"))
     classes = rows.filter("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("node"), "n", "v", "id"))
     total, longest = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    block = block or block_rows(total, longest)
     most = max(1, min(-(-total // block), PIVOT_BYTES // (8 * longest)))
     given = classes.select("node", "n", "v")
     # a bounded sample by hash: SAMPLE directions for each pivot
@@ -168,7 +178,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     by_length: dict[int, list] = {}
     for r in drawn:
         by_length.setdefault(len(r["v"]), []).append(r["v"])
-    cells = Cells({n: choose_pivots(unit(np.array(x)), most, radius) for n, x in by_length.items()}, radius)
+    cells = Cells({n: choose_pivots(unit(np.array(x, np.float64)), most, radius) for n, x in by_length.items()}, radius)
 
     def number(length: int, place: np.ndarray | int):
         return (length << 32) + place
@@ -176,7 +186,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each cell: rows at home beyond the core and the largest angle; rows in the core, what they stand for, their largest angle and least node."""
         for batch in batches:
-            for length, node, n, x in _by_length(batch):
+            for length, node, n, x, _ in _by_length(batch):
                 at, angle = cells.home(x)
                 core = angle <= radius / 2 - EPS
                 for j in np.unique(at):
@@ -199,21 +209,21 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         extents.setdefault(c >> 32, {})[c & 0xFFFFFFFF] = value
 
     def places(batch: pa.RecordBatch) -> Iterator[tuple]:
-        """(cell, role, nodes, counts, angles to the cell's pivot, unit vectors): rows at home in the core (0) or beyond it (1), visiting rows (2); and those of 1 and 2 that may link with the core, as 3."""
-        for length, node, n, x in _by_length(batch):
+        """(cell, role, nodes, counts, angles to the cell's pivot, vectors): rows at home in the core (0) or beyond it (1), visiting rows (2); and those of 1 and 2 that may link with the core, as 3."""
+        for length, node, n, x, v in _by_length(batch):
             at, angle = cells.home(x)
             in_core = angle <= radius / 2 - EPS
             for j in np.unique(at):
                 c = number(length, int(j))
                 for role, which in ((0, (at == j) & in_core), (1, (at == j) & ~in_core), (3, (at == j) & ~in_core & (angle <= (core_extent[c] if core[c] else -math.pi) + radius + EPS))):
                     if which.any():
-                        yield c, role, node[which], n[which], angle[which], x[which]
+                        yield c, role, node[which], n[which], angle[which], v[which]
             for j, visit, angles in cells.open_cells(x, at, angle, extents.get(length, {})):
                 c = number(length, j)
                 near = angles <= core_extent[c] + radius + EPS if core[c] else np.zeros(len(visit), bool)
                 for role, which in ((2, np.ones(len(visit), bool)), (3, near)):
                     if which.any():
-                        yield c, role, node[visit[which]], n[visit[which]], angles[which], x[visit[which]]
+                        yield c, role, node[visit[which]], n[visit[which]], angles[which], v[visit[which]]
 
     def count_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,7 +264,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     def join(table: pa.Table) -> pa.Table:
         left = table.column("left").to_numpy()
-        x = table.column("v").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        x = unit(table.column("v").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1))
         of = lambda side: (*(table.column(c).to_numpy()[side] for c in ("node", "n", "angle")), x[side])
         kind, a, b = (table.column(c)[0].as_py() for c in ("kind", "a", "b"))
         found = block_links(of(left), None if kind == 0 and a == b else of(~left), cosine, radius)
@@ -262,7 +272,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     def within_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for length, node, n, x in _by_length(batch):
+            for length, node, n, x, _ in _by_length(batch):
                 at, angle = cells.home(x)
                 of = np.flatnonzero(angle <= radius / 2 - EPS)
                 c = number(length, at[of])
@@ -270,7 +280,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(node[of]), pa.array(sums - n[of]), pa.array(roots)], ["node", "links", "root"])
 
     schema = "node long, links long, root long"
-    compared = given.mapInArrow(deal, PIECE).groupBy("cell", "kind", "a", "b").applyInArrow(join, schema)
+    compared = given.mapInArrow(deal, PIECE + kind).groupBy("cell", "kind", "a", "b").applyInArrow(join, schema)
     found = cut(compared.union(given.mapInArrow(within_core, schema)))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     reached = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "of")
