@@ -85,10 +85,31 @@ def neighbour_names(edges: DataFrame, names: list[str]) -> DataFrame:
     return calls.filter(F.col("source_name").isin(names)).select(F.col("target_name").alias("name")).union(calls.filter(F.col("target_name").isin(names)).select(F.col("source_name").alias("name"))).distinct()
 
 
+def _uses(edges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(source_name, source_file, symbol, kind), each once however many lines have it."""
+    return edges.filter(F.col("kind").isin(*kinds) & F.col("source_name").isNotNull()).select("source_name", "source_file", F.col("target_name").alias("symbol"), "kind").distinct()
+
+
 def chunk_symbols(chunks: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("mentions", "calls")) -> DataFrame:
     """(chunk_id, symbol, kind) of named chunks whose name and file are an edge's source; a symbol called and mentioned gives two rows."""
-    used = edges.filter(F.col("kind").isin(*kinds))
-    return chunks.join(used, (chunks["name"] == used["source_name"]) & (chunks["path"] == used["source_file"])).select("chunk_id", F.col("target_name").alias("symbol"), "kind").distinct()
+    used = _uses(edges, kinds)
+    return chunks.join(used, (chunks["name"] == used["source_name"]) & (chunks["path"] == used["source_file"])).select("chunk_id", "symbol", "kind").distinct()
+
+
+def symbol_chunks(chunks: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("mentions", "calls")) -> DataFrame:
+    """(symbol, kind, n): how many different chunks chunk_symbols() has for each, without a row for each chunk and symbol.
+
+    Chunks with the same names and files use the same symbols: these classes are joined, with their numbers of chunks. A null chunk_id is no chunk.
+    """
+    sources = F.array_sort(F.collect_set(F.struct("name", "path"))).alias("of")
+    classes = chunks.filter("name is not null and path is not null").groupBy("chunk_id").agg(sources).groupBy("of").agg(F.count("chunk_id").alias("n"))
+    each = classes.select("of", "n", F.explode("of").alias("source")).select("of", "n", "source.*")
+    used = _uses(edges, kinds)
+    found = each.join(used, (each["name"] == used["source_name"]) & (each["path"] == used["source_file"]))
+    # a class of one source has no symbol twice, since uses are distinct
+    more = F.size("of") > 1
+    once = found.filter(~more).select("symbol", "kind", "n").union(found.filter(more).select("of", "symbol", "kind", "n").distinct().select("symbol", "kind", "n"))
+    return once.groupBy("symbol", "kind").agg(F.sum("n").alias("n"))
 
 
 def rank_edges(edges: DataFrame) -> DataFrame:
