@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,17 +37,34 @@ def read_tree(spark: SparkSession, root: str, user_lines: list[str] = (), use_de
     return rows.select("path", "language", F.sha2("content", 256).alias("hash"), F.col("modificationTime").alias("mtime"), "length", "text")
 
 
+def _rule_key(line: str) -> str | None:
+    """What a path must have for a rule to fit: ``=name`` for a component, ``.ext`` for one that ends so; null if nothing is certain."""
+    parts = line.removeprefix("!").strip("/").split("/")
+    if "[" in line:
+        return None
+    # a component after ``a**`` may begin within another one
+    safe = [p for before, p in zip(["", *parts], parts, strict=False) if p and (before == "**" or not before.endswith("**"))]
+    names = [p for p in safe if not re.search(r"[*?]", p)]
+    if names:
+        return "=" + max(names, key=len)
+    ends = [p for p in safe if re.fullmatch(r"\*\.[^*?.]+", p)]
+    return ends[0][1:] if ends else None
+
+
 def without_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     """files (path) but those that ignore rules (dir, line, at) exclude: a rule holds below its directory, of those that fit the deepest and last decides, and a ``!`` line includes.
 
-    Rules are the lines of ignore files, ``dir`` relative to the root and empty for the root itself. A file meets the rules of its own directories only.
+    A file meets the rules of its own directories only, and of these the ones whose key (``_rule_key``) it has: a component's name or extension. Rules without one meet every file below their directory.
     """
     lines = rules.withColumn("line", F.trim("line")).filter("line != '' and not startswith(line, '#')")
-    to_regex = F.udf(lambda line: scan.glob_regex(line.removeprefix("!")), "string")
-    lines = lines.select(F.col("dir").alias("_dir"), F.col("at").alias("_at"), F.startswith("line", F.lit("!")).alias("_in"), to_regex("line").alias("_regex"))
+    to_regex, to_key = F.udf(lambda line: scan.glob_regex(line.removeprefix("!")), "string"), F.udf(_rule_key, "string")
+    lines = lines.select(F.col("dir").alias("_dir"), F.col("at").alias("_at"), F.startswith("line", F.lit("!")).alias("_in"), to_regex("line").alias("_regex"), F.coalesce(to_key("line"), F.lit("")).alias("_key"))
     parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    each = files.select("path", F.explode(above).alias("_dir")).join(lines, "_dir").withColumn("_rel", F.expr("if(_dir = '', path, substr(path, length(_dir) + 2))"))
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("_dir"), F.slice(parts, n + 1, F.size(parts)).alias("_names")))
+    below = files.select("path", F.explode(above).alias("_a")).select("path", "_a.*").join(lines.select("_dir").distinct(), "_dir", "left_semi")
+    named, ends = F.transform("_names", lambda n: F.concat(F.lit("="), n)), F.transform(F.filter("_names", lambda n: F.contains(n, F.lit("."))), lambda n: F.concat(F.lit("."), F.substring_index(n, ".", -1)))
+    each = below.select("path", "_dir", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), named, ends))).alias("_key")).join(lines, ["_dir", "_key"])
+    each = each.withColumn("_rel", F.expr("if(_dir = '', path, substr(path, length(_dir) + 2))"))
     last = each.filter(F.expr("rlike(_rel, _regex)")).groupBy("path").agg(F.max_by("_in", F.struct(F.length("_dir"), "_at")).alias("_in"))
     return files.join(last.filter("not _in").select("path"), "path", "left_anti")
 
