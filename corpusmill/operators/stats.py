@@ -84,8 +84,13 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int, token_budg
 
     mrr and ndcg look at the first k ranks; recall is the share of relevant items there; the last, of those whose tokens fit in the budget from the top.
     """
-    good = relevant.withColumn("_rel", F.lit(1))
-    hits = ranked.join(good, ["query", "item"], "left").withColumn("_rel", F.coalesce("_rel", F.lit(0)))
+    marked = ranked.join(relevant.withColumn("relevant", F.lit(True)), ["query", "item"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(False)))
+    return metrics_of_hits(marked, relevant.groupBy("query").agg(F.count("*").alias("n")), k, token_budget)
+
+
+def metrics_of_hits(ranked: DataFrame, sizes: DataFrame, k: int, token_budget: int | None = None) -> DataFrame:
+    """As retrieval_metrics(), from ranked (query, rank, tokens, relevant) and sizes (query, n), the number of relevant items: ranks beyond the first k and the budget have no part in it and may be left out."""
+    hits = ranked.withColumn("_rel", F.coalesce(F.col("relevant"), F.lit(False)).cast("int"))
     if token_budget is not None:
         used = F.sum("tokens").over(Window.partitionBy("query").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
         hits = hits.withColumn("_in", F.when(used <= token_budget, F.col("_rel")).otherwise(0))
@@ -96,7 +101,7 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int, token_budg
         F.sum(F.when(top, F.col("_rel") / F.log2(F.col("rank") + 1.0)).otherwise(F.lit(0.0))).alias("_dcg"),
         *([F.sum("_in").alias("_inside")] if token_budget is not None else []),
     )
-    size = relevant.groupBy("query").agg(F.count("*").alias("_n"))
+    size = sizes.select("query", F.col("n").alias("_n"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("_n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
     more = [(F.col("_inside") / F.col("_n")).alias("recall_in_budget")] if token_budget is not None else []
     return got.join(size, "query").select("query", "mrr", (F.col("_found") / F.col("_n")).alias("recall"), (F.col("_dcg") / ideal).alias("ndcg"), *more)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +11,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from corpusmill.operators.metric_join import nearest_within
 
 MAX_CHUNKS, MAX_NOTES, MAX_QUERIES = 1000, 100, 4096
+#: Most queries and rows that a task compares.
+QUERY_BLOCK, ROW_BLOCK = 4096, 1 << 16
 
 
 def quantise(v: Column) -> Column:
@@ -60,44 +60,87 @@ def knn(notes: DataFrame, query: list[float], k: int, order: list[str], where: C
     return out if before or where is None else out.filter(where)
 
 
+def _nearest(rows: DataFrame, queries: DataFrame, k: int, others: bool, inner: bool) -> DataFrame:
+    """(query, id, score, rank): for each of queries (query, v) the k rows (id, v) of the least score, ties by id; others leaves the query's own id out. Vectors are double[] without nulls.
+
+    The score is the squared distance, or with inner the inner product's negative, in double precision, summed up in the order of the components. Blocks of queries meet blocks of rows, each pair in a task of its own that
+    keeps k rows for each query: what it can't exclude by a matrix product, with a margin for rounding, it computes exactly. Row blocks grow with the table up to ROW_BLOCK, so that lists are few.
+    """
+    kind, query_kind = rows.schema["id"].dataType, queries.schema["query"].dataType
+    total, asked = rows.count(), queries.count()
+    n_rows, n_queries = max(1, -(-total // max(QUERY_BLOCK, min(ROW_BLOCK, -(-total // 16))))), max(1, -(-asked // QUERY_BLOCK))
+    deal = lambda c, n: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    length = F.size("v").alias("n")
+    here = queries.select(length, spread(n_rows).alias("r"), deal("query", n_queries).alias("q"), "query", "v")
+    there = rows.select(length, deal("id", n_rows).alias("r"), spread(n_queries).alias("q"), "id", "v")
+    types = [to_arrow_type(query_kind), to_arrow_type(kind), pa.float64()]
+
+    def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for d in range(x.shape[1]):
+            out += -x[:, d] * q[d] if inner else (x[:, d] - q[d]) ** 2
+        return out
+
+    def best(asking: pa.Table, there: pa.Table) -> pa.Table:
+        found: tuple[list, list, list] = ([], [], [])
+        if asking.num_rows and there.num_rows:
+            matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+            q, x, own, ids = matrix(asking), matrix(there), asking.column("query").to_pylist(), there.column("id").to_pylist()
+            norms = np.einsum("ij,ij->i", x, x)
+            with np.errstate(all="ignore"):
+                for at in range(0, len(q), 64):
+                    some = q[at : at + 64]
+                    rough = -(some @ x.T) if inner else norms - 2 * (some @ x.T) + np.einsum("ij,ij->i", some, some)[:, None]
+                    # rounding of either sum is far below this part of the lengths
+                    margin = 1e-12 * max(1, x.shape[1]) * (1 + np.abs(norms).max() + np.abs(some * some).sum(1))
+                    for i, row in enumerate(rough):
+                        most = k + others
+                        if len(row) > most and np.isfinite(row).all():
+                            near = np.flatnonzero(row <= np.partition(row, most - 1)[most - 1] + 2 * margin[i])
+                        else:
+                            near = np.arange(len(row))
+                        scores = exact(x[near], some[i])
+                        kept = sorted((s, ids[j]) for s, j in zip(scores.tolist(), near.tolist(), strict=True) if not others or ids[j] != own[at + i])[:k]
+                        for s, j in kept:
+                            found[0].append(own[at + i])
+                            found[1].append(j)
+                            found[2].append(s)
+        return pa.table([pa.array(f, t) for f, t in zip(found, types, strict=True)], names=["query", "id", "score"])
+
+    keys = ("n", "r", "q")
+    lists = here.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(best, f"query {query_kind.simpleString()}, id {kind.simpleString()}, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "id"))
+    return lists.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _prepared(df: DataFrame, id_col: str, name: str, vector: Column) -> DataFrame:
+    return df.select(F.col(id_col).alias(name), vector.cast("array<double>").alias("v")).filter(f"{name} is not null and v is not null and not exists(v, x -> x is null or isnan(x))")
+
+
 def knn_many(rows: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str = "query_id", vector_col: str = "embedding", int8: bool = False) -> DataFrame:
-    """(query_col, rank, id_col, distance): for each query vector the k nearest rows by L2, ties by id, in one pass over the rows.
+    """(query_col, rank, id_col, distance): for each query vector the k nearest rows by L2, ties by id.
 
-    Each task keeps the k best of its rows for each query, and these lists are merged: no distance beyond them is sorted or sent. Vectors of another length than the query's, and null ones, are not near it. With int8 vectors are quantised first and distances are exact
-    whole numbers under the root. A request asks for up to MAX_QUERIES queries, which go along with the tasks.
+    Queries are requests of up to MAX_QUERIES, which go along with the tasks of one pass over the rows, or as many as there are: see knn_table().
+    Vectors of another length than the query's, and null ones, are not near it. With int8 vectors are quantised first and distances are exact whole numbers under the root.
     """
-    prepared = lambda df, i: df.select(F.col(i).alias("id"), (quantise(F.col(vector_col)) if int8 else F.col(vector_col)).cast("array<double>").alias("v")).filter("id is not null and v is not null and not exists(v, x -> x is null or isnan(x))")
-    asked = prepared(queries, query_col).limit(MAX_QUERIES + 1).collect()
-    if len(asked) > MAX_QUERIES:
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries in a request")
-    by_length: dict[int, tuple[list, list]] = {}
-    for r in asked:
-        ids, vectors = by_length.setdefault(len(r["v"]), ([], []))
-        ids.append(r["id"])
-        vectors.append(r["v"])
-    asking = {n: (ids, np.array(v).reshape(len(v), n)) for n, (ids, v) in by_length.items()}
-    kind, query_kind = rows.schema[id_col].dataType, queries.schema[query_col].dataType
-    types = [to_arrow_type(query_kind), to_arrow_type(kind), pa.float64()]
+    return knn_table(rows, queries, k, id_col, query_col, vector_col, int8)
+
+
+def knn_table(rows: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str = "query_id", vector_col: str = "embedding", int8: bool = False) -> DataFrame:
+    """As knn_many(), for a table of queries of any size; their ids are distinct. No distance beyond each task's k best is sorted or sent."""
+    vector = quantise(F.col(vector_col)) if int8 else F.col(vector_col)
+    found = _nearest(_prepared(rows, id_col, "id", vector), _prepared(queries, query_col, "query", vector), k, others=False, inner=False)
+    root = F.sqrt("score") / 127 if int8 else F.sqrt("score")
+    return found.select(F.col("query").alias(query_col), "rank", F.col("id").alias(id_col), root.alias("distance"))
+
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple[int, int], list[tuple]] = {}
-        for batch in batches:
-            lengths = batch.column(1).value_lengths().to_numpy()
-            for n, (_, q) in asking.items():
-                few = batch.filter(pa.array(lengths == n))
-                for part in (few.slice(s, 2048) for s in range(0, few.num_rows, 2048)):
-                    x, ids = part.column(1).flatten().to_numpy().reshape(part.num_rows, n), part.column(0).to_pylist()
-                    squares = ((x[None] - q[:, None]) ** 2).sum(2) if n * len(q) < 1 << 14 else np.stack([((x - v) ** 2).sum(1) for v in q])
-                    for i, row in enumerate(squares):
-                        near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
-                        kept[n, i] = sorted([*kept.get((n, i), []), *((row[j], ids[j]) for j in near)])[:k]
-        found = [(asking[n][0][i], row_id, d) for (n, i), rows in kept.items() for d, row_id in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(types)], ["query", "id", "square"])
-
-    lists = prepared(rows, id_col).mapInArrow(best, f"query {query_kind.simpleString()}, id {kind.simpleString()}, square double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("square", "id"))
-    root = F.sqrt("square") / 127 if int8 else F.sqrt("square")
-    return lists.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("query").alias(query_col), "rank", F.col("id").alias(id_col), root.alias("distance"))
+def largest_products(rows: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str = "query", vector_col: str = "embedding") -> DataFrame:
+    """(query_col, rank, id_col): for each query the k rows with another id of the largest inner product, ties by id."""
+    found = _nearest(_prepared(rows, id_col, "id", F.col(vector_col)), _prepared(queries, query_col, "query", F.col(vector_col)), k, others=True, inner=True)
+    return found.select(F.col("query").alias(query_col), "rank", F.col("id").alias(id_col))
 
 
 def blend_rank(distance: Column, rank: Column) -> Column:
