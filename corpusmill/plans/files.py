@@ -52,6 +52,6 @@ def j18(spark, sf):
 d AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS sq FROM v a JOIN v b ON a.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sq, vec_id)::INTEGER AS rank FROM d) SELECT query_id, rank, vec_id, round(sqrt(sq::DOUBLE) / 127, 6) AS distance FROM r WHERE rank <= 10""")
 def v3_many(spark, sf):
-    """The nearest ten by int8 distance for every twentieth vector, in one pass."""
+    """The nearest ten by int8 distance for every twentieth vector, however many these are."""
     v = vectors(spark, sf)
-    return V.knn_many(v, v.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10, "vec_id", int8=True).withColumn("distance", F.round("distance", 6))
+    return V.knn_table(v, v.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10, "vec_id", int8=True).withColumn("distance", F.round("distance", 6))
