@@ -98,8 +98,9 @@ def structural_summary(name: Column, docstring: Column, callees: Column, content
 def mention_tokens(code: Column) -> Column:
     """Up to 40 distinct words of 3 to 50 characters that are neither numbers nor stopwords, in order."""
     words = F.regexp_extract_all(code, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    good = F.filter(words, lambda w: (F.length(w) >= 3) & (F.length(w) <= 50) & ~F.rlike(w, F.lit(r"^\p{N}+$")) & ~F.array_contains(_words(MENTION_STOPWORDS), w))
-    return F.slice(F.array_distinct(good), 1, 40)
+    # array_except keeps the first of equal words, in order, and looks stopwords up by hash; only distinct words are judged
+    distinct = F.array_except(words, F.split(F.lit(" ".join(MENTION_STOPWORDS)), " "))
+    return F.slice(F.filter(distinct, lambda w: (F.length(w) >= 3) & (F.length(w) <= 50) & ~F.rlike(w, F.lit(r"^\p{N}+$"))), 1, 40)
 
 
 def case_style(name: Column) -> Column:
