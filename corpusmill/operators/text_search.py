@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B, LEAST_IDF, MAX_CODE, MAX_NOTES, MAX_TIMELINE = 1.2, 0.75, 1e-6, 1000, 1000, 200
+#: Tokens whose places are sorted at once.
+SLICE_TOKENS = 1 << 20
 ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x180)) if len(unicodedata.normalize("NFD", c)) > 1 and c.islower())
 PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
 
@@ -23,11 +29,58 @@ def query_tokens(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.replace("\0", "").lower().translate(str.maketrans(ACCENTED, PLAIN)))
 
 
+def _term_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, field, terms) to (id, field, list of (term, tf, positions)), terms in the order of their bytes."""
+    for whole in batches:
+        sizes = np.cumsum(pc.fill_null(pc.list_value_length(whole.column(2)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < whole.num_rows:
+            # slices of a bounded number of tokens, one document at least
+            end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + SLICE_TOKENS, "right")))
+            batch, start = whole.slice(start, end - start), end
+            words = batch.column(2)
+            n = words.value_lengths().to_numpy()
+            coded = words.flatten().dictionary_encode()
+            # places of the dictionary's words in the order of bytes, which is that of code points
+            order = pc.sort_indices(coded.dictionary.cast(pa.binary())).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            doc = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            word = rank[coded.indices.to_numpy()] if len(doc) else doc
+            by = np.lexsort((word, doc))  # stable, so that places ascend
+            doc, word, at = doc[by], word[by], at[by].astype(np.int32)
+            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])]) if len(doc) else doc
+            tf = np.diff(np.r_[first, len(doc)])
+            rows = pa.StructArray.from_arrays([
+                coded.dictionary.take(pa.array(order[word[first]])), pa.array(tf), pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)].astype(np.int32)), pa.array(at)),
+            ], ["term", "tf", "positions"])
+            ends = np.r_[0, np.cumsum(np.bincount(doc[first], minlength=len(n)))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), rows)], ["id", "field", "terms"])
+
+
+def term_lists(docs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """(id, field, terms) of all fields with a token: a list of (term, tf, positions), in the order of the terms' bytes. Rows that share an id, null too, are one document, of which the lists are merged.
+
+    A document's terms are listed where it is read; only rows whose id is not theirs alone are shuffled, and ids to find these.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("words")) for f in fields]))
+    kind = docs.schema[id_col].dataType.simpleString()
+    terms = "array<struct<term:string,tf:bigint,positions:array<int>>>"
+    shared = docs.groupBy(F.col(id_col).alias("_id")).count().filter("count > 1").select("_id")
+    same = F.col(id_col).eqNullSafe(F.col("_id"))
+    alone = docs.join(shared, same, "left_anti").select(F.col(id_col).alias("id"), each.alias("e")).select("id", "e.field", "e.words").filter("size(words) > 0")
+    listed = alone.mapInArrow(_term_lists, f"id {kind}, field string, terms {terms}")
+    rows = docs.join(shared, same, "left_semi").select(F.col(id_col).alias("id"), each.alias("e")).select("id", "e.field", F.posexplode("e.words").alias("at", "term"))
+    grouped = rows.groupBy("id", "field", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
+    in_order = F.array_sort(F.collect_list(F.struct(F.encode("term", "utf-8").alias("b"), F.struct("term", "tf", "positions").alias("t"))))
+    merged = grouped.groupBy("id", "field").agg(F.transform(in_order, lambda x: x["t"]).alias("terms"))
+    return listed.union(merged).withColumnRenamed("id", id_col)
+
+
 def postings(docs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """(id, field, term, tf, positions) of all fields."""
-    each = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("terms")) for f in fields])
-    rows = docs.select(id_col, F.explode(each).alias("e")).select(id_col, "e.field", F.posexplode("e.terms").alias("at", "term"))
-    return rows.groupBy(id_col, "field", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
+    """(id, field, term, tf, positions) of all fields; see term_lists()."""
+    return term_lists(docs, id_col, fields).select(id_col, "field", F.inline("terms"))
 
 
 def _occurrences(field: str, words: list[str]) -> str:
