@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions.text import take_while_fits
+from corpusmill.memory import give_back, short_batches
 from corpusmill.operators.code import LANGUAGES, definitions
 from corpusmill.operators.stripping import strip_code
 
 CHUNK_TOKENS, UNIT_CHARS, MIN_UNIT, MAX_UNITS = 512, 2000, 3, 64
+#: Characters of chunks that a worker holds before it sends them.
+HELD_CHARS = 1 << 22
 CHUNK = "node_type string, name string, start_line int, end_line int, content string, docstring string"
 
 
@@ -120,18 +123,23 @@ def chunk(docs: DataFrame, text_col: str = "text", language_col: str | None = No
     names = [f.name for f in others]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), CHUNK])
 
+    columns = [*names, *(c.split()[0] for c in CHUNK.split(", "))]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
+            rows, held = [], 0
             for values, text, language in zip(frame[names].itertuples(index=False), frame[text_col], frame[language_col] if language_col else [None] * len(frame), strict=True):
-                if text:
-                    rows += [(*values, *c) for c in READERS.get(language, plain_chunks)(text, tokens)]
-                    if len(rows) > 20_000:
-                        yield pd.DataFrame(rows, columns=[*names, *(c.split()[0] for c in CHUNK.split(", "))])
-                        rows = []
-            yield pd.DataFrame(rows, columns=[*names, *(c.split()[0] for c in CHUNK.split(", "))])
-
-    return docs.mapInPandas(run, schema)
+                for c in READERS.get(language, plain_chunks)(text, tokens) if text else ():
+                    rows.append((*values, *c))
+                    held += len(c[4])
+                    if held > HELD_CHARS or len(rows) > 20_000:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
+            del frame, rows
+            give_back()
+
+    return short_batches(docs).mapInPandas(run, schema)
 
 
 def stripped_code(code: Column, language: Column) -> Column:
