@@ -1,14 +1,13 @@
-"""Adaptive context-mixing range coder for token ids, in independently reset and checksummed blocks.
+"""Context-mixing range coder for token ids, in independently reset and checksummed blocks.
 
-An image is a header (magic, tokens, block length, alphabet), a directory (bytes and CRC-32 of each block's ids) and the blocks. Blocks
-of an image are coded in step, one lane each, so that a step is a few array operations for all of them; a lane starts from an empty model
-and reads nothing of the others. Within a lane an id goes by its place in the order of first appearance, so the model's tables grow with a block and not with the alphabet.
+An image is a header (magic, tokens, block length, alphabet), a directory (different ids, bytes and CRC-32 of each block's ids), the ids that each block holds with their counts, and the
+blocks. Blocks of an image are coded in step, one lane each, so that a step is a few array operations for all of them, without branches for some; a lane starts from an empty model
+and reads nothing of the others. Within a lane an id goes by its place among the block's different ids, so the model's tables grow with a block and not with the alphabet.
 
 A token's probability mixes three predictions: order 2 names the id last seen after the two ids before, order 1 the id last seen after the
-one before, and order 0 spreads over the ids seen in the block by their counts, with an escape weighed by the number of different ids. The weights
-of orders 1 and 2 follow how often they have been right in the lane. The order 0 table is renewed at fixed steps; an escape is
-followed by the place of an id seen since, or by one place more and an id of the alphabet, in halves of 16 bits. A token takes one step of a 48-bit range coder
-with 16-bit digits, an escaped one up to four; carries are added up at the end.
+one before, and order 0 spreads over the block's ids by their counts. The weights of orders 1 and 2 follow how often they have been right in the lane.
+A block's different ids are kept as rising numbers, in low bits and a unary high part, and their counts in unary: a block in order has a bit for each token, set where a new id begins.
+A token takes one step of a 48-bit range coder with 16-bit digits; carries are added up at the end.
 """
 
 from __future__ import annotations
@@ -18,236 +17,225 @@ import zlib
 
 import numpy as np
 
-MAGIC, BLOCK, LANES, SLOTS, HASHED, NONE = b"TKC2", 2048, 4096, 4096, 4096, 65535
-RENEW = (8, 32, 96, 256, 512, 1024, 1536)
+MAGIC, BLOCK, LANES, HASHED, NONE = b"TKC3", 2048, 4096, 1024, 65535
 LEAST, MASK, TOTAL = 1 << 32, (1 << 32) - 1, 1 << 16
-HIT, RATE = 30000, 5
+HIT, RATE, PLACE_BITS = 30000, 5, 12
 
 
 class Model:
-    """Order 0 to 2 predictions of all lanes over the places of ids; ``kinds`` bounds the different ids of a block."""
-
-    def __init__(self, lanes: int, kinds: int, slots: bool):
-        self.lanes, self.kinds, self.slots = lanes, kinds, slots
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.row, self.row_two = self.lane * (kinds + 1), self.lane * HASHED
-        self.counts = np.zeros(lanes * (kinds + 1), dtype=np.int32)
-        self.counted = 0
-        self.after_one = np.full(lanes * (kinds + 1), NONE, dtype=np.uint16)
-        self.after_two = np.full(lanes * HASHED, NONE, dtype=np.uint16)
-        self.weight_one, self.weight_two = np.full(lanes, 4000, dtype=np.int64), np.full(lanes, 4000, dtype=np.int64)
-        self.one, self.two = np.full(lanes, kinds, dtype=np.int64), np.full(lanes, kinds, dtype=np.int64)
-        self.renew(np.zeros((0, lanes), np.uint16), np.zeros(lanes, np.int64))
-
-    def renew(self, rows: np.ndarray, seen: np.ndarray) -> None:
-        """Slots of order 0 from all steps so far: one for each id seen, the rest by count; the escape is place ``kinds``."""
-        if len(rows) > self.counted:
-            self.counts += np.bincount((rows[self.counted :] + self.row).ravel(), minlength=len(self.counts)).astype(np.int32)
-        self.counted, self.known = len(rows), seen.copy()
-        width = int(seen.max(initial=0))
-        counts = self.counts.reshape(self.lanes, -1)[:, :width]
-        share = (SLOTS - 1 - seen)[:, None] * counts // (len(rows) + seen + 1)[:, None]
-        share += np.arange(width) < seen[:, None]
-        freq = np.zeros((self.lanes, self.kinds + 1), dtype=np.uint16)
-        freq[:, :width] = share
-        freq[:, -1] = SLOTS - share.sum(axis=1)
-        first = np.zeros_like(freq)
-        np.cumsum(share[:, :-1], axis=1, out=share[:, :-1])
-        first[:, 1:width] = share[:, :-1]
-        first[:, -1] = SLOTS - freq[:, -1]
-        self.freq, self.first = freq.ravel(), first.ravel()
-        if self.slots:
-            places = np.append(np.arange(width, dtype=np.uint16), np.uint16(self.kinds))
-            self.slot = np.repeat(np.tile(places, self.lanes), freq[:, np.append(np.arange(width), self.kinds)].ravel())
-
-    def predict(self):
-        """(place of order 1, of order 2, whether they count, weights 1, 2 and 0)."""
-        self.at_one = self.row + self.one
-        self.at_two = self.row_two + ((self.two * 40503 + self.one * 30103) & (HASHED - 1))
-        p1, p2 = self.after_one[self.at_one], self.after_two[self.at_two]
-        k2 = p2 != NONE
-        k1 = (p1 != NONE) & (p1 != p2)
-        w1, w2 = self.weight_one * k1, self.weight_two * k2
-        return p1, p2, k1, k2, w1, w2, TOTAL - w1 - w2
-
-    def learn(self, x: np.ndarray, hit1: np.ndarray, hit2: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> None:
-        self.weight_two += ((hit2 * HIT - self.weight_two) * k2) >> RATE
-        self.weight_one += ((hit1 * HIT - self.weight_one) * k1) >> RATE
-        np.maximum(self.weight_two, 32, out=self.weight_two)
-        np.maximum(self.weight_one, 32, out=self.weight_one)
-        self.after_one[self.at_one] = x
-        self.after_two[self.at_two] = x
-        self.two, self.one = self.one, x.astype(np.int64)
+    """Order 0 to 2 predictions of all lanes over the places of ids. ``new`` tells where a new id begins in each lane's ids in order; a cell is one of a lane's ids."""
+
+    def __init__(self, new: np.ndarray):
+        (lanes, self.steps), starts = new.shape, np.flatnonzero(new)
+        self.base = np.append(0, np.cumsum(new.sum(axis=1))[:-1])
+        self.cells, lane = len(starts), np.arange(lanes)
+        self.spread = ((starts % self.steps) | np.diff(starts, append=new.size) << PLACE_BITS).astype(np.int32)
+        #: By the one id before, with a cell for none, and by the two before.
+        self.after = np.full(self.cells + lanes * (1 + HASHED), NONE, np.uint16)
+        self.row = self.cells + lanes + lane * HASHED
+        self.at = np.stack([self.cells + lane, self.row])
+        self.weights, self.before = np.full((2, lanes), 4000, np.int32), np.zeros(lanes, np.int64)
+
+    def predict(self) -> tuple[np.ndarray, ...]:
+        """(places of orders 1 and 2, whether they count, their weights, both weights' sum and the weight of order 0)."""
+        places = self.after.take(self.at)
+        counts = places != NONE
+        counts[0] &= places[0] != places[1]
+        weights = self.weights * counts
+        both = weights[0] + weights[1]
+        return places, counts, weights, both, TOTAL - both
+
+    def share(self, cell: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the part of a cell begins in order 0's, and its width."""
+        spread = self.spread.take(cell)
+        first = spread & ((1 << PLACE_BITS) - 1)
+        end = (first + (spread >> PLACE_BITS)) * weight
+        first *= weight
+        if self.steps & (self.steps - 1):
+            first //= self.steps
+            end //= self.steps
+        else:
+            shift = self.steps.bit_length() - 1
+            first >>= shift
+            end >>= shift
+        end -= first
+        return first, end
+
+    def learn(self, x: np.ndarray, cell: np.ndarray, hits: np.ndarray, counts: np.ndarray) -> None:
+        moved = hits * np.int32(HIT)
+        moved -= self.weights
+        moved *= counts
+        moved >>= RATE
+        self.weights += moved
+        np.maximum(self.weights, 32, out=self.weights)
+        self.after[self.at] = x
+        x = x.astype(np.int64)
+        two = self.at[1]
+        np.multiply(x, 30103, out=two)
+        two += self.before
+        two &= HASHED - 1
+        two += self.row
+        self.at[0] = cell
+        np.multiply(x, 40503, out=self.before)
 
 
 class Encoder:
     """The interval's low end is kept without its carries, which go into the digits' 17th bits."""
 
-    def __init__(self, lanes: int, digits: int):
+    def __init__(self, lanes: int, steps: int):
         self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
-        self.out, self.width = np.zeros(lanes * digits, np.uint32), digits
-        self.at = np.arange(lanes) * digits
-
-    def _shift(self, go: np.ndarray) -> None:
-        at, low = self.at[go], self.low[go]
-        self.out[at] = low >> 32
-        self.at[go] = at + 1
-        self.low[go] = (low & MASK) << 16
-        self.range[go] <<= 16
-
-    def step(self, first: np.ndarray, freq: np.ndarray) -> None:
-        part = self.range >> 16
-        self.low += first * part
-        self.range = freq * part
-        self._shift(np.flatnonzero(self.range < LEAST))
-
-    def step_in(self, lanes: np.ndarray, first: np.ndarray, freq: np.ndarray) -> None:
-        part = self.range[lanes] >> 16
-        self.low[lanes] += first * part
-        self.range[lanes] = span = freq * part
-        self._shift(lanes[span < LEAST])
-
-    def finish(self) -> list[bytes]:
-        for _ in range(3):
-            self._shift(np.arange(len(self.low)))
-        digits, lengths = self.out.reshape(len(self.low), -1), self.at - np.arange(len(self.low)) * self.width
-        digits = digits[:, : int(lengths.max())]
+        self.digits, self.sent = np.empty((steps + 3, lanes), np.uint32), np.ones((steps + 3, lanes), bool)
+
+    def step(self, t: int, first: np.ndarray, freq: np.ndarray) -> None:
+        low, part = self.low, self.range >> 16
+        low += first * part
+        part *= freq
+        full = np.less(part, LEAST, out=self.sent[t])
+        digit = low >> 32
+        self.digits[t] = digit
+        digit <<= 32
+        shift = full.astype(np.int64)
+        digit *= shift
+        low -= digit
+        shift <<= 4
+        low <<= shift
+        part <<= shift
+        self.range = part
+
+    def finish(self) -> tuple[bytes, list[int]]:
+        """The lanes' bytes, one after the other, and how many each has."""
+        for t in range(-3, 0):
+            self.digits[t] = self.low >> 32
+            self.low = (self.low & MASK) << 16
+        digits = np.ascontiguousarray(self.digits.T)[np.ascontiguousarray(self.sent.T)]
         while (carry := digits >> 16).any():
-            digits = digits & 0xFFFF
-            digits[:, :-1] += carry[:, 1:]
-        digits = digits.astype("<u2")
-        return [d[:n].tobytes() for d, n in zip(digits, lengths.tolist(), strict=True)]
+            digits &= 0xFFFF
+            digits[:-1] += carry[1:]
+        return digits.astype("<u2").tobytes(), (2 * self.sent.sum(axis=0)).tolist()
 
 
 class Decoder:
-    def __init__(self, data: list[bytes]):
-        digits = max(map(len, data)) // 2 + 8
-        self.digits = np.zeros((len(data), digits), np.uint16)
-        for i, d in enumerate(data):
-            self.digits[i, : len(d) // 2] = np.frombuffer(d, "<u2")
-        self.digits, self.at = self.digits.ravel(), np.arange(len(data)) * digits
-        self.range, self.code = np.full(len(data), 1 << 48, np.int64), np.zeros(len(data), np.int64)
+    """Follows the lanes' bytes, one after the other, of these sizes."""
+
+    def __init__(self, data: bytes, sizes: np.ndarray):
+        self.digits = np.append(np.frombuffer(data, "<u2"), np.zeros(4, np.uint16))
+        self.at = (np.cumsum(sizes) - sizes) // 2
+        self.range, self.code = np.full(len(sizes), 1 << 48, np.int64), np.zeros(len(sizes), np.int64)
         for _ in range(3):
-            self.code = (self.code << 16) | self.digits[self.at]
+            self.code = (self.code << 16) | self.digits.take(self.at, mode="clip")
             self.at += 1
 
-    def _shift(self, go: np.ndarray) -> None:
-        at = self.at[go]
-        self.code[go] = (self.code[go] << 16) | self.digits[at]
-        self.at[go] = at + 1
-        self.range[go] <<= 16
-
     def value(self) -> np.ndarray:
+        """Quotients of 48 by 32 bits, of 16 bits: in double precision none is rounded up to the next."""
         self.part = self.range >> 16
-        return np.minimum(self.code // self.part, TOTAL - 1)
+        return np.minimum(self.code / self.part, TOTAL - 1).astype(np.int32)
 
     def step(self, first: np.ndarray, freq: np.ndarray) -> None:
-        """Follows value() of all lanes."""
-        self.code -= first * self.part
-        self.range = freq * self.part
-        self._shift(np.flatnonzero(self.range < LEAST))
-
-    def even(self, lanes: np.ndarray, among: np.ndarray) -> np.ndarray:
-        """One of so many equally likely numbers in each of the lanes."""
-        part, spread = self.range[lanes] >> 16, TOTAL // among
-        found = np.minimum(self.code[lanes] // part // spread, among - 1)
-        self.code[lanes] -= found * spread * part
-        self.range[lanes] = span = spread * part
-        self._shift(lanes[span < LEAST])
-        return found
-
-
-def places_of(rows: np.ndarray) -> np.ndarray:
-    """Each number's place in the order in which its row's different numbers first appear."""
+        """Follows value()."""
+        part = self.part
+        self.code -= first * part
+        part *= freq
+        shift = (part < LEAST).astype(np.int64)
+        digit = self.digits.take(self.at, mode="clip") * shift
+        self.at += shift
+        shift <<= 4
+        self.code <<= shift
+        self.code += digit
+        part <<= shift
+        self.range = part
+
+
+def _order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each number's place among its row's different numbers, where a new one begins in the row in order, and the different ones, row after row."""
     lanes, steps = rows.shape
-    order = np.argsort(rows, axis=1, kind="stable")
-    ordered = np.take_along_axis(rows, order, axis=1)
-    new = np.ones(rows.shape, dtype=bool)
-    new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
-    first = np.zeros(rows.shape, dtype=bool)
-    np.put_along_axis(first, order, new, axis=1)
-    place = np.cumsum(first, axis=1, dtype=np.int32) - 1
-    group = np.cumsum(new, axis=1).ravel() - 1 + np.repeat(np.arange(lanes) * steps, steps)
-    heads = np.zeros(lanes * steps, dtype=np.int32)
-    heads[group[new.ravel()]] = np.take_along_axis(place, order, axis=1).ravel()[new.ravel()]
-    out = np.empty(rows.shape, dtype=np.uint16)
-    np.put_along_axis(out, order, heads[group].reshape(lanes, steps).astype(np.uint16), axis=1)
-    return out
-
-
-def _halves(alphabet: int) -> tuple[int, int]:
-    """How many high and low halves of 16 bits an id of the alphabet can have."""
-    return -(-alphabet // TOTAL), min(alphabet, TOTAL)
-
-
-def _encode_lanes(rows: np.ndarray, alphabet: int) -> tuple[int, list[bytes]]:
-    (lanes, steps), places = rows.shape, places_of(rows)
-    kinds = int(places.max()) + 1
-    places, (high, low) = np.ascontiguousarray(places.T), _halves(alphabet)
-    model, coder, seen = Model(lanes, kinds, False), Encoder(lanes, 4 * steps + 8), np.zeros(lanes, np.int64)
-    spread_high, spread_low = np.int64(TOTAL // high), np.int64(TOTAL // low)
+    kind = np.uint32 if int(rows.max()) < 1 << 32 - PLACE_BITS else np.uint64
+    keys = rows.astype(kind) << kind(PLACE_BITS)
+    keys |= np.arange(steps, dtype=kind)
+    keys.sort(axis=1)
+    at, ids = (keys & kind((1 << PLACE_BITS) - 1)).astype(np.int64), keys >> kind(PLACE_BITS)
+    new = np.ones(rows.shape, bool)
+    np.not_equal(ids[:, 1:], ids[:, :-1], out=new[:, 1:])
+    at += (np.arange(lanes) * steps)[:, None]
+    places = np.empty(rows.size, np.uint16)
+    places[at.ravel()] = _slots(new).ravel()
+    return places.reshape(rows.shape), new, ids[new].astype(np.uint32)
+
+
+def _slots(new: np.ndarray) -> np.ndarray:
+    """The places of each row's numbers, in order."""
+    slots = np.cumsum(new, axis=1, dtype=np.uint16)
+    slots -= 1
+    return slots
+
+
+def _encode_lanes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes, list[int]]:
+    (lanes, steps), (places, new, different) = rows.shape, _order(rows)
+    model, coder, places = Model(new), Encoder(lanes, steps), np.ascontiguousarray(places.T)
     for t in range(steps):
-        if t in RENEW:
-            model.renew(places[:t], seen)
         x = places[t]
-        p1, p2, k1, k2, w1, w2, w0 = model.predict()
-        hit2 = x == p2
-        hit1 = (x == p1) & k1
-        cell = model.row + x
-        freq = model.freq[cell].astype(np.int64)
-        lost = np.flatnonzero((freq == 0) & ~(hit1 | hit2))
-        if len(lost):
-            cell[lost] = escapes = model.row[lost] + kinds
-            freq[lost] = model.freq[escapes]
-        first = model.first[cell].astype(np.int64)
-        a = (first * w0) >> 12
-        b = ((first + freq) * w0) >> 12
-        coder.step(np.where(hit2, 0, np.where(hit1, w2, w1 + w2 + a)), np.where(hit2, w2, np.where(hit1, w1, b - a)))
-        if len(lost):
-            place, among = x[lost] - model.known[lost], seen[lost] - model.known[lost] + 1
-            spread = TOTAL // among
-            coder.step_in(lost, place * spread, spread)
-            new = lost[place == among - 1]
-            seen[new] += 1
-            ids = rows[new, t].astype(np.int64)
-            if high > 1:
-                coder.step_in(new, (ids >> 16) * spread_high, spread_high)
-            coder.step_in(new, (ids & (TOTAL - 1)) * spread_low, spread_low)
-        model.learn(x, hit1, hit2, k1, k2)
-    return kinds, coder.finish()
-
-
-def _decode_lanes(data: list[bytes], steps: int, kinds: int, alphabet: int) -> np.ndarray:
-    lanes, (high, low) = len(data), _halves(alphabet)
-    model, coder, seen = Model(lanes, kinds, True), Decoder(data), np.zeros(lanes, np.int64)
-    table, places, names = model.lane * SLOTS, np.zeros((steps, lanes), np.uint16), np.zeros(lanes * (kinds + 1), np.uint32)
+        named, counts, weights, both, rest = model.predict()
+        hits = named == x
+        hits[0] &= counts[0]
+        cell = model.base + x
+        first, width = model.share(cell, rest)
+        first += both
+        coder.step(t, np.where(hits[1], 0, np.where(hits[0], weights[1], first)), np.where(hits[1], weights[1], np.where(hits[0], weights[0], width)))
+        model.learn(x, cell, hits, counts)
+    return new, different, *coder.finish()
+
+
+def _decode_lanes(new: np.ndarray, data: bytes, sizes: np.ndarray) -> np.ndarray:
+    """The cells of all lanes' tokens."""
+    (lanes, steps), slots = new.shape, _slots(new).ravel()
+    model, coder, out = Model(new), Decoder(data, sizes), np.empty((new.shape[1], len(new)), np.int32)
+    table = np.arange(lanes) * steps
     for t in range(steps):
-        if t in RENEW:
-            model.renew(places[:t], seen)
-        p1, p2, k1, k2, w1, w2, w0 = model.predict()
-        v, w12 = coder.value(), w1 + w2
-        hit2 = v < w2
-        hit1 = (v < w12) & ~hit2
-        slot = np.minimum(((np.maximum(v - w12, 0) + 1) * SLOTS - 1) // w0, SLOTS - 1)
-        x = model.slot[table + slot]
-        cell = model.row + x
-        first, freq = model.first[cell].astype(np.int64), model.freq[cell].astype(np.int64)
-        a = (first * w0) >> 12
-        b = ((first + freq) * w0) >> 12
-        coder.step(np.where(hit2, 0, np.where(hit1, w2, w12 + a)), np.where(hit2, w2, np.where(hit1, w1, b - a)))
-        lost = np.flatnonzero((x == kinds) & (v >= w12))
-        x = np.where(hit2, p2, np.where(hit1, p1, x))
-        if len(lost):
-            among = seen[lost] - model.known[lost] + 1
-            place = coder.even(lost, among)
-            x[lost] = place + model.known[lost]
-            new = lost[place == among - 1]
-            ids = coder.even(new, np.int64(high)) << 16 if high > 1 else 0
-            names[model.row[new] + seen[new]] = ids | coder.even(new, np.int64(low))
-            seen[new] += 1
-        places[t] = x
-        model.learn(x, hit1, hit2, k1, k2)
-    return names[(places + model.row).T]
+        named, counts, weights, both, rest = model.predict()
+        v = coder.value()
+        hits = np.stack([v < both, v < weights[1]])
+        hits[0] &= ~hits[1]
+        v -= both
+        v *= steps
+        v += steps - 1
+        slot = (v / rest).astype(np.int64)
+        slot += table
+        x = np.where(hits[1], named[1], np.where(hits[0], named[0], slots.take(slot, mode="clip")))  # no slot where orders 1 and 2 are right
+        cell = model.base + x
+        first, width = model.share(cell, rest)
+        first += both
+        coder.step(np.where(hits[1], 0, np.where(hits[0], weights[1], first)), np.where(hits[1], weights[1], np.where(hits[0], weights[0], width)))
+        out[t] = cell
+        model.learn(x, cell, hits, counts)
+    return out.T
+
+
+def _low_bits(n: int, blocks: int, below: int) -> int:
+    return max(0, (below * blocks // max(n, 1)).bit_length() - 1)
+
+
+def _pack_rising(values: np.ndarray, counts: np.ndarray, below: int) -> bytes:
+    """Each block's rising numbers, so many, all less than ``below``."""
+    low = _low_bits(len(values), len(counts), below)
+    span = (below - 1 >> low) + 1
+    high = np.zeros(len(values) + span * len(counts), bool)
+    high[(values >> low) + np.arange(len(values)) + np.repeat(np.arange(len(counts)) * span, counts)] = True
+    return b"".join(np.packbits(bits.astype(bool)).tobytes() for bits in [high, *((values >> j) & 1 for j in range(low))])
+
+
+def _unpack_rising(image: bytes, at: int, counts: np.ndarray, below: int) -> tuple[np.ndarray, int]:
+    """The numbers, and where they end in the image."""
+    n = int(counts.sum())
+    low = _low_bits(n, len(counts), below)
+    span = (below - 1 >> low) + 1
+    size = n + span * len(counts)
+    found = np.flatnonzero(np.unpackbits(np.frombuffer(image, np.uint8, -(-size // 8), at), count=size))
+    if len(found) != n:
+        raise ValueError("the image is damaged")
+    values, at = (found - np.arange(n) - np.repeat(np.arange(len(counts)) * span, counts)) << low, at + -(-size // 8)
+    for j in range(low):
+        values |= np.unpackbits(np.frombuffer(image, np.uint8, -(-n // 8), at), count=n).astype(np.int64) << j
+        at += -(-n // 8)
+    return values, at
 
 
 def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,15 +255,14 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
     if not len(ids):
         return head
     steps = min(block, len(ids))
-    rows = np.zeros(n_blocks * steps, np.uint16 if len(alphabet) <= TOTAL else np.uint32)
+    rows = np.zeros(n_blocks * steps, np.uint32)
     rows[: len(ids)] = dense
-    rows, kinds, data = rows.reshape(n_blocks, steps), [], []
-    for i in range(0, n_blocks, LANES):
-        found, coded = _encode_lanes(rows[i : i + LANES], len(alphabet))
-        kinds.append(found)
-        data += coded
-    sums = [zlib.crc32(ids[i : i + block].tobytes()) for i in range(0, len(ids), block)]
-    return head + struct.pack(f"<{len(kinds)}I", *kinds) + b"".join(struct.pack("<II", len(d), c) for d, c in zip(data, sums, strict=True)) + b"".join(data)
+    rows = rows.reshape(n_blocks, steps)
+    new, different, data, sizes = zip(*(_encode_lanes(rows[i : i + LANES]) for i in range(0, n_blocks, LANES)), strict=True)
+    new, counts = np.concatenate(new), np.concatenate([x.sum(axis=1) for x in new])
+    sums = [zlib.crc32(ids[i : i + block]) for i in range(0, len(ids), block)]
+    directory = np.array([counts, sum(sizes, []), sums], "<u4").tobytes()
+    return b"".join([head, directory, np.packbits(new).tobytes(), _pack_rising(np.concatenate(different), counts, len(alphabet)), *data])
 
 
 def unpack(image: bytes) -> np.ndarray:
@@ -286,20 +273,22 @@ def unpack(image: bytes) -> np.ndarray:
     alphabet = np.frombuffer(image, np.uint32, letters, 24)
     if not n:
         return np.zeros(0, np.uint32)
-    at, steps, groups = 24 + 4 * letters, min(block, n), -(-n_blocks // LANES)
-    kinds = struct.unpack_from(f"<{groups}I", image, at)
-    at += 4 * groups
-    entries = [struct.unpack_from("<II", image, at + 8 * i) for i in range(n_blocks)]
-    at, data = at + 8 * n_blocks, []
-    for size, _ in entries:
-        data.append(image[at : at + size])
-        at += size
-    try:
-        dense = np.concatenate([_decode_lanes(data[i * LANES : (i + 1) * LANES], steps, k, letters) for i, k in enumerate(kinds)]).ravel()[:n]
-    except (IndexError, ZeroDivisionError) as e:
-        raise ValueError("the image is damaged") from e
-    ids = alphabet[np.minimum(dense, letters - 1)]
-    for i, (_, crc) in enumerate(entries):
-        if zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) != crc:
+    at, steps = 24 + 4 * letters, min(block, n)
+    counts, sizes, sums = np.frombuffer(image, "<u4", 3 * n_blocks, at).astype(np.int64).reshape(3, -1)
+    at, size = at + 12 * n_blocks, n_blocks * steps
+    new = np.unpackbits(np.frombuffer(image, np.uint8, -(-size // 8), at), count=size).astype(bool).reshape(n_blocks, steps)
+    if not new[:, 0].all() or (new.sum(axis=1) != counts).any():
+        raise ValueError("the image is damaged")
+    different, at = _unpack_rising(image, at + -(-size // 8), counts, letters)
+    cells, ends, dense = np.append(0, np.cumsum(counts)), at + np.append(0, np.cumsum(sizes)), []
+    for i in range(0, n_blocks, LANES):
+        j = min(i + LANES, n_blocks)
+        try:
+            dense.append(different[cells[i] : cells[j]].take(_decode_lanes(new[i:j], image[ends[i] : ends[j]], sizes[i:j])))
+        except (IndexError, ZeroDivisionError) as e:
+            raise ValueError("the image is damaged") from e
+    ids = alphabet.take(np.concatenate(dense).ravel()[:n], mode="clip")
+    for i, crc in enumerate(sums.tolist()):
+        if zlib.crc32(ids[i * block : (i + 1) * block]) != crc:
             raise ValueError(f"block {i} of the image is damaged")
     return ids

@@ -11,6 +11,8 @@ from public_tokenizers import PATTERN
 SPACES = [chr(c) for c in (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)]
 BEFORE_BLANK = [s + " " for s in SPACES]
 SPLIT = regex.compile(PATTERN)
+#: Neither letters, digits nor white space: a run of them after a letter is one match.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def pieces(text: str) -> list[str]:
@@ -30,6 +32,22 @@ def matches_of(piece: str) -> list[str]:
     return [piece] if (piece[1:] if piece[0] == " " else piece).isalpha() else SPLIT.findall(piece)
 
 
+def all_matches(parts: list[str]) -> list[list[str]]:
+    """matches_of() each piece; letters after a blank, and marks at their end, are told without the pattern."""
+    out = []
+    for p in parts:
+        if p[0] == " " and len(p) > 1:
+            if p[1:].isalpha():
+                out.append([p])
+                continue
+            word = p.rstrip(MARKS)
+            if word[1:].isalpha():
+                out.append([word, p[len(word) :]])
+                continue
+        out.append(matches_of(p))
+    return out
+
+
 class Memo:
     """Encoded pieces in two generations: when the young one is full it becomes the old one, so what recurs stays and memory is bounded.
 
@@ -46,6 +64,10 @@ class Memo:
 
     def encode(self, parts: list[str], make: Callable[[list[str]], list[bytes]]) -> bytes:
         """The encoded pieces, joined; make() encodes the ones that are not known."""
+        return b"".join(self.each(parts, make))
+
+    def each(self, parts: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The encoded pieces; make() encodes the ones that are not known."""
         found = list(map(self.young.get, parts))
         if None in found:
             missing = dict.fromkeys([p for p, f in zip(parts, found, strict=True) if f is None])
@@ -56,7 +78,7 @@ class Memo:
             found = [missing[p] if f is None else f for p, f in zip(parts, found, strict=True)]
             for p, f in missing.items():
                 self.keep(p, f)
-        return b"".join(found)
+        return found
 
     def get(self, piece: str) -> bytes | None:
         return found if (found := self.young.get(piece)) is not None else self.old.get(piece)
