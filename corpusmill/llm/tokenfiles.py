@@ -33,9 +33,9 @@ from corpusmill.llm.coder import pack, unpack
 from corpusmill.llm.memory import give_back, short_batches
 from corpusmill.llm.pieces import SPACES, Memo, all_matches, pieces
 
-TOKENIZER, END, IMAGE_IDS, KEPT_BYTES = "byte_bpe_50k.json", 2, 1 << 22, 64 << 20
+TOKENIZER, END, IMAGE_IDS, KEPT_BYTES = "byte_bpe_50k.json", 2, 1 << 22, 32 << 20
 #: Bytes of texts that are encoded together; new matches in one call of the model; bytes of a word and its ids that are kept at most.
-SLICE_BYTES, TOGETHER, LONGEST = 8 << 20, 10_000, 1024
+SLICE_BYTES, TOGETHER, LONGEST = 20 << 20, 10_000, 1024
 BEFORE_BLANK_RE = f"[{''.join(f'\\x{{{ord(c):x}}}' for c in SPACES)}] "
 
 
@@ -166,6 +166,27 @@ def encode_text(text: str, tokenizer: str = TOKENIZER) -> np.ndarray:
     return np.frombuffer(_tokenizer(tokenizer).encode(text), dtype=np.uint32)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """The columns of many rows together, in order, of SLICE_BYTES of texts at most or of one text."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < len(ends):
+            begun = int(ends[at - 1]) if at else 0
+            stop = int(np.searchsorted(ends, begun + SLICE_BYTES - size, "right"))
+            if stop <= at and not held:
+                stop = at + 1
+            if stop > at:
+                held.append(batch.slice(at, stop - at))
+                size, at = size + int(ends[stop - 1]) - begun, stop
+            if at < len(ends):
+                yield [pa.concat_arrays(c) for c in zip(*(b.columns for b in held), strict=True)]
+                held, size = [], 0
+    if held:
+        yield [pa.concat_arrays(c) for c in zip(*(b.columns for b in held), strict=True)]
+
+
 IMAGES = "part int, place int, before bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, image binary"
 #: Parts whose starts are broadcast, 12 bytes each; more are joined.
 MAX_PARTS = 1_000_000
@@ -186,19 +207,15 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
             packed = pa.array([pack(np.concatenate(held))], pa.binary())
             return pa.RecordBatch.from_arrays([*numbers, *lists, packed], ["part", "place", "before", "n_ids", "doc_ids", "lengths", "image"])
 
-        for batch in batches:
-            ids, texts = batch.columns
-            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
-            cuts = np.flatnonzero(np.diff(ends // SLICE_BYTES, prepend=0, append=-1)).tolist()
-            for a, b in pairwise([0, *cuts] if cuts[0] else cuts):
-                found, bounds = encode(texts[a:b], end)
-                for doc_id, (first, stop) in zip(ids[a:b].to_pylist(), pairwise(bounds.tolist()), strict=True):
-                    held.append(found[first:stop])
-                    doc_ids.append(doc_id)
-                    size += stop - first
-                    if size >= image_ids:
-                        yield image()
-                        place, before, doc_ids, held, size = place + 1, before + size, [], [], 0
+        for doc_ids_of, texts in _slices(batches):
+            found, bounds = encode(texts, end)
+            for doc_id, (first, stop) in zip(doc_ids_of.to_pylist(), pairwise(bounds.tolist()), strict=True):
+                held.append(found[first:stop])
+                doc_ids.append(doc_id)
+                size += stop - first
+                if size >= image_ids:
+                    yield image()
+                    place, before, doc_ids, held, size = place + 1, before + size, [], [], 0
         if held:
             yield image()
         give_back()

@@ -49,3 +49,12 @@ def test_blocks_of_any_length(block):
         for at in range(len(image) // 3, len(image), max(1, len(image) // 7)):
             with contextlib.suppress(ValueError):  # a bit that no id depends on may be lost
                 assert (coder.unpack(image[:at] + bytes([image[at] ^ 90]) + image[at + 1 :]) == ids).all()
+
+
+def test_slices_hold_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "SLICE_BYTES", 10)
+    texts = ["abc", None, "", "defghijklmnop", "q", "rstuvwxyz", "ab", "c", None]
+    batches = [pa.record_batch([pa.array(range(a, a + 3)), pa.array(texts[a : a + 3], pa.string())], ["id", "text"]) for a in (0, 3, 6)]
+    got = [list(zip(*(c.to_pylist() for c in some), strict=True)) for some in tokenfiles._slices(iter(batches))]
+    assert [r for some in got for r in some] == list(enumerate(texts)) and all(len(some) == 1 or sum(len(t or "") for _, t in some) <= 10 for some in got)
+    assert len(got) == 4
