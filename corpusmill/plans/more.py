@@ -40,11 +40,15 @@ def placed_chunks(spark, sf):
 def s1(spark, sf):
     """Pages written as a tree of text files with ignore files at two levels, walked."""
     root = folder(spark)
-    p = table(spark, sf, "pages").select("html", F.concat(F.lit("r"), F.col("page_id") % 5).alias("a"), F.concat(F.lit("s"), F.col("page_id") % 7).alias("b"), "page_id")
-    p.write.partitionBy("a", "b", "page_id").text(f"{root}/tree")
+    p = table(spark, sf, "pages").filter("page_id is not null").select("html", F.concat(F.lit("r"), F.col("page_id") % 5).alias("a"), F.concat(F.lit("s"), F.col("page_id") % 7).alias("b"), "page_id")
+    if readers.local_folder(spark, root):
+        line = F.concat(F.coalesce("html", F.lit("")), F.lit("\n"))
+        readers.write_tree(p.select(F.format_string("a=%s/b=%s/page_id=%d/%s.txt", "a", "b", "page_id", F.md5(line)).alias("path"), line.alias("text")), f"{root}/tree")
+    else:
+        p.write.partitionBy("a", "b", "page_id").text(f"{root}/tree")
     ignore = spark.createDataFrame([("", "a=r1/", 0), ("", "**/b=s2/**", 1), ("", "# none", 2), ("a=r1", "b=s9/", 3)], "dir string, line string, at long")
     again = table(spark, sf, "pages").filter("page_id % 14 = 2").select(F.lit("").alias("dir"), F.concat(F.lit("!**/page_id="), F.col("page_id"), F.lit("/**")).alias("line"), F.lit(9).cast("long").alias("at"))
-    walked = readers.without_ignored(readers.read_tree(spark, f"{root}/tree"), ignore.union(again))
+    walked = readers.read_tree(spark, f"{root}/tree", rules=ignore.union(again))
     return walked.select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id"), "hash", "language")
 
 

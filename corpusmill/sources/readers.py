@@ -4,33 +4,160 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
+import uuid
+from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions import scan
 from corpusmill.functions.text import entity_id
+from corpusmill.memory import short_batches
 from corpusmill.operators.chunks import chunk
 from corpusmill.operators.code import LANGUAGES
 
 MAX_DUMP_BYTES = 256 << 20
+#: Folders that the driver opens until there are so many to deal to tasks, entries that it reads of one, and rows and bytes that a task holds.
+WALKS, WIDEST, HELD_ROWS, HELD_BYTES = 32, 10_000, 10_000, 8 << 20
 FILE = "path string, language string, hash string, mtime timestamp, length long, text string"
 
 
-def read_tree(spark: SparkSession, root: str, user_lines: list[str] = (), use_defaults: bool = True, detect_generated: bool = True, ignore_files: tuple[str, ...] = ()) -> DataFrame:
-    """(path, language, hash, mtime, length, text) of the files below root that are to be read; path is relative to root. ``ignore_files``: names of ignore files that hold below their directories.
+def local_folder(spark: SparkSession, root: str) -> str | None:
+    """The plain path of a folder in the machines' own file system, which executors see by the same name; null in any other store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.makeQualified(path).toUri().getPath() if store.getUri().getScheme() == "file" else None
+
+
+def _entries(folder: str, most: int | None = None) -> tuple[list[str], list[tuple[str, os.stat_result]], bool]:
+    """Folders, files and whether that is all; without the names that Spark's readers pass over, and without empty files, as there."""
+    with os.scandir(folder) as found:
+        entries = list(islice(found, most))
+        whole = next(found, None) is None
+    folders, files = [], []
+    for e in entries:
+        hidden = e.name.startswith(".") or e.name.endswith("._COPYING_") or (e.name.startswith("_") and "=" not in e.name)
+        try:
+            if e.is_dir():
+                if not hidden or e.name.startswith(("_metadata", "_common_metadata")):
+                    folders.append(e.name)
+            elif not hidden and e.is_file() and (stat := e.stat()).st_size:
+                files.append((e.name, stat))
+        except OSError:  # gone meanwhile, or a circle of links
+            continue
+    return folders, files, whole
+
+
+def _walked(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = []
+    for batch in batches:
+        for top, deep in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            left = [top]
+            while left:
+                folder = left.pop()
+                folders, files, _ = _entries(f"{base}/{folder}")
+                rows += [(folder + name, stat.st_mtime_ns // 1_000_000, stat.st_size) for name, stat in files]
+                if deep:
+                    left += [f"{folder}{name}/" for name in folders]
+                while len(rows) >= HELD_ROWS:
+                    yield _file_rows(rows[:HELD_ROWS])
+                    rows = rows[HELD_ROWS:]
+    yield _file_rows(rows)
+
+
+def _file_rows(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
+    paths, times, lengths = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(times, pa.int64()), pa.array(lengths, pa.int64())], ["path", "ms", "length"])
+
+
+def _listed(spark: SparkSession, base: str) -> DataFrame:
+    """(path, modificationTime, length) of the files below a local folder.
+
+    Spark's own listing needs a task for each of many folders and holds every file on the driver. Here the driver opens folders level by level until there are enough of them, and tasks walk all that is below.
+    """
+    opened, wide, level = [], [], [""]
+    while level and len(level) < WALKS:
+        below = []
+        for folder in level:
+            folders, _, whole = _entries(f"{base}/{folder}", WIDEST)
+            if whole:
+                opened.append(folder)
+                below += [f"{folder}{name}/" for name in folders]
+            else:
+                wide.append(folder)
+        level = below
+    tops = spark.createDataFrame([(x, False) for x in opened] + [(x, True) for x in wide + level], "top string, deep boolean")
+    files = tops.mapInArrow(lambda batches: _walked(base, batches), "path string, ms long, length long")
+    return files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").select("path", F.timestamp_millis("ms").alias("modificationTime"), "length")
+
+
+def _with_content(files: DataFrame, base: str) -> DataFrame:
+    """files (path) below a local folder with their bytes as content."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size, start = [], 0, 0
+            for i, path in enumerate(batch.column("path").to_pylist(), 1):
+                with open(f"{base}/{path}", "rb") as file:
+                    held.append(file.read())
+                size += len(held[-1])
+                if size >= HELD_BYTES or i == batch.num_rows:
+                    yield batch.slice(start, i - start).append_column("content", pa.array(held, pa.binary()))
+                    held, size, start = [], 0, i
+
+    return files.mapInArrow(read, T.StructType([*files.schema, T.StructField("content", T.BinaryType())]))
+
+
+def write_tree(files: DataFrame, root: str) -> int:
+    """files (path, text) written below a local folder by the tasks that have them; the number of rows.
+
+    A file takes its name when it is whole, so that a task may run again or twice.
+    """
+    base = local_folder(files.sparkSession, root)
+    if base is None:
+        raise ValueError(f"{root} is not in the machines' own file system")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if os.path.isabs(path) or os.path.normpath(path).split("/")[0] in ("", ".", ".."):
+                    raise ValueError(f"{path} is not below the folder")
+                whole = f"{base}/{path}"
+                os.makedirs(folder := os.path.dirname(whole), exist_ok=True)
+                with open(part := f"{folder}/.{uuid.uuid4().hex}", "wb") as file:
+                    file.write(text.encode())
+                os.replace(part, whole)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return short_batches(files).select("path", "text").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def read_tree(spark: SparkSession, root: str, user_lines: list[str] = (), use_defaults: bool = True, detect_generated: bool = True, ignore_files: tuple[str, ...] = (), rules: DataFrame | None = None) -> DataFrame:
+    """(path, language, hash, mtime, length, text) of the files below root that are to be read; path is relative to root. ``ignore_files``: names of ignore files that hold below their directories; ``rules``: lines of such files, as ``without_ignored`` takes them.
 
-    Names that are sensitive never pass; excludes, size and language are judged before a file's content is used, and by Spark's reader for size.
+    Names that are sensitive never pass; excludes, size and language are judged before a file's content is used. Local folders are walked and read by tasks, other stores by Spark's reader.
     """
     base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    rel = F.regexp_replace(F.col("path"), "^.*?" + _quoted(base.split("://")[-1]) + "/", "")
-    rows = files.withColumn("path", F.url_decode(F.regexp_replace(rel, r"\+", "%2B")))
+    local = local_folder(spark, base)
+    local = local if local and os.path.isdir(local) else None
+    if local:
+        rows = _listed(spark, local)
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+        rows = files.withColumn("path", F.regexp_replace("path", "^.*?" + _quoted(base.split("://")[-1]) + "/", ""))  # names as they are, not escaped
     rows = rows.filter(~scan.is_sensitive(F.col("path")) & scan.within_size(F.col("length"))).withColumn("decision", scan.index_decision(F.col("path"), list(user_lines), use_defaults))
     if ignore_files:
         rows = without_ignored(rows, ignore_rules(spark, root, ignore_files))
+    if rules is not None:
+        rows = without_ignored(rows, rules)
     rows = rows.filter("decision.decision != 'exclude'").withColumn("language", scan.detect_language(F.col("path"))).filter("language is not null")
+    if local:
+        rows = _with_content(rows, local)
     rows = rows.filter(~scan.is_binary(F.col("content"))).withColumn("text", F.decode("content", "utf-8"))
     if detect_generated:
         rows = rows.filter((F.col("decision.decision") == "include") | scan.generated_marker(F.col("text")).isNull())
