@@ -57,7 +57,7 @@ def _walked(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     rows = []
     for batch in batches:
         for top, deep in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            left = [top]
+            left = [os.fsdecode(top)]
             while left:
                 folder = left.pop()
                 folders, files, _ = _entries(f"{base}/{folder}")
@@ -71,12 +71,13 @@ def _walked(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _file_rows(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
-    paths, times, lengths = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(times, pa.int64()), pa.array(lengths, pa.int64())], ["path", "ms", "length"])
+    names, times, lengths = zip(*rows, strict=True) if rows else ((), (), ())
+    raw = [os.fsencode(x) for x in names]
+    return pa.RecordBatch.from_arrays([pa.array([x.decode(errors="replace") for x in raw], pa.string()), pa.array(raw, pa.binary()), pa.array(times, pa.int64()), pa.array(lengths, pa.int64())], ["path", "raw", "ms", "length"])
 
 
 def _listed(spark: SparkSession, base: str) -> DataFrame:
-    """(path, modificationTime, length) of the files below a local folder.
+    """(path, raw, modificationTime, length) of the files below a local folder; raw is the path's bytes, which need not be UTF-8.
 
     Spark's own listing needs a task for each of many folders and holds every file on the driver. Here the driver opens folders level by level until there are enough of them, and tasks walk all that is below.
     """
@@ -91,19 +92,19 @@ def _listed(spark: SparkSession, base: str) -> DataFrame:
             else:
                 wide.append(folder)
         level = below
-    tops = spark.createDataFrame([(x, False) for x in opened] + [(x, True) for x in wide + level], "top string, deep boolean")
-    files = tops.mapInArrow(lambda batches: _walked(base, batches), "path string, ms long, length long")
-    return files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").select("path", F.timestamp_millis("ms").alias("modificationTime"), "length")
+    tops = spark.createDataFrame([(os.fsencode(x), False) for x in opened] + [(os.fsencode(x), True) for x in wide + level], "top binary, deep boolean")
+    files = tops.mapInArrow(lambda batches: _walked(base, batches), "path string, raw binary, ms long, length long")
+    return files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").select("path", "raw", F.timestamp_millis("ms").alias("modificationTime"), "length")
 
 
 def _with_content(files: DataFrame, base: str) -> DataFrame:
-    """files (path) below a local folder with their bytes as content."""
+    """files (raw) below a local folder with their bytes as content."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, size, start = [], 0, 0
-            for i, path in enumerate(batch.column("path").to_pylist(), 1):
-                with open(f"{base}/{path}", "rb") as file:
+            for i, raw in enumerate(batch.column("raw").to_pylist(), 1):
+                with open(os.path.join(os.fsencode(base), raw), "rb") as file:
                     held.append(file.read())
                 size += len(held[-1])
                 if size >= HELD_BYTES or i == batch.num_rows:
